@@ -6,9 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.mixing import op8_mixing
+from tessera.llm.piecewise import op9_piecewise
+from tessera.llm.quality_model import op5_quality_model
+from tessera.llm.quality_rules import op4_quality_rules
 from tessera.llm.simhash import op10_simhash
+from tessera.llm.token_files import op2_token_files
+from tessera.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": op2_token_files,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_quality_model": op5_quality_model,
+    "op8_mixing": op8_mixing,
+    "op9_piecewise": op9_piecewise,
     "op10_simhash": op10_simhash,
 }
 
