@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.html_text import op6_html_text
 from tessera.llm.mixing import op8_mixing
+from tessera.llm.pieces import op1_pieces
 from tessera.llm.piecewise import op9_piecewise
+from tessera.llm.pii import op7_pii
 from tessera.llm.quality_model import op5_quality_model
 from tessera.llm.quality_rules import op4_quality_rules
 from tessera.llm.simhash import op10_simhash
@@ -15,10 +18,13 @@ from tessera.llm.token_files import op2_token_files
 from tessera.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pieces": op1_pieces,
     "op2_token_files": op2_token_files,
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_model": op5_quality_model,
+    "op6_html_text": op6_html_text,
+    "op7_pii": op7_pii,
     "op8_mixing": op8_mixing,
     "op9_piecewise": op9_piecewise,
     "op10_simhash": op10_simhash,
