@@ -1 +1,4 @@
+"""The queries of the library, by name."""
 
+from tessera.plans import series, tables  # noqa: F401
+from tessera.plans.catalog import QUERIES, SQL  # noqa: F401
