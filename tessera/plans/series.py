@@ -276,13 +276,13 @@ def stratified_split(spark: Spark, d: str) -> DataFrame:
     return splits.random_split(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus")
 
 
-def _folds_sql(source: str, cols: str, sliding: bool, is_panel: bool) -> str:
+def _folds_sql(source: str, cols: str, sliding: bool, is_panel: bool, step: int = 100) -> str:
     end = "cut + 30" + ("" if is_panel else " - 1")
     last = "n - 1 - 30" if is_panel else "n - 30"
     first = "cut - 2000" if sliding else "0"
     return (
         f"WITH d AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM {source} s) u), "
-        f"f AS (SELECT CAST((cut - 2000) // 100 AS INTEGER) AS fold, cut, {first} AS first, {end} AS last FROM (SELECT unnest(range(2000, (SELECT max({last}) + 1 FROM d), 100)) AS cut) c) "
+        f"f AS (SELECT CAST((cut - 2000) // {step} AS INTEGER) AS fold, cut, {first} AS first, {end} AS last FROM (SELECT unnest(range(2000, (SELECT max({last}) + 1 FROM d), {step})) AS cut) c) "
         f"SELECT {cols}, CAST(s.ts AS VARCHAR) AS ts, y, fold, CASE WHEN i >= cut THEN 'test' ELSE 'train' END AS role FROM f JOIN d ON i BETWEEN first AND last JOIN {source} s ON s.ts = d.ts"
     )
 
@@ -326,13 +326,17 @@ def backtest_naive(spark: Spark, d: str) -> DataFrame:
     return s.select("n_folds", *[r(c).alias(c) for c in ("mae", "rmse", "mae_std")])
 
 
-@query()
+def _mean_mae(sliding: bool) -> str:
+    return f"(WITH folds AS ({_folds_sql(PANEL, 'entity', sliding, True, 200)}), t AS (SELECT fold, entity, avg(y) AS yhat FROM folds WHERE role = 'train' GROUP BY 1, 2), m AS (SELECT f.fold, avg(abs(f.y - t.yhat)) AS mae FROM folds f JOIN t ON f.fold = t.fold AND f.entity = t.entity WHERE role = 'test' GROUP BY 1) SELECT avg(mae) FROM m)"
+
+
+@query(f"WITH x AS (SELECT {_mean_mae(False)} AS a, {_mean_mae(True)} AS b) SELECT round(a, 4) AS mae_expanding, round(b, 4) AS mae_sliding, round((a - b) / a, 6) AS gap, (a - b) / a > 0.15 AS drift, CASE WHEN b < a THEN 'sliding' ELSE 'expanding' END AS winner FROM x")
 def regime_change(spark: Spark, d: str) -> DataFrame:
     def mean(train, test):
         return train.y.mean()
 
     both = [splits.summary(splits.backtest(splits.folds(panel(spark, d), 2000, 30, 200, sliding=s), mean)) for s in (False, True)]
-    return splits.regime_change(*both)
+    return splits.regime_change(*both).withColumns({"mae_expanding": r("mae_expanding"), "mae_sliding": r("mae_sliding"), "gap": r("gap", 6)})
 
 
 @query(f"SELECT entity, CAST(CAST(mx + CAST(step AS INTEGER) * 1 AS DATE) AS VARCHAR) AS ts, CAST(step AS INTEGER) AS step FROM (SELECT entity, max(ts) AS mx FROM {PANEL} p GROUP BY 1) t, (SELECT unnest(range(1, 15)) AS step) s")
