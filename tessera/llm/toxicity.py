@@ -34,6 +34,8 @@ from tessera.llm.common import documents
 
 MOST_ROWS = 8000
 MOST_TERMS = 5000
+#: The least evidence for a term of the lexicon, above the logarithm of the number of candidates.
+STRENGTH = 14.0
 THRESHOLD = 0.7
 #: Function words of the grammar, in English, German, French and Spanish.
 NEGATION = frozenset("not never no nor isn aren wasn don doesn didn won nicht kein keine keinen nie niemals ne pas jamais ni nunca jamás tampoco sin".split())
@@ -170,7 +172,9 @@ def learned(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> t
     # A stem counts once for each distinct word of a text that has it; that is enough to tell which are telling.
     counts = terms.select("toxic", F.explode(F.array_compact(F.array(F.concat(F.lit("w:"), "w"), *stems))).alias("term")).groupBy("term").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
     odds = F.log(((F.col("pos") + 0.5) / (n1 + 1)) / ((F.col("neg") + 0.5) / (n0 + 1)))
-    strong = counts.withColumn("odds", odds).where((F.col("pos") >= 3) & (F.col("odds") >= math.log(20.0)) & (F.col("pos") >= 3 * F.col("neg")))
+    # How far the toxic count exceeds the expected one, in nats: with a million candidates, chance alone gives less.
+    strength = F.col("pos") * F.log(F.col("pos") / ((F.col("pos") + F.col("neg")) * n1 / (n1 + n0)))
+    strong = counts.where("pos > 0").withColumn("odds", odds).where((strength >= STRENGTH) & (F.col("odds") >= math.log(20.0)) & (F.col("pos") >= 3 * F.col("neg")))
     found = strong.orderBy(F.desc(F.col("odds") * F.log1p("pos")), "term").limit(MOST_TERMS).collect()
     weights = {r.term: min(6.0, r.odds) for r in found}
     got = sample.mapInArrow(_evidence(weights), "evidence double, toxic int").collect()  # two numbers for each row of the bounded sample
