@@ -73,7 +73,13 @@ def fill(df: DataFrame, numeric: dict[str, float], text: dict[str, str]) -> Data
 def leaking(df: DataFrame, target: str, threshold: float = 0.995) -> DataFrame:
     """(column, corr) of numeric columns whose correlation with the target is at least the threshold."""
     cols = columns_of(df, "numeric", [target])
-    row = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in cols])
+
+    def corr(c: str) -> Column:
+        """Null for a constant, where the built-in function divides by zero."""
+        x, y = F.when(F.col(target).isNotNull(), F.col(c).cast("double")), F.when(F.col(c).isNotNull(), F.col(target).cast("double"))
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+    row = df.agg(*[corr(c).alias(c) for c in cols])
     long = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("corr")) for c in cols])).alias("x")).select("x.*")
     return long.where(F.abs("corr") >= threshold)
 
