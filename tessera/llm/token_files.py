@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +41,13 @@ END_ID = 2
 NULL_ID = -(1 << 63)
 #: The dictionary is trained on the ids (4096 at most of each) of so many documents, those with the smallest hash of their doc_id.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 400, 4096, 64 << 10
-#: Words whose ids a worker remembers, and those of up to so many characters only.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+#: Words, and their parts, whose ids a worker remembers from task to task (some 300 MB), those of up to so many characters only.
+CACHE_WORDS, CACHE_PARTS, CACHE_CHARS = 500_000, 1_200_000, 48
+#: Documents encoded at a time.
+DOCS_AT_ONCE = 256
+#: Marks that end a word and that the tokenizer parts from its letters.
+SPACE, ODD = re.compile("[ \t\n\x0b\x0c\r]+"), re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+MARKS = ".,;:!?*#%&$|)\"-"
 
 _CACHE: dict[str, dict[str, bytes]] = {}
 _TOKENIZER: dict[str, object] = {}
@@ -55,55 +62,71 @@ def tokenizer(path: str):
     return _TOKENIZER[path]
 
 
+def _parts(word: str) -> tuple[str, str]:
+    """A word as letters and closing marks, which the tokenizer takes apart too; or as it is, and nothing.
+
+    Only letters with a simple lower case are put in it, as the tokenizer does.
+    """
+    core = word.rstrip(MARKS)
+    if core.isalpha() and "\u03a3" not in core and "\u0130" not in core:
+        return core.lower(), word[len(core) :]
+    return word, ""
+
+
+def _spell(parts: list[str], tok, known: dict[str, bytes]) -> None:
+    for at in range(0, len(parts), 4096):
+        group = parts[at : at + 4096]
+        for w, e in zip(group, tok.encode_batch_fast(group, add_special_tokens=False), strict=True):
+            known[w] = array("H", e.ids).tobytes()
+
+
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian 16-bit numbers.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its words one after another,
-    and each distinct word needs to be encoded once. Many words are encoded in one call, with a special token between them.
+    and each distinct word needs to be encoded once.
     """
-    tok, known = tokenizer(path), _CACHE.setdefault(path, {})
-    mark, mark_id = "<|startoftext|>", tok.token_to_id("<|startoftext|>")
-    if mark_id is None or tok.get_vocab_size() > 1 << 16:
-        raise ValueError("this encoder needs a vocabulary of at most 65,536 ids with a start token")
-    split = [t.split() for t in texts]
-    new = [w for w in set(itertools.chain.from_iterable(split)) if w not in known]
-    if len(known) + len(new) > CACHE_WORDS:
+    tok, known, parts = tokenizer(path), _CACHE.setdefault(path, {}), _CACHE.setdefault(f"{path}/parts", {"": b""})
+    if tok.get_vocab_size() > 1 << 16:
+        raise ValueError("this encoder needs a vocabulary of at most 65,536 ids")
+    # Only ASCII white space: of the wider set, the tokenizer takes some marks for text.
+    split = [SPACE.split(t.strip(" \t\n\x0b\x0c\r")) if ODD.search(t) else t.split() for t in texts]
+    if len(known) > CACHE_WORDS:
         known.clear()
-        new = list(set(itertools.chain.from_iterable(split)))
-    odd = [w for w in new if "<|" in w or len(w) > CACHE_CHARS]
-    plain = [w for w in new if "<|" not in w and len(w) <= CACHE_CHARS]
-    found: dict[str, bytes] = {}
-    sep = f" {mark} "
-    groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-    for words, e in zip(groups, tok.encode_batch_fast([sep.join(g) for g in groups], add_special_tokens=False), strict=True):
-        ids = np.array(e.ids, dtype="<u2")
-        cuts = np.flatnonzero(ids == mark_id)
-        raw, at = ids.tobytes(), 0
-        for w, c in zip(words, [*cuts.tolist(), len(ids)], strict=True):
-            found[w] = raw[2 * at : 2 * c]
-            at = c + 1
-    for w, e in zip(odd, tok.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-        found[w] = np.array(e.ids, dtype="<u2").tobytes()
-    known.update((w, found[w]) for w in plain)
-    get = {**known, **found}.__getitem__ if odd else known.__getitem__
-    return [b"".join(map(get, words)) for words in split]
+    if len(parts) > CACHE_PARTS:
+        parts.clear()
+        parts[""] = b""
+    new = {w: _parts(w) for w in set(itertools.chain.from_iterable(split)) if w not in known}
+    _spell([p for p in {p for pair in new.values() for p in pair} if p not in parts], tok, parts)
+    found = {w: parts[a] + parts[b] for w, (a, b) in new.items()}
+    long = {w: x for w, x in found.items() if len(w) > CACHE_CHARS}
+    known.update((w, x) for w, x in found.items() if len(w) <= CACHE_CHARS)
+    for w in [p for p in parts if len(p) > CACHE_CHARS] if long else ():
+        del parts[w]
+    if not long:
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+    return [b"".join([known[w] if len(w) <= CACHE_CHARS else long[w] for w in words]) for words in split]
 
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], dtype="<u2").tobytes()
         for b in batches:
-            ids = [x + end for x in encode_texts([t or "" for t in b.column(1).to_pylist()], path)]
             # The way to the file goes through a shuffle: plain compression keeps it small there.
             pack = zstandard.ZstdCompressor(level=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack.compress(x) for x in ids], pa.binary())], names=["doc_id", "ids"])
+            for at in range(0, b.num_rows, DOCS_AT_ONCE):
+                part = b.slice(at, DOCS_AT_ONCE)
+                ids = [pack.compress(x + end) for x in encode_texts([t or "" for t in part.column(1).to_pylist()], path)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return run
 
 
 def train_dictionary(encoded: DataFrame) -> bytes:
     """A dictionary trained on a bounded sample; fewer than 8 documents, or too little text, give an empty one."""
-    rows = encoded.where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("ids").collect()
+    # The ids are chosen first, so that only the sample itself comes to the driver.
+    chosen = [r.doc_id for r in encoded.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
+    rows = encoded.where(F.col("doc_id").isin(chosen)).dropDuplicates(["doc_id"]).orderBy("doc_id").select("ids").limit(SAMPLE_DOCS).collect() if chosen else []
     samples = [zstandard.ZstdDecompressor().decompress(bytes(r.ids))[: 2 * SAMPLE_IDS] for r in rows]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 8), samples).as_bytes() if len(samples) >= 8 else b""
@@ -112,7 +135,11 @@ def train_dictionary(encoded: DataFrame) -> bytes:
 
 
 def _compressor(dictionary: bytes):
-    return zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor(level=3)
+    if not dictionary:
+        return zstandard.ZstdCompressor(level=3)
+    data = zstandard.ZstdCompressionDict(dictionary)
+    data.precompute_compress(level=3)  # once, not for each document
+    return zstandard.ZstdCompressor(level=3, dict_data=data)
 
 
 def _decompressor(dictionary: bytes):
