@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-Text becomes chunks across which no piece reaches: a run of word marks with what follows it, a line end by itself. The
+Text becomes chunks across which no piece reaches: a run of word marks with what follows it, marks after a letter, a line end
+by itself. The
 distinct chunks of the corpus are the words of the lattice. Their substrings of bounded length are exploded and equi-joined to
 the piece table; the edges that remain are grouped by word; and a fold with Spark's higher-order `aggregate` finds the
 segmentation.
@@ -34,10 +35,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bind, documents, scratch, settle
 
 MARK = "▁"
-#: Chunks; the same pattern for Java and Python. No piece holds a line end, or a mark after another character.
-CHUNK = f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n"
-CHUNKS = re.compile(CHUNK)
-#: Longer chunks aren't put into the lattice: the library encodes them, to the same ids.
+#: Marks before which a text is cut if a letter stands before them and no piece of the model joins the two.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,!?*#%&$|;:=+\"()<>-"
+#: Longer chunks aren't put into the lattice, whose ends are the bits of a number: the library encodes them, to the same ids.
 LONGEST = 32
 
 
@@ -57,6 +57,10 @@ class Model:
         # In a BPE model scores fall by one from piece to piece; unigram scores are logarithms of probabilities.
         tail = [self.scores[i] for i in self.plain[-100:]]
         self.objective = "merges" if all(a - b == 1 for a, b in zip(tail, tail[1:], strict=False)) else "viterbi"
+        cut = [c for c in MARKS if not any(re.search(f"[{LETTERS}]{re.escape(c)}", self.pieces[i]) for i in self.plain)]
+        marks = "".join(map(re.escape, cut))
+        after = f"(?:[^{MARK}\n{marks}]+|(?<![{LETTERS}])[{marks}])*" if cut else f"[^{MARK}\n]*"
+        self.chunk = re.compile(f"(?:{MARK}+|[^{MARK}\n]){after}|\n")
         if any("\n" in self.pieces[i] or MARK in self.pieces[i].lstrip(MARK) for i in self.plain):
             raise ValueError("this model has pieces that reach across chunks")
         #: The bytes that each id stands for.
@@ -80,35 +84,45 @@ def model(path: str) -> Model:
     return _MODELS[path]
 
 
-def chunks(text: str) -> list[str]:
-    return CHUNKS.findall(MARK + text.replace(" ", MARK)) if text else []
+def chunks(text: str, m: Model) -> list[str]:
+    return m.chunk.findall(MARK + text.replace(" ", MARK)) if text else []
+
+
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
 
 
 def _merge_fold(edges: Column, n: Column) -> Column:
-    """Ends of the segments: from single characters, the best-ranked edge over two neighbours is merged until none is left."""
+    """Bits of the segments' ends, from all places on: the best-ranked edge over two neighbours is merged until none is left.
 
-    def step(ends: Column, _: Column) -> Column:
-        def mid(e: Column) -> Column:
-            p = F.array_position(ends, e["i"]).cast("int")
-            return F.when((p > 0) & (F.get(ends, p + 1) == e["i"] + e["n"]), F.struct((-e["score"]).alias("rank"), e["i"].alias("i"), F.get(ends, p).alias("mid")))
+    An edge (rank, tips, inner) fits if both its tips are ends of segments with just one other between them; of equal
+    ranks the leftmost, with the lowest tips, goes first.
+    """
 
-        best = F.array_min(F.transform(edges, mid))
-        return F.when(best.isNull(), ends).otherwise(F.array_remove(ends, F.coalesce(best["mid"], F.lit(-1))))
+    def step(ends: Column, _: Column) -> Column:
+        best = F.array_min(F.filter(edges, lambda e: (ends.bitwiseAND(e["tips"]) == e["tips"]) & (F.bit_count(ends.bitwiseAND(e["inner"])) == 1)))
+        return F.coalesce(ends.bitwiseAND(F.bitwise_not(best["inner"])), ends)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), step)
+    every = _bit(n + 1) - 1
+    return F.when(F.size(edges) == 0, every).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), every, step))
 
 
 def _viterbi_fold(edges: Column, n: Column) -> Column:
-    """Ends of the segments of the best sum of scores; a character without a piece costs 100."""
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("back")))
+    """Bits of the ends on the path of the least sum of ranks (negative scores); a character without a piece costs 100."""
+    start = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("ends")))
 
     def step(best: Column, p: Column) -> Column:
-        into = F.transform(F.filter(edges, lambda e: e["i"] + e["n"] == p), lambda e: F.struct((F.get(best, e["i"])["score"] + e["score"]).alias("score"), e["i"].alias("back")))
-        unknown = F.struct((F.get(best, p - 1)["score"] - 100.0).alias("score"), (p - 1).alias("back"))
-        return F.concat(best, F.array(F.array_max(F.concat(into, F.array(unknown)))))
+        # The far tip is bit p; what is left of the tips is the near one, whose place is the number of bits below it.
+        far = _bit(p)
+        into = F.transform(
+            F.filter(edges, lambda e: (e["tips"] >= far) & (e["tips"] < _bit(p + 1))),
+            lambda e: bind(F.get(best, F.bit_count(e["tips"] - far - 1)), lambda f: F.struct((f["cost"] + e["rank"]).alias("cost"), f["ends"].alias("ends"))),
+        )
+        unknown = F.struct((F.get(best, p - 1)["cost"] + 100.0).alias("cost"), F.get(best, p - 1)["ends"].alias("ends"))
+        return F.concat(best, F.array(bind(F.array_min(F.concat(into, F.array(unknown))), lambda t: F.struct(t["cost"].alias("cost"), t["ends"].bitwiseOR(far).alias("ends")))))
 
     path = F.aggregate(F.sequence(F.lit(1), n), start, step)
-    return bind(path, lambda s: F.reverse(F.aggregate(F.sequence(F.lit(1), n), F.array(n), lambda a, _: F.when(F.element_at(a, -1) > 0, F.concat(a, F.array(F.get(s, F.element_at(a, -1))["back"]))).otherwise(a))))
+    return F.element_at(path, -1)["ends"].bitwiseOR(F.lit(1))
 
 
 def encoded_words(words: DataFrame, table: DataFrame, byte_base: int, objective: str = "merges") -> DataFrame:
@@ -118,42 +132,59 @@ def encoded_words(words: DataFrame, table: DataFrame, byte_base: int, objective:
     """
     longest = table.agg(F.max(F.length("piece"))).first()[0] or 1
     others = [c for c in words.columns if c != "word"]
-    size = F.length("word")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), size - i)), lambda n: F.struct(i.cast("int").alias("i"), n.cast("int").alias("n"), F.substring(F.col("word"), i + 1, n).alias("piece")))))
-    lattice = words.where(size > 0).select("word", *others, F.explode(spans).alias("s")).select("word", *others, "s.i", "s.n", "s.piece")
-    # Single characters stay without a piece too: they become bytes.
+    # Substrings by start and length; the other columns ride on the first of them only.
+    at = words.where(F.length("word").between(1, LONGEST)).select("word", *others, F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("i"))
+    at = at.select("word", "i", *[F.when(F.col("i") == 0, F.col(c)).alias(c) for c in others])
+    spans = at.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("i")))).alias("n"))
+    lattice = spans.select("word", "i", "n", F.substring("word", F.col("i") + 1, F.col("n")).alias("piece"), *[F.when(F.col("n") == 1, F.col(c)).alias(c) for c in others])
+    # Single characters stay without a piece too (id -1): they become bytes.
+    # For merges the characters below 256 need no edge of their own (but the first, which carries the rest): their ids stand in
+    # an array by code point.
+    common = lambda c: F.ascii(c) < 256
+    if objective == "merges":
+        lattice = lattice.where((F.col("n") > 1) | (F.col("i") == 0) | ~common(F.col("piece")))
+    known = {r.piece: r.id for r in table.where("length(piece) = 1").collect()}  # the model's characters
+    by_code = F.array(*[F.lit(known.get(chr(c), -1)) for c in range(256)])
     edges = lattice.join(F.broadcast(table), "piece", "left").where("n = 1 OR id IS NOT NULL")
-    grouped = edges.groupBy("word").agg(F.collect_list(F.struct("i", "n", "id", "score")).alias("edges"), *[F.first(c).alias(c) for c in others])
-    n = F.length("word")
-    fold = _merge_fold if objective == "merges" else _viterbi_fold
-    usable = lambda e: F.filter(e, lambda x: x["id"].isNotNull() & (x["n"] > 1)) if objective == "merges" else F.filter(e, lambda x: x["id"].isNotNull())
-    ends = bind(usable(F.col("edges")), lambda e: fold(e, n))
-
-    def ids_of(b: Column) -> Column:
-        def one(start: Column, k: Column) -> Column:
-            end = F.get(b, k + 1)
-            hit = F.get(F.filter(F.col("edges"), lambda e: (e["i"] == start) & (e["n"] == end - start)), F.lit(0))
-            code = F.hex(F.encode(F.substring(F.col("word"), start + 1, F.lit(1)), "UTF-8"))
-            as_bytes = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda q: F.conv(F.substring(code, q, F.lit(2)), 16, 10).cast("int") + byte_base)
-            return F.when(hit["id"].isNotNull(), F.array(hit["id"])).otherwise(as_bytes)
-
-        return F.flatten(F.transform(F.slice(b, 1, F.size(b) - 1), one))
+    near, far = _bit(F.col("i")), _bit(F.col("i") + F.col("n"))
+    edge = F.struct((-F.col("score")).alias("rank"), near.bitwiseOR(far).alias("tips"), (far - near - near).alias("inner"), F.coalesce("id", F.lit(-1)).alias("id"))
+    grouped = edges.groupBy("word").agg(F.collect_list(edge).alias("edges"), *[F.first(c, ignorenulls=True).alias(c) for c in others])
+    usable = F.filter("edges", (lambda e: e["inner"] != 0) if objective == "merges" else (lambda e: e["id"] >= 0))
+    ends = bind(usable, lambda e: (_merge_fold if objective == "merges" else _viterbi_fold)(e, F.length("word")))
+
+    def bytes_of(tips: Column) -> Column:
+        place = F.bit_count(tips.bitwiseAND(-tips) - 1)
+        code = F.hex(F.encode(F.substring(F.col("word"), place.cast("int") + 1, F.lit(1)), "UTF-8"))
+        return bind(code, lambda c: F.transform(F.sequence(F.lit(1), F.length(c), F.lit(2)), lambda q: F.conv(F.substring(c, q, F.lit(2)), 16, 10).cast("int") + byte_base))
+
+    def ids_of(mask: Column) -> Column:
+        taken = F.filter("edges", lambda e: (mask.bitwiseAND(e["tips"]) == e["tips"]) & (mask.bitwiseAND(e["inner"]) == 0))
+        taken = F.transform(taken, lambda e: F.struct(e["tips"].alias("tips"), e["id"].alias("id")))
+        if objective == "merges":
+            alone = F.filter(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda i: (mask.bitwiseAND(_bit(i) * 3) == _bit(i) * 3) & common(F.substring(F.col("word"), i + 1, F.lit(1))) & (i < F.length("word")))
+            taken = F.concat(taken, F.transform(alone, lambda i: F.struct((_bit(i) * 3).alias("tips"), F.get(by_code, F.ascii(F.substring(F.col("word"), i + 1, F.lit(1)))).alias("id"))))
+        ordered = F.array_sort(taken)
+        mixed = lambda o: F.flatten(F.transform(o, lambda e: F.when(e["id"] >= 0, F.array(e["id"])).otherwise(bytes_of(e["tips"]))))
+        return bind(ordered, lambda o: F.when(F.exists(o, lambda e: e["id"] < 0), mixed(o)).otherwise(F.transform(o, lambda e: e["id"])))
 
     return grouped.select("word", bind(ends, ids_of).alias("ids"), *others)
 
 
-def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct chunks of a split, each once."""
-    seen: set[str] = set()
-    for b in batches:
-        split = b.column(0)[0].as_py() if b.num_rows else 0
-        new: set[str] = set()
-        for t in b.column(1):
-            new.update(chunks(t.as_py() or ""))
-        new -= seen
-        seen |= new
-        words = [w for w in new if len(w) <= LONGEST]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([split] * len(words), pa.int32())], names=["word", "split"])
+def _distinct_words(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct chunks of a split, each once."""
+        m, seen = model(path), set()
+        for b in batches:
+            split = b.column(0)[0].as_py() if b.num_rows else 0
+            new: set[str] = set()
+            for t in b.column(1):
+                new.update(chunks(t.as_py() or "", m))
+            new -= seen
+            seen |= new
+            words = [w for w in new if len(w) <= LONGEST]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([split] * len(words), pa.int32())], names=["word", "split"])
+
+    return run
 
 
 def _dictionary(folder: str, split: int) -> dict[str, bytes]:
@@ -188,7 +219,7 @@ def _assemble(folder: str, path: str):
             for t in b.column(2):
                 text = t.as_py() or ""
                 parts = []
-                for w in chunks(text):
+                for w in chunks(text, m):
                     x = known.get(w)
                     if x is None:
                         x = spell(w)
@@ -213,7 +244,9 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     if not docs.inputFiles() or "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
         rows = settle(rows, "pieces-docs")
     rows = rows.select(F.spark_partition_id().alias("split"), "doc_id", "text")
-    pairs = rows.select("split", "text").mapInArrow(_distinct_words, "word string, split int")
+    pairs = rows.select("split", "text").mapInArrow(_distinct_words(path), "word string, split int")
+    # Each word becomes some twenty edges, so there are more and smaller partitions than of the input.
+    pairs = pairs.repartition(4 * max(1, rows.rdd.getNumPartitions()), "word")
     words = pairs.groupBy("word").agg(F.collect_list("split").alias("splits"))  # a number for each input split at most
     coded = encoded_words(words, m.table(spark), m.byte_ids[0], m.objective)
     binary = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 4, "0")), ""))
