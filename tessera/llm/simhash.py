@@ -13,7 +13,7 @@ columns of the input are neither read nor changed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,8 +114,8 @@ def classes(docs: DataFrame) -> DataFrame:
     return prints.join(known.select("fp", "label").join(ids, "label"), "fp")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest doc_id (unknown ids last, then by text); of rows that are the same in both, one."""
+def deduplicated(docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = classes) -> DataFrame:
+    """The rows of docs that stay: of each class the one with the smallest doc_id (unknown ids last, then by text); of rows that are the same in both, one."""
     rows = settle(classes(docs).select("doc_id", "text_hash", "label"), "simhash-classes")
     best = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "text_hash")).alias("k"))
     keep = best.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
