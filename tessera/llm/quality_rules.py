@@ -1,7 +1,8 @@
 """Quality rules: robust multivariate outliers by the minimum covariance determinant of each language and source.
 
 Statistics of a text are turned into a vector whose spread doesn't depend on its length: mean word length, share of symbols,
-share of repeated lines and share of repeated words. For each (lang, source) the mean and the covariance of the half of the
+share of repeated lines and share of repeated words. The shares of repeats are shrunk by a fixed number of lines and words, as
+one repeated line is a large share of a short text and says little there; blank lines don't count. For each (lang, source) the mean and the covariance of the half of the
 documents that lie closest together are found by concentration steps: from the present mean and covariance take the half with
 the smallest Mahalanobis distances, and fit again. The half is found in a histogram of the distances, so a group of any size
 is only ever summed. As the shares are zero in most clean texts, the covariance is regularised by a fixed diagonal (each
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bind, documents, settle, word_array
 
 SYMBOLS = "#*$%&|<>"
-#: The least standard deviation of each feature, which regularises the covariance: a repeated license line in a short text is within it.
-FEATURES = {"mean_word": 0.35, "symbol_share": 0.01, "dup_line_share": 0.15, "repeat_share": 0.15}
+#: The least standard deviation of each feature, which regularises the covariance.
+FEATURES = {"mean_word": 0.35, "symbol_share": 0.01, "dup_line_share": 0.05, "repeat_share": 0.05}
+#: Lines and words without repeats that each text counts as having besides its own: a repeated license line in a short text is no outlier.
+MORE_LINES, MORE_WORDS = 4, 30
 #: Squared distance beyond which a vector is an outlier: far beyond the chi-square quantile, as clean texts must stay.
 CUTOFF = 27.0
 STEPS = 4
@@ -35,7 +38,7 @@ LEAST_ROWS = 40
 
 
 def statistics(text: Column) -> Column:
-    """A struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long)."""
+    """A struct of n_words, word_chars, n_symbols, n_lines (not blank), n_dup_lines, n_repeat_words (long)."""
     text = F.coalesce(text, F.lit(""))
 
     def repeated(words: Column) -> Column:
@@ -50,26 +53,27 @@ def statistics(text: Column) -> Column:
 
         return bind(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), cover(h)).otherwise(F.lit(0).cast("long")))
 
-    lines = bind(F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    lines = bind(F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0), lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("twice")))
     return bind(
         word_array(text),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            lines.alias("n_dup_lines"),
+            lines["n"].alias("n_lines"),
+            lines["twice"].alias("n_dup_lines"),
             repeated(w).alias("n_repeat_words"),
         ),
     )
 
 
-def _vector(n_lines: str) -> dict[str, Column]:
+def _vector() -> dict[str, Column]:
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return {
         "mean_word": F.col("word_chars") / words,
         "symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
-        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col(n_lines), F.lit(1)),
-        "repeat_share": F.col("n_repeat_words") / words,
+        "dup_line_share": F.col("n_dup_lines") / (F.col("n_lines") + MORE_LINES),
+        "repeat_share": F.col("n_repeat_words") / (words + MORE_WORDS),
     }
 
 
@@ -137,11 +141,10 @@ def verdicts(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_RO
         F.xxhash64("text").alias("text_hash"),
         "lang",
         "source",
-        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"),
         statistics(F.col("text")).alias("s"),
-    ).select("doc_id", "text_hash", "lang", "source", "n_lines", "s.*")
+    ).select("doc_id", "text_hash", "lang", "source", "s.*")
     s = s.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    s = settle(s.withColumns(_vector("n_lines")), "quality")
+    s = settle(s.withColumns(_vector()), "quality")
     # What fails the base rule is out already and says nothing about the rest. Every row counts in its own group and in the whole.
     groups = F.array(F.struct(F.lit(False).alias("whole"), "lang", "source"), F.struct(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")))
     fitted = settle(s.where("NOT base_failed").select(F.explode(groups).alias("g"), *FEATURES).select("g.*", *FEATURES), "quality-fit")
