@@ -41,6 +41,10 @@ NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored banner promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar sidenav side rail widget widgets related recommended share sharing social breadcrumb breadcrumbs menu menubar navbar nav navigation toolbar header masthead topbar footer copyright legal pagination pager comment comments commentlist reply replies respond disqus discussion search navigation complementary contentinfo form hidden".split()
 )
 MAIN_TAGS = frozenset(("article", "main"))
+#: Elements whose class or id says nothing within <article> or <main>.
+PLAIN_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
+#: First parts of names that tell what else the page has, as in has-sidebar.
+TELLING = frozenset(("has", "with", "no"))
 CLOSED_BY = {"p": BLOCKS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "option": frozenset(("option",)), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr"))}
 SCOPE = frozenset("article aside body div footer form header main nav ol section table td th ul html".split())
 DEPTH = 12
@@ -54,6 +58,15 @@ class Block:
         self.path, self.keep, self.text = path, keep, text
 
 
+def _names(marks: list[tuple[str, ...]], whole: bool) -> set[str]:
+    """Words of class, id and role: whole names, or their parts but for names like has-sidebar."""
+    names = [re.sub(r"([a-z])([A-Z])", r"\1 \2", n).lower() for x in marks for n in (x[1] or x[2] or x[3]).split()]
+    if whole:
+        return set(names)
+    parts = [[w for w in re.split(r"[^a-z0-9]+", n) if w] for n in names]
+    return {w for p in parts if p and p[0] not in TELLING for w in p}
+
+
 def blocks(page: str) -> tuple[list[Block], dict[int, list[int]]]:
     """Text blocks that aren't noise by meaning, and for each undecided node the hashes of its children.
 
@@ -62,7 +75,7 @@ def blocks(page: str) -> tuple[list[Block], dict[int, list[int]]]:
     out: list[Block] = []
     children: dict[int, list[int]] = {}
     # Of each open element: tag, hash of its path, noise, within main, path of undecided nodes.
-    stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
+    stack: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
     buffer: list[str] = []
 
     def flush() -> None:
@@ -113,9 +126,13 @@ def blocks(page: str) -> tuple[list[Block], dict[int, list[int]]]:
                 break
         marks = MARKED.findall(m[3] or m[6] or "")
         style = ".".join(re.sub("[0-9]+", "0", x[1] or x[2] or x[3]) for x in marks if x[0].lower() != "role")
-        names = {w for x in marks for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x[1] or x[2] or x[3]).lower())}
-        above = stack[-1] if stack else ("", 0, False, False, ())
-        noise = above[2] or tag in NOISE_TAGS or (bool(names & NOISE_WORDS) and tag not in ("body", "html") and tag not in MAIN_TAGS)
+        above = stack[-1] if stack else ("", 0, 0, False, ())
+        # Noise is 1 by a word, which ends at an <article> or <main>, and 2 by a tag.
+        noise = 0 if above[2] == 1 and tag in MAIN_TAGS else above[2]
+        if tag in NOISE_TAGS:
+            noise = 2
+        elif not noise and tag not in ("body", "html") and tag not in MAIN_TAGS and not (above[3] and tag in PLAIN_TAGS):
+            noise = int(bool(_names(marks, above[3]) & NOISE_WORDS))
         main = above[3] or tag in MAIN_TAGS
         node = xxhash.xxh64_intdigest(f"{above[1]}/{tag}.{style}") >> 1
         if not noise and not main and len(stack) <= DEPTH:
