@@ -11,10 +11,12 @@ merges, and the library merges the adjacent pair of the best rank until none is
 folded by merges (each step takes the edge of the best rank that spans exactly two present segments, the leftmost of equals),
 which gives the library's ids; `objective` chooses the fold, by default as the model says.
 
-The words' ids go back to the documents without moving a text: each input split lists its distinct words once, the ids come
-back as one dictionary file for each split in the shared folder, and a second pass over the splits looks words up there. What
-a dictionary doesn't have (words of more than `LONGEST` characters, or after a change of the splits) the library encodes, so
-ids never depend on how the input was split.
+The words' ids go back to the documents without moving a text: each block of the input (`BLOCK_CHARS` characters of one split)
+lists its distinct words once, the ids come back as one dictionary file for each block in the shared folder, and a second
+pass over the splits looks words up there. Words of more than `LONGEST` characters don't fit the lattice, whose ends are
+the bits of a number; the library encodes them inside the tasks. So it does with words that a dictionary lacks because the
+splits changed between the passes (executors that come or go change their number). `n_library` counts both for each
+document, so that nothing stands in for the lattice unseen.
 
 Cases: null and empty texts have no pieces; white space other than the blank, and characters without a piece, become bytes;
 repeated rows get equal ids; a very long text is encoded as a whole; documents that don't come from stored files are written
@@ -26,19 +28,29 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as pads
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import bind, documents, scratch, settle
 
 MARK = "▁"
+RUNS = re.compile(" +[^ ]*")
 #: Marks before which a text is cut if a letter stands before them and no piece of the model joins the two.
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,!?*#%&$|;:=+\"()<>-"
 #: Longer chunks aren't put into the lattice, whose ends are the bits of a number: the library encodes them, to the same ids.
-LONGEST = 32
+LONGEST = 60
+#: Characters of text that share a dictionary (some 300 MB of a worker's memory), and those encoded at a time.
+BLOCK_CHARS, SLICE_CHARS = 32_000_000, 4_000_000
+#: Blocks whose number stands in one row of the distinct words: a word in more of them is folded once for each such group.
+BLOCKS_IN_ROW = 4096
+#: Substrings of this length and more are only made as far as the model's longest piece that starts like them.
+PREFIX = 4
 
 
 class Model:
@@ -88,6 +100,20 @@ def chunks(text: str, m: Model) -> list[str]:
     return m.chunk.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+def parts(text: str) -> list[str]:
+    """The text cut before each run of blanks, each part with one blank less at its front; no chunk reaches from one into the next."""
+    if not text:
+        return []
+    if MARK in text:
+        text = text.replace(MARK, " ")
+    return RUNS.findall(f" {text}") if "  " in text or text[0] == " " or text[-1] == " " else text.split(" ")
+
+
+def part_chunks(part: str, m: Model) -> list[str]:
+    """The chunks of a part; those of a text are those of its parts one after another."""
+    return m.chunk.findall((part if part[:1] == " " else f" {part}").replace(" ", MARK))
+
+
 def _bit(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
 
@@ -99,12 +125,15 @@ def _merge_fold(edges: Column, n: Column) -> Column:
     ranks the leftmost, with the lowest tips, goes first.
     """
 
+    done = F.lit(1 << 62).cast("long")  # set when nothing fits any more
+
     def step(ends: Column, _: Column) -> Column:
         best = F.array_min(F.filter(edges, lambda e: (ends.bitwiseAND(e["tips"]) == e["tips"]) & (F.bit_count(ends.bitwiseAND(e["inner"])) == 1)))
-        return F.coalesce(ends.bitwiseAND(F.bitwise_not(best["inner"])), ends)
+        return F.when(ends >= done, ends).otherwise(F.coalesce(ends.bitwiseAND(F.bitwise_not(best["inner"])), ends.bitwiseOR(done)))
 
     every = _bit(n + 1) - 1
-    return F.when(F.size(edges) == 0, every).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), every, step))
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), every, step)
+    return F.when(F.size(edges) == 0, every).otherwise(folded.bitwiseAND(F.bitwise_not(done)))
 
 
 def _viterbi_fold(edges: Column, n: Column) -> Column:
@@ -126,21 +155,24 @@ def _viterbi_fold(edges: Column, n: Column) -> Column:
 
 
 def encoded_words(words: DataFrame, table: DataFrame, byte_base: int, objective: str = "merges") -> DataFrame:
-    """words (word, ...) with distinct words -> (word, ids array<int>, first of the other columns).
+    """words (word, keys..., ...) with distinct words, or distinct (word, part) -> (word, ids array<int>, first of the other columns).
 
     byte_base is the id of byte 0; the ids of bytes follow one another.
     """
-    longest = table.agg(F.max(F.length("piece"))).first()[0] or 1
-    others = [c for c in words.columns if c != "word"]
+    keys = [c for c in ("word", "part") if c in words.columns]
+    others = [c for c in words.columns if c not in keys]
     # Substrings by start and length; the other columns ride on the first of them only.
-    at = words.where(F.length("word").between(1, LONGEST)).select("word", *others, F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("i"))
-    at = at.select("word", "i", *[F.when(F.col("i") == 0, F.col(c)).alias(c) for c in others])
-    spans = at.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("i")))).alias("n"))
-    lattice = spans.select("word", "i", "n", F.substring("word", F.col("i") + 1, F.col("n")).alias("piece"), *[F.when(F.col("n") == 1, F.col(c)).alias(c) for c in others])
+    at = words.where(F.length("word").between(1, LONGEST)).select(*keys, *others, F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("i"))
+    at = at.select(*keys, "i", *[F.when(F.col("i") == 0, F.col(c)).alias(c) for c in others])
     # Single characters stay without a piece too (id -1): they become bytes.
     # For merges the characters below 256 need no edge of their own (but the first, which carries the rest): their ids stand in
     # an array by code point.
     common = lambda c: F.ascii(c) < 256
+    starts = table.where(F.length("piece") >= PREFIX).groupBy(F.substring("piece", 1, PREFIX).alias("prefix")).agg(F.max(F.length("piece")).alias("most"))
+    with_starts = at.withColumn("prefix", F.substring(F.col("word"), F.col("i") + 1, F.lit(PREFIX))).join(F.broadcast(starts), "prefix", "left")
+    most = F.least(F.coalesce("most", F.lit(PREFIX - 1)), F.length("word") - F.col("i"))
+    spans = with_starts.select(*keys, "i", *others, F.explode(F.sequence(F.lit(1), most)).alias("n"))
+    lattice = spans.select(*keys, "i", "n", F.substring("word", F.col("i") + 1, F.col("n")).alias("piece"), *[F.when(F.col("n") == 1, F.col(c)).alias(c) for c in others])
     if objective == "merges":
         lattice = lattice.where((F.col("n") > 1) | (F.col("i") == 0) | ~common(F.col("piece")))
     known = {r.piece: r.id for r in table.where("length(piece) = 1").collect()}  # the model's characters
@@ -148,7 +180,7 @@ def encoded_words(words: DataFrame, table: DataFrame, byte_base: int, objective:
     edges = lattice.join(F.broadcast(table), "piece", "left").where("n = 1 OR id IS NOT NULL")
     near, far = _bit(F.col("i")), _bit(F.col("i") + F.col("n"))
     edge = F.struct((-F.col("score")).alias("rank"), near.bitwiseOR(far).alias("tips"), (far - near - near).alias("inner"), F.coalesce("id", F.lit(-1)).alias("id"))
-    grouped = edges.groupBy("word").agg(F.collect_list(edge).alias("edges"), *[F.first(c, ignorenulls=True).alias(c) for c in others])
+    grouped = edges.groupBy(*keys).agg(F.collect_list(edge).alias("edges"), *[F.first(c, ignorenulls=True).alias(c) for c in others])
     usable = F.filter("edges", (lambda e: e["inner"] != 0) if objective == "merges" else (lambda e: e["id"] >= 0))
     ends = bind(usable, lambda e: (_merge_fold if objective == "merges" else _viterbi_fold)(e, F.length("word")))
 
@@ -161,8 +193,10 @@ def encoded_words(words: DataFrame, table: DataFrame, byte_base: int, objective:
         taken = F.filter("edges", lambda e: (mask.bitwiseAND(e["tips"]) == e["tips"]) & (mask.bitwiseAND(e["inner"]) == 0))
         taken = F.transform(taken, lambda e: F.struct(e["tips"].alias("tips"), e["id"].alias("id")))
         if objective == "merges":
-            alone = F.filter(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda i: (mask.bitwiseAND(_bit(i) * 3) == _bit(i) * 3) & common(F.substring(F.col("word"), i + 1, F.lit(1))) & (i < F.length("word")))
-            taken = F.concat(taken, F.transform(alone, lambda i: F.struct((_bit(i) * 3).alias("tips"), F.get(by_code, F.ascii(F.substring(F.col("word"), i + 1, F.lit(1)))).alias("id"))))
+            # Bit i of single is set if the segment from i is one character.
+            places = bind(mask.bitwiseAND(F.shiftright(mask, 1)), lambda single: F.filter(F.sequence(F.lit(1), F.length("word") - 1), lambda i: (F.getbit(single, i) == 1) & common(F.substring(F.col("word"), i + 1, F.lit(1)))))
+            places = F.when(F.length("word") > 1, places).otherwise(F.array().cast("array<int>"))
+            taken = F.concat(taken, F.transform(places, lambda i: F.struct((_bit(i) * 3).alias("tips"), F.get(by_code, F.ascii(F.substring(F.col("word"), i + 1, F.lit(1)))).alias("id"))))
         ordered = F.array_sort(taken)
         mixed = lambda o: F.flatten(F.transform(o, lambda e: F.when(e["id"] >= 0, F.array(e["id"])).otherwise(bytes_of(e["tips"]))))
         return bind(ordered, lambda o: F.when(F.exists(o, lambda e: e["id"] < 0), mixed(o)).otherwise(F.transform(o, lambda e: e["id"])))
@@ -170,89 +204,146 @@ def encoded_words(words: DataFrame, table: DataFrame, byte_base: int, objective:
     return grouped.select("word", bind(ends, ids_of).alias("ids"), *others)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of the batches of one split, each with its block: the split's number and how many times `BLOCK_CHARS` came before."""
+    seen = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        split, at, size, block = b.column(0)[0].as_py() << 20, 0, 0, 0
+        for k, n in enumerate(pc.utf8_length(b.column(text_at)).fill_null(0).to_pylist()):
+            here = seen // BLOCK_CHARS
+            if k > at and (here != block or size >= SLICE_CHARS):
+                yield split + block, b.slice(at, k - at)
+                at, size = k, 0
+            block, seen, size = here, seen + n, size + n
+        yield split + block, b.slice(at)
+
+
 def _distinct_words(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct chunks of a split, each once."""
-        m, seen = model(path), set()
-        for b in batches:
-            split = b.column(0)[0].as_py() if b.num_rows else 0
-            new: set[str] = set()
-            for t in b.column(1):
-                new.update(chunks(t.as_py() or "", m))
+        """The distinct chunks of each block, each once."""
+        m, seen, met, last = model(path), set(), set(), None
+        for block, b in _blocks(batches, 1):
+            if block != last:
+                seen, met, last = set(), set(), block
+            found = set().union(*(parts(t.as_py() or "") for t in b.column(1))) - met
+            met |= found
+            # All parts in one string, as no chunk reaches from one into the next; those of blanks alone would.
+            blank = {p for p in found if not p.strip(" ")}
+            new = set(m.chunk.findall("".join([p if p[0] == " " else f" {p}" for p in found - blank]).replace(" ", MARK)))
+            new.update(*(part_chunks(p, m) for p in blank))
             new -= seen
             seen |= new
             words = [w for w in new if len(w) <= LONGEST]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([split] * len(words), pa.int32())], names=["word", "split"])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([block] * len(words), pa.int64())], names=["word", "block"])
 
     return run
 
 
-def _dictionary(folder: str, split: int) -> dict[str, bytes]:
-    store, root = pafs.FileSystem.from_uri(f"{folder}/split={split}")
+def _dictionary(folder: str, block: int) -> dict[str, bytes]:
+    store, root = pafs.FileSystem.from_uri(f"{folder}/block={block}")
     if store.get_file_info(root).type == pafs.FileType.NotFound:
         return {}
     t = pads.dataset(root, filesystem=store, format="parquet").to_table(columns=["word", "ids"])
     return dict(zip(t.column("word").to_pylist(), t.column("ids").to_pylist(), strict=True))
 
 
+def _spell(w: str, m: Model) -> bytes:
+    """The library's ids of a chunk: it puts a blank in front itself; a chunk without one follows a line end, which is one byte."""
+    if w[0] == MARK:
+        ids = m.sp.encode(w[1:].replace(MARK, " ")) if len(w) > 1 else [m.sp.piece_to_id(MARK)]
+    else:
+        ids = m.sp.encode("\n" + w)[2:]
+    return np.array(ids, dtype=">u2").tobytes()
+
+
 def _assemble(folder: str, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        m, known, last = model(path), {}, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            split = b.column(0)[0].as_py()
-            if split != last:
-                known, last = _dictionary(folder, split), split
-
-            def spell(w: str) -> bytes:
-                # The library puts a blank in front itself; a chunk without one follows a line end, which is one byte.
-                if w[0] == MARK:
-                    ids = m.sp.encode(w[1:].replace(MARK, " ")) if len(w) > 1 else [m.sp.piece_to_id(MARK)]
-                else:
-                    ids = m.sp.encode("\n" + w)[2:]
-                return np.array(ids, dtype=">u2").tobytes()
-
-            out, good, sizes = [], [], []
-            for t in b.column(2):
-                text = t.as_py() or ""
-                parts = []
-                for w in chunks(text, m):
-                    x = known.get(w)
+        m, last = model(path), None
+        inner, met, helped = {}, {}, {}
+        spelt = pa.array(m.bytes, pa.binary())
+        for block, b in _blocks(batches, 2):
+            if block != last:
+                # A part that is one chunk has that chunk's ids; others are put beside them when they are met.
+                words = _dictionary(folder, block)
+                inner, last, helped = {w: x for w, x in words.items() if w[0] != MARK}, block, {}
+                met = {w[1:]: x for w, x in words.items() if w[0] == MARK}
+                del words
+
+            def put(part: str) -> None:
+                ids, lacking = [], 0
+                for w in part_chunks(part, m):
+                    x = met.get(w[1:]) if w[0] == MARK else inner.get(w)
                     if x is None:
-                        x = spell(w)
-                        if len(w) <= LONGEST:
-                            known[w] = x
-                    parts.append(x)
-                ids = np.frombuffer(b"".join(parts), dtype=">u2").astype(np.int32)
-                out.append(ids)
-                sizes.append(len(ids))
-                good.append(m.decode(ids.tolist()) == text)
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sizes, pa.int32()), ids, pa.array(good)], names=["doc_id", "n_pieces", "ids", "decodes"])
+                        x, lacking = _spell(w, m), lacking + 1
+                    ids.append(x)
+                met[part] = b"".join(ids)
+                if lacking:
+                    helped[part] = lacking
+
+            texts = [t or "" for t in b.column(2).to_pylist()]
+            coded, library = [], []
+            for text in texts:
+                cut = parts(text)
+                for part in set(cut).difference(met):
+                    put(part)
+                coded.append(b"".join(map(met.__getitem__, cut)))
+                library.append(sum(helped.get(part, 0) for part in cut) if helped else 0)
+            sizes = np.array([len(x) // 2 for x in coded], np.int64)
+            ids = np.frombuffer(b"".join(coded), dtype=">u2").astype(np.int32)
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(1), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), pa.array(_same(ids, ends, spelt, texts)), pa.array(library, pa.int32())],
+                names=["doc_id", "n_pieces", "ids", "decodes", "n_library"],
+            )
 
     return run
 
 
+def _same(ids: np.ndarray, ends: np.ndarray, spelt: pa.Array, texts: list[str]) -> list[bool]:
+    """Whether the ids of each text decode to it: their pieces' bytes one after another, less the blank in front."""
+    taken = spelt.take(pa.array(ids))
+    data = taken.buffers()[2] if len(ids) else None
+    at = np.frombuffer(taken.buffers()[1], np.int32)[: len(ids) + 1][ends] if len(ids) else np.zeros(len(ends), np.int32)
+    out = []
+    for k, text in enumerate(texts):
+        got = data[int(at[k]) : int(at[k + 1])].to_pybytes() if data is not None else b""
+        out.append(got.removeprefix(b" ") == text.encode("utf-8", "surrogatepass"))
+    return out
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_pieces, ids, decodes (the ids give the text again) of each row of docs."""
+    """doc_id, n_pieces, ids, decodes (the ids give the text again), n_library (chunks that the lattice lacks) of each row of docs."""
     spark, m = docs.sparkSession, model(path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if not docs.inputFiles() or "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
         rows = settle(rows, "pieces-docs")
     rows = rows.select(F.spark_partition_id().alias("split"), "doc_id", "text")
-    pairs = rows.select("split", "text").mapInArrow(_distinct_words(path), "word string, split int")
+    splits = max(1, rows.rdd.getNumPartitions())
+    pairs = rows.select("split", "text").mapInArrow(_distinct_words(path), "word string, block long")
     # Each word becomes some twenty edges, so there are more and smaller partitions than of the input.
-    pairs = pairs.repartition(4 * max(1, rows.rdd.getNumPartitions()), "word")
-    words = pairs.groupBy("word").agg(F.collect_list("split").alias("splits"))  # a number for each input split at most
+    pairs = pairs.withColumn("part", F.shiftright(F.col("block"), 20) % F.greatest(F.lit(1), F.lit(-(-splits // BLOCKS_IN_ROW))))
+    pairs = pairs.repartition(4 * splits, "word", "part")
+    words = pairs.groupBy("word", "part").agg(F.collect_list("block").alias("blocks"))
     coded = encoded_words(words, m.table(spark), m.byte_ids[0], m.objective)
     binary = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 4, "0")), ""))
     folder = scratch(spark, "piece-words")
-    coded.select("word", binary.alias("ids"), F.explode("splits").alias("split")).repartition("split").write.partitionBy("split").parquet(folder)
-    return rows.mapInArrow(_assemble(folder, path), "doc_id long, n_pieces int, ids array<int>, decodes boolean")
+    coded.select("word", binary.alias("ids"), F.explode("blocks").alias("block")).repartitionById(splits, F.shiftright("block", 20).cast("int")).write.partitionBy("block").parquet(folder)
+    return rows.mapInArrow(_assemble(folder, path), "doc_id long, n_pieces int, ids array<int>, decodes boolean, n_library int")
+
+
+def decoded(coded: DataFrame, path: str) -> DataFrame:
+    """coded (ids array<int>, ...) with a column text of what the ids stand for; null ids give null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path)
+        for b in batches:
+            texts = [None if x is None else m.decode(x) for x in b.column(b.schema.get_field_index("ids")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "text"])
+
+    rows = coded.drop("text")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())]))
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
