@@ -1,14 +1,17 @@
 """Personal data: fixed patterns, widened by bootstrapped contextual extraction.
 
-The fixed patterns (e-mail, IPv4, payment card, phone) give the seeds. Mentions that look like identifiers, seeds or not, are
-instances; the words around a mention, each with the mention's shape, are its lexical patterns. Spark scores the graph of
-patterns and instances in rounds: a pattern's confidence for a kind is the share of its distinct instances that are known to
-be of that kind, if at least `LEAST_KNOWN` are; an instance that isn't known yet is adopted if the patterns it occurs with
-make its kind likely enough. Mentions of adopted instances are added to the spans of the fixed patterns, which all stay.
-
-Cases: null and empty texts have no spans; repeated rows get the same spans; an added span never overlaps a fixed one;
-spans count code points, the end exclusive; scanning takes time in proportion to a text's length, also for long runs of
-digits or signs; other columns pass through `masked` unchanged.
+The fixed patterns (e-mail, IPv4, payment card, phone) give the seeds. Mentions that look like identifiers (something around
+an @ or its spelt-out form, or six digits and more with separators), seeds or not, are instances; the words around a mention,
+with whether it is of the @ kind or a number, are its lexical patterns. Spark scores the graph of patterns and instances in
+rounds: a pattern's confidence for a kind is the share of its distinct instances that are known to be of that kind, if at
+least `LEAST_KNOWN` are; an instance that isn't known yet is adopted if the patterns it occurs with make its kind likely
+enough, and is known in the next round. Rounds go on until none is adopted (beyond `MOST_ROUNDS` the run fails rather than stop
+early). Mentions of adopted instances are added to the spans of the fixed patterns, which all stay.
+
+Cases: null and empty texts have no spans, an empty table gives no rows; repeated rows get the same spans; an added span never
+overlaps a fixed one; spans count code points, the end exclusive; scanning takes time in proportion to a text's length, also for
+long runs of letters, digits or signs, and an identifier may be of any length; of a neighbouring word the `NEAR_CHARS` characters
+next to the mention count; other columns, whatever their names, pass through `masked` unchanged.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, settle
+from tessera.llm.common import documents, keyed, settle
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -31,11 +34,15 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
-#: What may be an identifier: something around an @ or its spelt-out form, or a number of six digits and more with separators.
-MENTION = re.compile(r"[^\s@]{1,64}@[^\s@]{1,64}|[A-Za-z0-9._%+-]{1,64} ?[(\[](?:at|AT)[)\]] ?[A-Za-z0-9.-]{1,64}|\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){5,63}(?![0-9])")
-BEFORE = re.compile(r"(\S{1,40})\s+\S{0,8}$")
-AFTER = re.compile(r"\S{0,8}\s+(\S{1,40})")
-ROUNDS, LEAST_KNOWN, PATTERN_CONFIDENCE, INSTANCE_CONFIDENCE = 3, 4, 0.8, 0.9
+#: What may be an identifier. A match starts where a run of such characters does, so no run is read twice.
+MENTION = re.compile(r"(?<![^\s@])[^\s@]++@[^\s@]++|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[](?:at|AT)[)\]] ?[A-Za-z0-9.-]++|(?<![0-9])\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){5,}+")
+#: Marks at the ends of an @ mention that are no part of it.
+OUTER = ".,;:!?\"'()[]{}<>#*$%&|"
+#: Characters of each neighbouring word that count, and how far it is looked for.
+NEAR_CHARS, NEAR = 40, 200
+LEAST_KNOWN, PATTERN_CONFIDENCE, INSTANCE_CONFIDENCE, MOST_ROUNDS = 4, 0.8, 0.9, 100
+#: Parts into which the links of a pattern or an instance are dealt, as one may hold a third of all.
+SALTS = 16
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -81,8 +88,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _shape(s: str) -> str:
-    return re.sub(r"[^\W\d_]+", "a", re.sub("[0-9]+", "9", s))
+def _near(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
+    """The two words before and the two after a mention, in lower case, "^" and "$" where there is none."""
+    left, right = text[max(0, start - NEAR) : start], text[end : end + NEAR]
+    before, after = left.split(), right.split()
+    # A few characters that touch the mention, such as quotation marks, belong to its own word.
+    if before and not left[-1].isspace() and len(before[-1]) <= 8:
+        before.pop()
+    if after and not right[0].isspace() and len(after[0]) <= 8:
+        after.pop(0)
+    before, after = [w[-NEAR_CHARS:].lower() for w in before[-2:]], [w[:NEAR_CHARS].lower() for w in after[:2]]
+    return ["^"] * (2 - len(before)) + before, after + ["$"] * (2 - len(after))
 
 
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, list[int]]]:
@@ -95,15 +111,19 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
             while at < len(taken) and taken[at][1] <= m.start():
                 at += 1
             if at == len(taken) or taken[at][0] >= m.end():
-                found.append((-1, m.start(), m.end()))
+                a, b = m.start(), m.end() - len(m[0]) + len(m[0].rstrip(OUTER))
+                if "@" in m[0]:
+                    a += len(m[0]) - len(m[0].lstrip(OUTER))
+                if a < b:
+                    found.append((-1, a, b))
     out = []
     for k, a, b in found:
-        shape = _shape(text[a:b])
-        before, after = BEFORE.search(text, max(0, a - 60), a), AFTER.match(text, b, min(len(text), b + 60))
-        left, right = before[1].lower() if before else "^", after[1].lower() if after else "$"
-        patterns = [f"{left} {shape}", f"{shape} {right}", f"{left} {shape} {right}"]
+        mention = text[a:b]
+        kind = "9" if mention.lower() == mention.upper() and "@" not in mention else "@"
+        (l2, l1), (r1, r2) = _near(text, a, b)
+        patterns = [f"{l2} {l1} {kind}", f"{l1} {kind} {r1}", f"{kind} {r1} {r2}", f"{l2} {l1} {kind} {r1}"]
         hashed = [xxhash.xxh64_intdigest(p) >> 1 for p in patterns]
-        out.append((k, a, b, xxhash.xxh64_intdigest(re.sub(r"[\s().-]", "", text[a:b].lower())) >> 1, hashed))
+        out.append((k, a, b, xxhash.xxh64_intdigest(re.sub(r"[\s().-]", "", mention.lower())) >> 1, hashed))
     return out
 
 
@@ -125,24 +145,32 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SCANNED = "doc_id long, text_hash long, base array<struct<kind:int,start:int,end:int>>, mentions array<struct<kind:int,start:int,end:int,instance:bigint,patterns:array<bigint>>>"
 
 
-def adopted(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _matched(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """many joined to few (a row or two for each key) on key, with each key dealt to `SALTS` parts by a hash of `by`."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    return many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(few.select("*", salts), [key, "salt"]).drop("salt")
+
+
+def adopted(found: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """found (kind, instance, patterns) of each mention -> (instance, kind) of instances that patterns, not the fixed rules, make known."""
     edges = settle(found.select("kind", "instance", F.explode("patterns").alias("pattern")).distinct(), "pii-edges")
     links = settle(edges.select("instance", "pattern").distinct(), "pii-links")
-    size = links.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    size = settle(links.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), "pii-sizes")
     known = settle(edges.where("kind >= 0").select("instance", "kind").distinct(), "pii-known")
     seeds = known
-    for _ in range(rounds):
-        hits = links.join(known, "instance").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= LEAST_KNOWN)
+    for _ in range(most_rounds):
+        hits = _matched(links, known, "instance", "pattern").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= LEAST_KNOWN)
         sure = hits.join(size, "pattern").withColumn("confidence", F.col("k") / F.col("n")).where(F.col("confidence") >= PATTERN_CONFIDENCE).select("pattern", "kind", "confidence")
+        # Patterns all of whose instances are known can't adopt any.
+        sure = sure.where("confidence < 1")
         open_ = links.join(known.select("instance").distinct(), "instance", "left_anti")
-        doubt = open_.join(sure, "pattern").groupBy("instance", "kind").agg(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))).alias("l"))
+        doubt = _matched(open_, sure, "pattern", "instance").groupBy("instance", "kind").agg(F.sum(F.log(1 - F.col("confidence"))).alias("l"))
         likely = doubt.where(1 - F.exp("l") >= INSTANCE_CONFIDENCE).groupBy("instance").agg(F.min(F.struct("l", "kind")).alias("b")).select("instance", F.col("b.kind").alias("kind"))
         likely = settle(likely, "pii-new")
         if not likely.limit(1).count():
-            break
+            return known.join(seeds.select("instance").distinct(), "instance", "left_anti")
         known = settle(known.union(likely), "pii-known")
-    return known.join(seeds.select("instance").distinct(), "instance", "left_anti")
+    raise RuntimeError(f"patterns still adopt instances after {most_rounds} rounds")
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
@@ -150,9 +178,9 @@ def found_spans(docs: DataFrame) -> DataFrame:
     scanned = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_scan, SCANNED), "pii")
     each = scanned.select("doc_id", "text_hash", F.explode("mentions").alias("m")).select("doc_id", "text_hash", "m.*")
     new = adopted(each.select("kind", "instance", "patterns"))
-    more = each.where("kind < 0").drop("kind").join(new, "instance").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
-    more = more.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "more")
-    out = scanned.join(more, scanned["doc_id"].eqNullSafe(more["__id"]) & (scanned["text_hash"] == more["__hash"]), "left")
+    more = _matched(each.where("kind < 0").drop("kind"), new, "instance", "text_hash").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
+    more = more.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "more")
+    out = scanned.join(more, scanned["doc_id"].eqNullSafe(more["id"]) & (scanned["text_hash"] == more["hash"]), "left")
     return out.select("doc_id", "text_hash", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<kind:int,start:int,end:int>>")))).alias("spans"))
 
 
@@ -162,7 +190,8 @@ def _mask(columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, sizes = [], []
-            for t, spans in zip(b.column(text_at), b.column(b.num_columns - 1), strict=True):
+            out = b.column(0).flatten()
+            for t, spans in zip(out[text_at], b.column(1), strict=True):
                 text, found = t.as_py(), spans.as_py()
                 if text is not None and found:
                     parts, at = [], 0
@@ -173,7 +202,6 @@ def _mask(columns: list[str]):
                     text = "".join([*parts, text[at:]])
                 texts.append(text)
                 sizes.append(None if text is None else len(text))
-            out = list(b.columns[:-1])
             out[text_at] = pa.array(texts, pa.string())
             if chars_at is not None:
                 out[chars_at] = pa.array(sizes, pa.int64()).cast(out[chars_at].type)
@@ -184,9 +212,10 @@ def _mask(columns: list[str]):
 
 def masked(docs: DataFrame) -> DataFrame:
     """docs with each span replaced by its kind in angle brackets, n_chars (if there) set anew; all rows and columns stay."""
-    s = found_spans(docs).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.first("spans").alias("__spans"))
+    s = found_spans(docs).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(F.first("spans").alias("spans"))
     s = settle(s, "pii-spans")
-    both = docs.join(s, docs["doc_id"].cast("long").eqNullSafe(s["__id"]) & (F.xxhash64(docs["text"]) == s["__hash"]), "left").select(*[docs[c] for c in docs.columns], "__spans")
+    rows = keyed(docs)
+    both = rows.join(s, rows["id"].eqNullSafe(s["of_id"]) & (rows["hash"] == s["of_hash"]), "left").select("row", s["spans"])
     return both.mapInArrow(_mask(docs.columns), docs.schema)
 
 
@@ -195,7 +224,13 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count_of(kind: int) -> Column:
+    # A lambda of two parameters would get the index as its second.
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts of the fixed patterns, hash of their spans, and all spans, of every document."""
     f = found_spans(documents(spark, sf_dir))
-    base = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    base = [_count_of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return f.select("doc_id", *base, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
