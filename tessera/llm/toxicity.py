@@ -1,22 +1,27 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Words become symbols with weights (insult, threat, intent, target, negation, report). Small transducers then read a clause
-from left to right, each the output of the one before it:
-
-    reported: after a verb of speech, or within quotation marks, what follows counts as reported;
-    negated:  an insult or threat at most three words after a negation loses most of its weight;
-    target:   an insult or threat with a person addressed in the same clause gains weight;
-    threat:   a threat verb counts in full only after a word of intent, else in part.
-
-A clause's score is the weight of the path through the composition; a document's evidence is the sum over matched clauses,
-and a logistic curve of it is the score. Function words are listed; the insult lexicon (words and stems) and its weights are
-learned from labelled rows that aren't held out: words and prefixes that toxic texts hold far more often than others.
+Words become symbols (insult, threat, intent, target, negation, report, quote, word); an insult has its weight in the lexicon, a
+threat a fixed one. Five small transducers, each with states and arcs (symbol read, symbol written, gain), are composed into one:
+
+    reported: after a verb of speech, or within quotation marks, insults and threats lose most of their gain;
+    negated:  so do those at most three words after a negation;
+    insult:   writes an attack for an insult, with more gain right after another;
+    threat:   writes an attack for a threat, in full only after a word of intent;
+    target:   an attack with a person addressed in the same clause gains; where the person comes later the transducer
+              bets on it, and the path only counts if it is found by the clause's end.
+
+In the composition gains multiply. A path's score is the sum, over its words, of the word's weight times the arc's gain; a clause's
+score is that of its best path (one state set moved along the words), and a document's evidence the sum over its clauses with an
+attack. A logistic curve of the evidence is the score. Function words are listed; the insult lexicon (words and stems) and its
+weights are learned from labelled rows that aren't held out: words and prefixes that toxic texts hold far more often than others.
+How strong a term's evidence must be is chosen, and the curve fitted, by two-fold cross-validation among the same rows.
 
 Learning takes a bounded sample of labelled rows, `MOST_ROWS` with the smallest hash of their doc_id; every text is scored
 as a whole. Language, source and ids are no inputs.
 
 Cases: null and empty texts, and texts without a match, get the score of no evidence; repeated rows get equal scores; without
-toxic rows to learn from only the listed words count; other columns are not read.
+toxic rows to learn from only the listed words count; an empty table gives no rows; a very long text takes time in proportion to its
+length; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,12 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents
+from tessera.llm.common import documents, settle
 
 MOST_ROWS = 8000
-MOST_TERMS = 5000
-#: The least evidence for a term of the lexicon, above the logarithm of the number of candidates.
-STRENGTH = 14.0
+#: Evidence (in nats beyond chance) that a term of the lexicon may be asked for; cross-validation chooses among them.
+STRENGTHS = (6.0, 8.0, 10.0, 14.0, 20.0)
 THRESHOLD = 0.7
 #: Function words of the grammar, in English, German, French and Spanish.
 NEGATION = frozenset("not never no nor isn aren wasn don doesn didn won nicht kein keine keinen nie niemals ne pas jamais ni nunca jamás tampoco sin".split())
@@ -49,51 +53,97 @@ TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»„]")
 PREFIXES = (4, 5, 6)
 
 
+SYMBOLS = ("insult", "threat", "intent", "target", "negation", "report", "quote", "word")
+#: Gains of the arcs, and the weight of a threat.
+REPORTED, NEGATED, STACKED, BARE_THREAT, AIMED, THREAT_WEIGHT = 0.4, 0.5, 1.2, 0.3, 1.25, 3.0
+
+
 class Transducer:
-    """Reads (symbol, weight) pairs and rewrites them; step(state, symbol, weight) gives the next state and the new pair."""
+    """Arcs (state, symbol read) -> [(next state, symbol written, gain)]; a symbol without arcs in a state passes through, in that state."""
 
-    def __init__(self, start, step):
-        self.start, self.step = start, step
+    def __init__(self, start, arcs: dict, final):
+        self.start, self.arcs, self.final = start, arcs, frozenset(final)
 
-    def __call__(self, pairs):
-        state, out = self.start, []
-        for symbol, weight in pairs:
-            state, pair = self.step(state, symbol, weight)
-            out.append(pair)
-        return out
+    def step(self, state, symbol: str) -> list[tuple]:
+        return self.arcs.get((state, symbol)) or [(state, symbol, 1.0)]
+
+    def then(self, other: Transducer, symbols=SYMBOLS) -> Transducer:
+        """The composition: what self writes other reads, states are pairs, gains multiply."""
+        start = (self.start, other.start)
+        arcs, final, open_, seen = {}, set(), [start], {start}
+        while open_:
+            pair = a, b = open_.pop()
+            if a in self.final and b in other.final:
+                final.add(pair)
+            for symbol in symbols:
+                out = arcs[pair, symbol] = [((a2, b2), written, g * h) for a2, between, g in self.step(a, symbol) for b2, written, h in other.step(b, between)]
+                for state, _, _ in out:
+                    if state not in seen:
+                        seen.add(state)
+                        open_.append(state)
+        return Transducer(start, arcs, final)
+
+
+def _reported() -> Transducer:
+    arcs: dict = {("plain", "report"): [("said", "word", 1.0)], ("plain", "quote"): [("quoted", "word", 1.0)], ("said", "quote"): [("both", "word", 1.0)], ("quoted", "quote"): [("plain", "word", 1.0)], ("quoted", "report"): [("both", "word", 1.0)], ("both", "quote"): [("said", "word", 1.0)]}
+    for state in ("said", "quoted", "both"):
+        arcs |= {(state, x): [(state, x, REPORTED)] for x in ("insult", "threat")}
+    return Transducer("plain", arcs, ("plain", "said", "quoted", "both"))
+
+
+def _negated() -> Transducer:
+    arcs: dict = {}
+    for left in range(4):
+        arcs[left, "negation"] = [(3, "word", 1.0)]
+        if left:
+            arcs |= {(left, x): [(left - 1, x, NEGATED if x in ("insult", "threat") else 1.0)] for x in SYMBOLS if x != "negation"}
+    return Transducer(0, arcs, range(4))
+
+
+def _insults() -> Transducer:
+    arcs: dict = {("plain", "insult"): [("after", "attack", 1.0)], ("after", "insult"): [("after", "attack", STACKED)]}
+    arcs |= {("after", x): [("plain", x, 1.0)] for x in SYMBOLS if x != "insult"}
+    return Transducer("plain", arcs, ("plain", "after"))
 
 
-def _reported(state, symbol, weight):
-    said, quoted = state
-    if symbol == "quote":
-        return (said, not quoted), (symbol, 0.0)
-    if symbol == "report":
-        return (True, quoted), (symbol, 0.0)
-    return state, (symbol, weight * (0.4 if said or quoted else 1.0))
+def _threats() -> Transducer:
+    return Transducer("idle", {("idle", "intent"): [("bent", "word", 1.0)], ("idle", "threat"): [("idle", "attack", BARE_THREAT)], ("bent", "threat"): [("bent", "attack", 1.0)]}, ("idle", "bent"))
 
 
-def _negated(state, symbol, weight):
-    if symbol == "negation":
-        return 3, (symbol, 0.0)
-    if symbol in ("insult", "threat") and state > 0:
-        return state - 1, (symbol, weight * 0.5)
-    return max(0, state - 1), (symbol, weight)
+def _targets() -> Transducer:
+    arcs: dict = {(state, "target"): [("seen", "word", 1.0)] for state in ("none", "seen", "owed")}
+    arcs |= {("none", "attack"): [("none", "hit", 1.0), ("owed", "hit", AIMED)], ("seen", "attack"): [("seen", "hit", AIMED)], ("owed", "attack"): [("owed", "hit", AIMED)]}
+    return Transducer("none", arcs, ("none", "seen"))
 
 
-def _targeted(state, symbol, weight):
-    if symbol == "target":
-        return True, (symbol, 0.0)
-    return state, (symbol, weight * (1.25 if state and symbol in ("insult", "threat") else 1.0))
+def grammar() -> Transducer:
+    return _reported().then(_negated()).then(_insults()).then(_threats()).then(_targets())
 
 
-def _threatened(state, symbol, weight):
-    if symbol == "intent":
-        return True, (symbol, 0.0)
-    return state, (symbol, weight * (1.0 if state or symbol != "threat" else 0.3))
+class Machine:
+    """A composed grammar with numbered states; only arcs that write "hit" add to a score."""
 
+    def __init__(self, composed: Transducer):
+        states = list(dict.fromkeys([composed.start, *(s for s, _ in composed.arcs)]))
+        number = {s: i for i, s in enumerate(states)}
+        self.start, self.final = number[composed.start], [s in composed.final for s in states]
+        self.arcs = {(number[s], x): [(number[t], g if written == "hit" else 0.0) for t, written, g in out] for (s, x), out in composed.arcs.items()}
 
-#: The composition, in order.
-GRAMMAR = (Transducer((False, False), _reported), Transducer(0, _negated), Transducer(False, _targeted), Transducer(False, _threatened))
+    def best(self, pairs: list[tuple[str, float]]) -> float:
+        """The score of the best accepted path over (symbol, weight) pairs."""
+        at = {self.start: 0.0}
+        for symbol, weight in pairs:
+            moved: dict[int, float] = {}
+            for state, score in at.items():
+                for target, gain in self.arcs[state, symbol]:
+                    new = score + weight * gain
+                    if new > moved.get(target, -1.0):
+                        moved[target] = new
+            at = moved
+        return max((v for s, v in at.items() if self.final[s]), default=0.0)
+
+
+GRAMMAR = Machine(grammar())
 
 
 class Lexicon:
@@ -114,19 +164,20 @@ class Lexicon:
         return w
 
 
+def symbol(token: str, lexicon: Lexicon) -> tuple[str, float]:
+    w = lexicon.weight(token)
+    if w:
+        return "insult", w
+    if token in THREAT:
+        return "threat", THREAT_WEIGHT
+    if not token[0].isalpha():
+        return "quote", 0.0
+    return "negation" if token in NEGATION else "report" if token in REPORT else "intent" if token in INTENT else "target" if token in TARGET else "word", 0.0
+
+
 def clause_score(clause: str, lexicon: Lexicon) -> float:
-    pairs = []
-    for t in TOKEN.findall(clause):
-        w = lexicon.weight(t)
-        if w:
-            pairs.append(("insult", w))
-        elif t in THREAT:
-            pairs.append(("threat", 3.0))
-        else:
-            pairs.append(("quote" if not t[0].isalpha() else "negation" if t in NEGATION else "report" if t in REPORT else "intent" if t in INTENT else "target" if t in TARGET else "word", 0.0))
-    for transducer in GRAMMAR:
-        pairs = transducer(pairs)
-    return sum(w for s, w in pairs if s in ("insult", "threat"))
+    pairs = [symbol(t, lexicon) for t in TOKEN.findall(clause)]
+    return GRAMMAR.best(pairs) if any(w for _, w in pairs) else 0.0
 
 
 def evidence(text: str | None, lexicon: Lexicon) -> tuple[float, int]:
@@ -159,34 +210,66 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _terms(counts: list, folds: tuple[int, ...], totals: dict[int, tuple[int, int]]) -> dict[str, tuple[float, float]]:
+    """(weight, strength) of the telling terms, by the counts of some folds."""
+    n1, n0 = sum(totals[f][0] for f in folds), sum(totals[f][1] for f in folds)
+    out = {}
+    for term, by_fold in counts:
+        pos, neg = sum(by_fold[f][0] for f in folds), sum(by_fold[f][1] for f in folds)
+        if pos <= 0 or not n1 or not n0:
+            continue
+        odds = math.log(((pos + 0.5) / (n1 + 1)) / ((neg + 0.5) / (n0 + 1)))
+        # How far the toxic count exceeds the expected one, in nats.
+        strength = pos * math.log(pos / ((pos + neg) * n1 / (n1 + n0)))
+        if odds >= math.log(20.0) and pos >= 3 * neg:
+            out[term] = (min(6.0, odds), strength)
+    return out
+
+
+def _strong(terms: dict[str, tuple[float, float]], least: float) -> dict[str, float]:
+    return {t: w for t, (w, s) in terms.items() if s >= least}
+
+
 def learned(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> tuple[dict[str, float], float, float]:
     """Weights of words (w:) and stems (p:), and the curve."""
-    rows = labels.where(~held_out(F.col("doc_id"))).where("toxic IN (0, 1)").select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
-    chosen = F.broadcast(rows.dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(most_rows))
-    sample = docs.join(chosen, docs["doc_id"] == chosen["__id"]).select("text", "toxic")
-    terms = sample.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w")).where("length(w) BETWEEN 3 AND 40")
-    stems = [F.when(F.length("w") > n, F.concat(F.lit("p:"), F.substring("w", 1, n))) for n in PREFIXES]
-    n1, n0 = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1)) - F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    rows = labels.where(~held_out(F.col("doc_id"))).where("toxic IN (0, 1)").select(F.col("doc_id").alias("of_id"), F.col("toxic").cast("int").alias("is_toxic"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("fold"))
+    chosen = F.broadcast(rows.dropDuplicates(["of_id"]).orderBy(F.xxhash64("of_id"), "of_id").limit(most_rows))
+    sample = settle(docs.join(chosen, docs["doc_id"] == chosen["of_id"]).select(docs["text"], chosen["is_toxic"], chosen["fold"]), "toxic-sample")
+    found = sample.groupBy("fold").agg(F.sum("is_toxic").alias("pos"), F.count(F.lit(1)).alias("n")).collect()
+    totals = {f: (0, 0) for f in (0, 1)} | {r.fold: (r.pos, r.n - r.pos) for r in found}
+    n1, n0 = sum(t[0] for t in totals.values()), sum(t[1] for t in totals.values())
     if not n1 or not n0:
         return {}, 3.0, -4.0
+    terms = sample.select("is_toxic", "fold", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w")).where("length(w) BETWEEN 3 AND 40")
+    stems = [F.when(F.length("w") > n, F.concat(F.lit("p:"), F.substring("w", 1, n))) for n in PREFIXES]
     # A stem counts once for each distinct word of a text that has it; that is enough to tell which are telling.
-    counts = terms.select("toxic", F.explode(F.array_compact(F.array(F.concat(F.lit("w:"), "w"), *stems))).alias("term")).groupBy("term").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
-    odds = F.log(((F.col("pos") + 0.5) / (n1 + 1)) / ((F.col("neg") + 0.5) / (n0 + 1)))
-    # How far the toxic count exceeds the expected one, in nats: with a million candidates, chance alone gives less.
-    strength = F.col("pos") * F.log(F.col("pos") / ((F.col("pos") + F.col("neg")) * n1 / (n1 + n0)))
-    strong = counts.where("pos > 0").withColumn("odds", odds).where((strength >= STRENGTH) & (F.col("odds") >= math.log(20.0)) & (F.col("pos") >= 3 * F.col("neg")))
-    found = strong.orderBy(F.desc(F.col("odds") * F.log1p("pos")), "term").limit(MOST_TERMS).collect()
-    weights = {r.term: min(6.0, r.odds) for r in found}
-    got = sample.mapInArrow(_evidence(weights), "evidence double, toxic int").collect()  # two numbers for each row of the bounded sample
-    slope, offset = curve(sorted((r.evidence, r.toxic) for r in got))
-    return weights, slope, offset
-
-
-def _evidence(weights: dict[str, float]):
+    each = terms.select("is_toxic", "fold", F.explode(F.array_compact(F.array(F.concat(F.lit("w:"), "w"), *stems))).alias("term"))
+    of = lambda f, y: F.count(F.when((F.col("fold") == f) & (F.col("is_toxic") == y), 1))
+    counts = each.groupBy("term").agg(of(0, 1).alias("p0"), of(0, 0).alias("n0"), of(1, 1).alias("p1"), of(1, 0).alias("n1"))
+    pos, neg = F.col("p0") + F.col("p1"), F.col("n0") + F.col("n1")
+    # The least that any fold, or both, could find telling; the sample bounds their number.
+    counts = counts.where("p0 >= 2 OR p1 >= 2").where((pos >= 3 * neg) | (F.col("p0") >= 3 * F.col("n0")) | (F.col("p1") >= 3 * F.col("n1")))
+    table = [(r.term, ((r.p0, r.n0), (r.p1, r.n1))) for r in counts.orderBy("term").collect()]
+    # Each fold's texts are read with the lexicon of the other, at each strength.
+    others = [_terms(table, (1 - f,), totals) for f in (0, 1)]
+    sent = docs.sparkSession.sparkContext.broadcast([[_strong(others[f], s) for s in STRENGTHS] for f in (0, 1)])
+    got = sorted((r.is_toxic, list(r.evidence)) for r in sample.mapInArrow(_evidence(sent), "is_toxic int, evidence array<double>").collect())  # a few numbers for each row of the bounded sample
+    fits = []
+    for k, strength in enumerate(STRENGTHS):
+        pairs = [(e[k], y) for y, e in got]
+        slope, offset = curve(pairs)
+        loss = sum(math.log1p(math.exp(-min(30.0, max(-30.0, (2 * y - 1) * (slope * math.log1p(e) + offset))))) for e, y in pairs)
+        fits.append((round(loss, 6), -strength, slope, offset))
+    _, strength, slope, offset = min(fits)
+    return _strong(_terms(table, (0, 1), totals), -strength), slope, offset
+
+
+def _evidence(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(weights)
+        lexicons = [[Lexicon(t) for t in of_fold] for of_fold in sent.value]
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([evidence(t.as_py(), lexicon)[0] for t in b.column(0)], pa.float64()), b.column(1)], names=["evidence", "toxic"])
+            found = [[evidence(t, lexicon)[0] for lexicon in lexicons[fold]] for t, fold in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.list_(pa.float64()))], names=["is_toxic", "evidence"])
 
     return run
 
@@ -206,7 +289,7 @@ def _scored(model):
 
 def scored(docs: DataFrame, model: tuple[dict[str, float], float, float]) -> DataFrame:
     """doc_id, held_out, score, predicted and the number of matched clauses of each row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # MOST_TERMS terms at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # its size follows the bounded sample
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_scored(sent), "doc_id long, held_out boolean, score double, predicted int, n_clauses int")
 
 
