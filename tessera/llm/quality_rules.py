@@ -1,40 +1,67 @@
 """Quality rules: robust multivariate outliers by the minimum covariance determinant of each language and source.
 
-Statistics of a text are turned into a vector whose spread doesn't depend on its length: mean word length, share of symbols,
-share of repeated lines and share of repeated words. The shares of repeats are shrunk by a fixed number of lines and words, as
-one repeated line is a large share of a short text and says little there; blank lines don't count. For each (lang, source) the mean and the covariance of the half of the
-documents that lie closest together are found by concentration steps: from the present mean and covariance take the half with
-the smallest Mahalanobis distances, and fit again. The half is found in a histogram of the distances, so a group of any size
-is only ever summed. As the shares are zero in most clean texts, the covariance is regularised by a fixed diagonal (each
-feature's least standard deviation), which keeps the determinant away from zero. Groups smaller than `least_rows` take
-the estimate of the whole table.
+Statistics of a text are turned into a vector: the logarithm of the mean word length (with some words of usual length added), and log(1 + (k + o u) / (o + r n)) for the counts k
+of symbols, repeated lines and repeated words among n characters, lines (blank ones aside) and words. The offset o says how many of
+them are nothing in a text of any length; u is a number in (0, 1) drawn from a hash of the text. Most clean texts have counts of exactly
+zero, so without this draw half of every group would lie in a plane and the least determinant would be zero whatever the rest.
+
+For each (lang, source), over its distinct texts: from each of `STARTS` starts (medians and quartiles; all rows; a random eighth),
+concentration steps take the half of the rows with the smallest Mahalanobis distances and fit mean and covariance again, `STEPS`
+times. The fit with the least determinant stays. Its covariance is made consistent for normal data, rows beyond the chi-square
+quantile `REWEIGHT` are left out, and mean and covariance of the rest, made consistent again, are the estimate. A document is an
+outlier if its squared distance lies beyond the chi-square quantile `QUANTILE`. Halves and medians are found in histograms, so a
+group of any size is only ever summed. Groups with fewer than `least_rows` distinct texts, whose
+half would say too little about four features, take the estimate of the whole table.
 
 All of it is DataFrame and SQL functions.
 
 Cases: a null text has no words and fails the base rule, as do texts with fewer than 50 words; null languages and sources
-are groups of their own; repeated rows get the same verdict; an empty table gives no rows; other columns pass through
-`kept_documents` unchanged.
+are groups of their own; repeated rows get the same verdict and count once in the fit; a group of one text only is kept; an empty table gives no
+rows; a very long text is read as a whole; other columns, whatever their names, pass through `kept_documents` unchanged.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bind, documents, settle, word_array
+from tessera.llm.common import bind, documents, keyed, settle, word_array
 
 SYMBOLS = "#*$%&|<>"
-#: The least standard deviation of each feature, which regularises the covariance.
-FEATURES = {"mean_word": 0.35, "symbol_share": 0.01, "dup_line_share": 0.05, "repeat_share": 0.05}
-#: Lines and words without repeats that each text counts as having besides its own: a repeated license line in a short text is no outlier.
-MORE_LINES, MORE_WORDS = 4, 30
-#: Squared distance beyond which a vector is an outlier: far beyond the chi-square quantile, as clean texts must stay.
-CUTOFF = 27.0
-STEPS = 4
-HALF = 0.5
-LEAST_ROWS = 40
+#: Features of counts: the count, of how many, offset o and rate r.
+COUNTED = {"symbols": ("n_symbols", "word_chars", 5.0, 0.01), "dup_lines": ("n_dup_lines", "n_lines", 4.0, 0.05), "repeats": ("n_repeat_words", "n_words", 15.0, 0.05)}
+#: Words of usual length that each text counts as having besides its own: the mean of a few words says little.
+USUAL = (200, 5)
+FEATURES = ("mean_word", *COUNTED)
+#: Steps from each start, the share of rows in the half, and the chi-square quantiles of reweighting and of the verdict.
+STARTS, STEPS, HALF, REWEIGHT, QUANTILE = 3, 4, 0.5, 0.975, 0.99999
+#: Variance added to each feature's: only what keeps a group of nearly equal texts from a determinant of zero.
+RIDGE = 1e-4
+LEAST_ROWS = 200
+
+
+def chi_square(x: float, df: int) -> float:
+    """Distribution function for an even number of degrees of freedom."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(df // 2))
+
+
+def chi_square_quantile(p: float, df: int) -> float:
+    lo, hi = 0.0, 200.0
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi_square(mid, df) < p else (lo, mid)
+    return (lo + hi) / 2
+
+
+def consistency(share: float, df: int = len(FEATURES)) -> float:
+    """What the covariance of the nearest share of normal rows is to be multiplied by."""
+    return share / chi_square(chi_square_quantile(share, df), df + 2)
+
+
+CUTOFF = chi_square_quantile(QUANTILE, len(FEATURES))
 
 
 def statistics(text: Column) -> Column:
@@ -68,70 +95,87 @@ def statistics(text: Column) -> Column:
 
 
 def _vector() -> dict[str, Column]:
-    words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    return {
-        "mean_word": F.col("word_chars") / words,
-        "symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
-        "dup_line_share": F.col("n_dup_lines") / (F.col("n_lines") + MORE_LINES),
-        "repeat_share": F.col("n_repeat_words") / (words + MORE_WORDS),
-    }
+    def counted(j: int, k: str, n: str, offset: float, rate: float) -> Column:
+        u = (F.pmod(F.xxhash64("text_hash", F.lit(j)), F.lit(1 << 20)) + 0.5) / float(1 << 20)
+        return F.log1p((F.col(k) + offset * u) / (offset + rate * F.col(n)))
+
+    words, chars = USUAL
+    mean = F.log((F.col("word_chars") + words * chars) / (F.col("n_words") + words))
+    return {"mean_word": mean} | {name: counted(j, *of) for j, (name, of) in enumerate(COUNTED.items())}
+
+
+N = len(FEATURES)
+CELLS = [(i, j) for i in range(N) for j in range(i + 1)]
 
 
 def _mean_cov(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n, the means m_i and the covariances c_i_j, summed about fixed centres so that nothing cancels."""
-    names = list(FEATURES)
-    sums = [F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(names)]]
-    sums += [F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i in range(len(names)) for j in range(i + 1)]
-    return rows.groupBy(*keys).agg(*sums)
+    """keys, the means m_i and the covariances c_i_j."""
+    sums = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(FEATURES)]
+    return rows.groupBy(*keys).agg(*sums, *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c_{i}_{j}") for i, j in CELLS])
 
 
-def _with_factor(fit: DataFrame) -> DataFrame:
-    """The Cholesky factor l_i_j of the regularised covariance."""
-    floors = list(FEATURES.values())
-    for i in range(len(floors)):
-        for j in range(i + 1):
-            value = F.col(f"c_{i}_{j}") + (F.lit(floors[i] ** 2) if i == j else F.lit(0.0))
-            for k in range(j):
-                value = value - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            fit = fit.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(value, F.lit(1e-12))) if i == j else value / F.col(f"l_{j}_{j}"))
-    return fit
+def _with_factor(fit: DataFrame, times: float = 1.0) -> DataFrame:
+    """The Cholesky factor l_i_j of the covariance times a factor, and its log determinant."""
+    for i, j in CELLS:
+        value = F.col(f"c_{i}_{j}") * times + (RIDGE if i == j else 0.0)
+        for k in range(j):
+            value = value - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
+        fit = fit.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(value, F.lit(RIDGE / 4))) if i == j else value / F.col(f"l_{j}_{j}"))
+    return fit.withColumn("logdet", reduce(lambda x, y: x + y, [2 * F.log(f"l_{i}_{i}") for i in range(N)]))
 
 
 def _distance(rows: DataFrame) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance, by forward substitution."""
-    names, total = list(FEATURES), F.lit(0.0)
-    for i, x in enumerate(names):
+    total = F.lit(0.0)
+    for i, x in enumerate(FEATURES):
         z = F.col(x) - F.col(f"m_{i}")
         for k in range(i):
             z = z - F.col(f"l_{i}_{k}") * F.col(f"z_{k}")
         rows = rows.withColumn(f"z_{i}", z / F.col(f"l_{i}_{i}"))
         total = total + F.col(f"z_{i}") * F.col(f"z_{i}")
-    return rows.withColumn("d2", total).drop(*[f"z_{i}" for i in range(len(names))])
+    return rows.withColumn("d2", total).drop(*[f"z_{i}" for i in range(N)])
+
+
+def _attach(to: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
+    same = reduce(lambda x, y: x & y, [to[k].eqNullSafe(fit[k]) for k in keys])
+    return to.join(fit, same).drop(*[fit[k] for k in keys])
+
+
+def _quartiles(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A start from medians and quartiles: m_i, and c_i_j with the squared robust deviations on the diagonal."""
+    each = rows.select(*keys, F.posexplode(F.array(*[F.floor(F.col(x) * 256) for x in FEATURES])).alias("f", "bin"))
+    counts = each.groupBy(*keys, "f", "bin").agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy(*keys, "f")
+    at = counts.withColumn("n", F.sum("k").over(w)).withColumn("upto", F.sum("k").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+    q = [F.min(F.when((F.col("f") == i) & (F.col("upto") >= share * F.col("n")), F.col("bin"))).alias(f"q{i}_{round(100 * share)}") for i in range(N) for share in (0.25, 0.5, 0.75)]
+    found = at.groupBy(*keys).agg(*q)
+    centre = [((F.col(f"q{i}_50") + 0.5) / 256).alias(f"m_{i}") for i in range(N)]
+    spread = lambda i: (F.col(f"q{i}_75") - F.col(f"q{i}_25") + 1) / 256 / 1.349
+    return found.select(*keys, *centre, *[(spread(i) * spread(i) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in CELLS])
 
 
 def estimates(rows: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
-    """The minimum-covariance-determinant fit of each group of `keys`: keys, n_rows, m_i, l_i_j."""
-
-    def attach(to: DataFrame, fit: DataFrame) -> DataFrame:
-        same = reduce(lambda x, y: x & y, [to[k].eqNullSafe(fit[k]) for k in keys])
-        return to.join(fit, same).drop(*[fit[k] for k in keys])
-
-    # The start: distances from the median of each feature, scaled by the least deviations alone.
-    centre = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *[F.percentile_approx(x, 0.5, 10_000).alias(f"m_{i}") for i, x in enumerate(FEATURES)])
-    for i in range(len(FEATURES)):
-        for j in range(i + 1):
-            centre = centre.withColumn(f"c_{i}_{j}", F.lit(0.0))
-    fit = settle(_with_factor(centre), "mcd")
+    """The minimum-covariance-determinant fit of each group of `keys`: keys, n_rows, m_i, l_i_j, and the log determinants of the starts."""
+    size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    eighth = rows.where(F.pmod(F.xxhash64(*FEATURES), F.lit(8)) == 0)
+    starts = [_quartiles(rows, keys), _mean_cov(rows, keys), _mean_cov(eighth, keys)]
+    fit = reduce(DataFrame.unionByName, [s.withColumn("start", F.lit(k)) for k, s in enumerate(starts)])
+    fit = settle(_with_factor(_attach(size, fit, keys)), "mcd")
     for _ in range(steps):
-        far = _distance(attach(rows, fit))
+        far = _distance(_attach(rows, fit, keys))
         # A bin is a 64th of a doubling of the squared distance; the half is filled from the nearest bin on.
         far = far.withColumn("bin", F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-9))) * 64))
-        counts = far.groupBy(*keys, "n_rows", "bin").agg(F.count(F.lit(1)).alias("k"))
-        before = F.sum("k").over(Window.partitionBy(*keys).orderBy("bin")) - F.col("k")
-        edge = counts.withColumn("before", before).where(F.col("before") < F.ceil(F.col("n_rows") * HALF)).groupBy(*keys, "n_rows").agg(F.max("bin").alias("edge"))
-        near = attach(far.drop("n_rows"), edge).where("bin <= edge").select(*keys, "n_rows", *FEATURES)
-        fit = settle(_with_factor(_mean_cov(near, [*keys, "n_rows"])), "mcd")
-    return fit
+        counts = far.groupBy(*keys, "start", "n_rows", "bin").agg(F.count(F.lit(1)).alias("k"))
+        before = F.sum("k").over(Window.partitionBy(*keys, "start").orderBy("bin")) - F.col("k")
+        edge = counts.withColumn("before", before).where(F.col("before") < F.ceil(F.col("n_rows") * HALF)).groupBy(*keys, "start").agg(F.max("bin").alias("edge"))
+        near = _attach(far, edge, [*keys, "start"]).where("bin <= edge").select(*keys, "start", "n_rows", *FEATURES)
+        fit = settle(_with_factor(_mean_cov(near, [*keys, "start", "n_rows"])), "mcd")
+    values = [c for c in fit.columns if c[:2] in ("m_", "c_")]
+    best = fit.groupBy(*keys, "n_rows").agg(F.min_by(F.struct(*values), F.struct("logdet", "start")).alias("best"), F.sort_array(F.collect_list(F.struct("start", "logdet"))).alias("starts"))  # a row for each start
+    raw = settle(_with_factor(best.select(*keys, "n_rows", "starts", "best.*"), consistency(HALF)), "mcd")
+    inside = _distance(_attach(rows, raw.drop("starts"), keys)).where(F.col("d2") <= chi_square_quantile(REWEIGHT, N))
+    final = _with_factor(_mean_cov(inside.select(*keys, *FEATURES), keys), consistency(REWEIGHT))
+    return settle(_attach(raw.select(*keys, "n_rows", "starts"), final, keys).drop(*[f"c_{i}_{j}" for i, j in CELLS]), "mcd")
 
 
 def verdicts(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS) -> DataFrame:
@@ -145,23 +189,24 @@ def verdicts(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_RO
     ).select("doc_id", "text_hash", "lang", "source", "s.*")
     s = s.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     s = settle(s.withColumns(_vector()), "quality")
-    # What fails the base rule is out already and says nothing about the rest. Every row counts in its own group and in the whole.
+    # What fails the base rule is out already and says nothing about the rest. Every distinct text counts in its own group and in the whole.
     groups = F.array(F.struct(F.lit(False).alias("whole"), "lang", "source"), F.struct(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")))
-    fitted = settle(s.where("NOT base_failed").select(F.explode(groups).alias("g"), *FEATURES).select("g.*", *FEATURES), "quality-fit")
+    distinct = s.where("NOT base_failed").dropDuplicates(["lang", "source", "text_hash"])
+    fitted = settle(distinct.select(F.explode(groups).alias("g"), *FEATURES).select("g.*", *FEATURES), "quality-fit")
     fit = estimates(fitted, ["whole", "lang", "source"])
     values = [c for c in fit.columns if c[:2] in ("m_", "l_")]
     whole = fit.where("whole").select(*values).first()  # one row, or none if every text fails the base rule
     own = fit.where(~F.col("whole") & (F.col("n_rows") >= least_rows))
     out = s.join(own, s["lang"].eqNullSafe(own["lang"]) & s["source"].eqNullSafe(own["source"]), "left").select(s["*"], *[F.coalesce(own[c], F.lit(whole[c] if whole else 0.0)).alias(c) for c in values])
     out = _distance(out)
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))).select("doc_id", "text_hash", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept")
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))).select("doc_id", "text_hash", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept", *FEATURES)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep."""
-    v = verdicts(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    v = settle(v, "quality-kept")
-    return docs.join(v, docs["doc_id"].cast("long").eqNullSafe(v["__id"]) & (F.xxhash64(docs["text"]) == v["__hash"]), "left_semi")
+    v = settle(verdicts(docs).where("kept").select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")).distinct(), "quality-kept")
+    rows = keyed(docs)
+    return rows.join(v, rows["id"].eqNullSafe(v["of_id"]) & (rows["hash"] == v["of_hash"]), "left_semi").select("row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
