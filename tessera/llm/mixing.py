@@ -4,9 +4,9 @@ Each source has a target number of words. A target above the source's size takes
 filled by a weighted sample without replacement: each document draws the exponential key -ln(u) / quality, and documents
 are taken in ascending order of their keys while the middle of a document still lies within the budget.
 
-The order within a source is never made in one place. Keys fall into bins; a small table of words by (source, bin) gives the
-bin in which the budget ends, documents in lower bins are taken, and only those of that one bin are sorted. The number of
-bins follows the source's number of documents, so that a bin holds about `per_bin` of them at any size.
+The order within a source is never made in one place. Logarithms of keys are dealt to `BINS` bins between the source's least and greatest;
+a small table of words by (source, bin) gives the bin in which the budget ends, and that bin alone is dealt again until it has at
+most `per_bin` documents. Documents below it are taken, and only its own are sorted.
 
 Cases: null texts have size 0 and are taken as often as whole epochs say; a null source is a source of its own, ordered
 last; sources without words have target 0; repeated rows draw the same key and are told apart by their place in the order;
@@ -21,12 +21,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bind, count_words, documents, settle
+from tessera.llm.common import bind, count_words, documents, keyed, settle
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 SEED = 20
+BINS, MOST_ROUNDS = 1024, 40
 #: Sources are a configured set; beyond this number the mix is refused rather than gathered to the driver.
 MOST_SOURCES = 100_000
 
@@ -52,56 +53,81 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[int] = WE
     return out
 
 
-def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, per_bin: int = 20_000) -> DataFrame:
+def _ends(drawn: DataFrame, state: list[tuple], per_bin: int) -> list[tuple]:
+    """(source, lo, hi, before) of each source: the range of place in which its budget ends and the words before it.
+
+    state: (source, lo, hi, before, rest), the ranges to begin with. A range of equal places isn't dealt further.
+    """
+    spark, ended = drawn.sparkSession, []
+    for _ in range(MOST_ROUNDS):
+        if not state:
+            return ended
+        ranges = F.broadcast(spark.createDataFrame(state, "source string, lo double, hi double, before long, rest double"))  # a row for each source at most
+        inside = drawn.alias("d").join(ranges.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & F.col("place").between(F.col("lo"), F.col("hi")))
+        at = F.least(F.floor(F.try_divide(F.col("place") - F.col("lo"), F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))
+        bins = inside.select("d.source", "before", "rest", "size", "place", F.coalesce(at, F.lit(0)).alias("bin"))
+        bins = bins.groupBy("source", "before", "rest", "bin").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.min("place").alias("a"), F.max("place").alias("b"))
+        so_far = F.col("before") + F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        found = bins.withColumn("so_far", so_far).where("so_far <= rest AND so_far + words > rest").select("source", "a", "b", "so_far", "rest", "n").collect()
+        known = {r.source for r in found}
+        ended += [(s, math.inf, math.inf, 0) for s, *_ in state if s not in known]  # the budget takes all
+        ended += [(r.source, r.a, r.b, r.so_far) for r in found if r.n <= per_bin or r.a == r.b]
+        state = [(r.source, r.a, r.b, r.so_far, r.rest) for r in found if r.n > per_bin and r.a < r.b]
+    return ended + [(s, lo, hi, before) for s, lo, hi, before, _ in state]
+
+
+def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, per_bin: int = 1000) -> DataFrame:
     """(doc_id, text_hash, source, size, source_size, target, epochs, times, taken) of each row of docs."""
     spark = docs.sparkSession
     drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "source", count_words(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("quality"))
     # 53 bits of the hash give a u in (0, 1).
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    drawn = settle(drawn.withColumn("key", -F.log(u) / F.col("quality")).drop("quality"), "mix")
+    drawn = drawn.withColumn("key", -F.log(u) / F.col("quality")).drop("quality")
+    drawn = settle(drawn.withColumn("place", F.log("key")), "mix")
 
-    of_source = drawn.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
+    of_source = drawn.groupBy("source").agg(F.sum("size").alias("size"), F.min("place").alias("lo"), F.max("place").alias("hi")).limit(MOST_SOURCES + 1).collect()
     if len(of_source) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     target = targets([(r.source, r["size"]) for r in of_source], weights, share, most)
-    rows = []
+    rows, open_, ended = [], [], []
     for r in of_source:
         t = target[r.source]
         epochs = min(int(most), math.floor(t / r["size"] + 1e-9)) if r["size"] else 0
-        rows.append((r.source, r["size"], float(t), epochs, max(0.0, t - epochs * r["size"]), max(1, r.n // per_bin)))
-    plan = F.broadcast(spark.createDataFrame(rows, "source string, source_size long, target double, epochs int, rest double, bins long"))
-    # 1 - exp(-key) rises with the key and lies within (0, 1).
-    placed = drawn.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", "source_size", "target", "epochs", "rest", F.floor((1 - F.exp(-F.col("key"))) * F.col("bins")).alias("bin"))
-
-    bins = placed.groupBy("source", "bin", "rest").agg(F.sum("size").alias("words"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = bins.withColumn("before", before).where("before <= rest AND before + words > rest").select("source", F.col("bin").alias("end_bin"), F.col("before").alias("before"))
-    ends = F.broadcast(spark.createDataFrame(ends.limit(MOST_SOURCES).collect(), "source string, end_bin long, before long"))  # a row for each source at most
-
-    marked = placed.alias("d").join(ends.alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")), "left").select("d.*", "end_bin", "before")
-    clear = marked.where("end_bin IS NULL OR bin <> end_bin").withColumn("extra", ((F.col("rest") > 0) & (F.col("end_bin").isNull() | (F.col("bin") < F.col("end_bin")))).cast("int"))
+        rest = max(0.0, t - epochs * r["size"])
+        rows.append((r.source, r["size"], float(t), epochs, rest))
+        if rest > 0:
+            open_.append((r.source, r.lo, r.hi, 0, rest))
+        else:
+            ended.append((r.source, -math.inf, -math.inf, 0))
+    ended += _ends(drawn, open_, per_bin)
+    plan = {s: (s, size, t, epochs, rest) for s, size, t, epochs, rest in rows}
+    plan = F.broadcast(spark.createDataFrame([(*plan[s], lo, hi, before) for s, lo, hi, before in ended], "source string, source_size long, target double, epochs int, rest double, lo double, hi double, before long"))
+    placed = drawn.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", "source_size", "target", "epochs", "rest", "lo", "hi", "before")
+    clear = placed.where("place < lo OR place > hi").withColumn("extra", (F.col("place") < F.col("lo")).cast("int"))
     w = Window.partitionBy("source").orderBy("key", "doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = marked.where("bin = end_bin").withColumn("sofar", F.sum("size").over(w)).withColumn("extra", (F.col("before") + F.col("sofar") - F.col("size") / 2 <= F.col("rest")).cast("int")).drop("sofar")
+    last = placed.where("place BETWEEN lo AND hi").withColumn("sofar", F.sum("size").over(w)).withColumn("extra", (F.col("before") + F.col("sofar") - F.col("size") / 2 <= F.col("rest")).cast("int")).drop("sofar")
     both = clear.unionByName(last).withColumn("times", F.col("epochs") + F.col("extra"))
     return both.select("doc_id", "text_hash", "source", "size", "source_size", "target", "epochs", "times", (F.col("size") * F.col("times")).cast("long").alias("taken"))
 
 
 def mixture(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it (a row with no word: as often as the whole epochs of its source)."""
-    taken = settle(mixed(docs).where("times > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "times"), "mix-taken")
+    taken = settle(mixed(docs).where("times > 0").select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "times"), "mix-taken")
     # Rows with the same id and text share their keys; what they take together is dealt evenly, lower shares rounded up for the first.
-    taken = taken.groupBy("__id", "__hash").agg(F.sum("times").alias("__times"))
-    rows = docs.groupBy(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__hash")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeats = taken.join(rows, taken["__id"].eqNullSafe(rows["__id"]) & (taken["__hash"] == rows["__hash"]), "left").select(taken["__id"], taken["__hash"], "__times", F.coalesce("n", F.lit(1)).alias("__n"))
+    taken = taken.groupBy("of_id", "of_hash").agg(F.sum("times").alias("times"))
+    rows = keyed(docs)
+    repeated = rows.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeats = taken.join(repeated, taken["of_id"].eqNullSafe(repeated["id"]) & (taken["of_hash"] == repeated["hash"]), "left").select("of_id", "of_hash", "times", F.coalesce("n", F.lit(1)).alias("n"))
     repeats = settle(repeats, "mix-repeats")
-    out = docs.join(repeats, docs["doc_id"].cast("long").eqNullSafe(repeats["__id"]) & (F.xxhash64(docs["text"]) == repeats["__hash"]))
-    single = out.where("__n = 1").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
-    frames = [single]
-    if repeats.where("__n > 1").limit(1).count():
-        nth = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("source"))
-        share = F.floor(F.col("__times") / F.col("__n")).cast("long") + (F.col("__nth") <= F.col("__times") % F.col("__n")).cast("long")
-        frames.append(out.where("__n > 1").withColumn("__nth", nth).withColumn("__copy", F.explode(F.when(share > 0, F.sequence(F.lit(1).cast("long"), share)))).drop("__nth"))
-    return frames[0].unionByName(frames[1]).select(*docs.columns) if len(frames) > 1 else single.select(*docs.columns)
+    out = rows.join(repeats, rows["id"].eqNullSafe(repeats["of_id"]) & (rows["hash"] == repeats["of_hash"]))
+    one = F.lit(1).cast("long")
+    single = out.where("n = 1").select("row", F.explode(F.sequence(one, F.col("times").cast("long"))))
+    if not repeats.where("n > 1").limit(1).count():
+        return single.select("row.*")
+    nth = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.to_json("row")))
+    share = F.floor(F.col("times") / F.col("n")).cast("long") + (F.col("nth") <= F.col("times") % F.col("n")).cast("long")
+    many = out.where("n > 1").withColumn("nth", nth).select("row", F.explode(F.when(share > 0, F.sequence(one, share))))
+    return single.unionByName(many).select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
