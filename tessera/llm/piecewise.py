@@ -4,9 +4,13 @@ A rolling hash over the last seven bytes ends a piece wherever it is -1 modulo t
 ends near it. Each piece gives one of 64 characters; the fingerprint is "block size:pieces at that size:pieces at twice the
 size", 64 characters at most in each part. Fingerprints are compared at a size that both have, by edit distance.
 
+`compared` holds each document against the next one in ascending order of doc_id: rows are dealt to ranges and sorted within each, so
+all but the last row of a range meet their next on the spot; the last rows and the first rows of the ranges are joined afterwards.
+
 Cases: null and empty texts have the fingerprint "3::"; texts that are equal have equal fingerprints and likeness 1; where no
-block size is shared the likeness is 0; a text of any length is read as a whole, and memory grows with the one text only.
-In `edited`, rows of one doc_id are ordered by their text; the order puts null ids first; a lone document follows itself.
+block size is shared the likeness is 0; a text of any length is read as a whole, and memory grows with the one text only;
+null ids come first in the order, rows of one doc_id are ordered by the hash (XXH64) of their text; a lone document follows itself;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents
+from tessera.llm.common import documents, settle
 
 WINDOW, LEAST_BLOCK, LENGTH = 7, 3, 64
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -109,77 +114,70 @@ def likenesses(a: list[str], b: list[str]) -> list[float]:
     return out.tolist()
 
 
-def in_order(docs: DataFrame, docs_per_block: int = 4096) -> DataFrame:
-    """Rows (block, extra, doc_id, text), dealt by block and sorted within: blocks of docs in ascending order of doc_id, and at the end of each (extra) the documents that follow it."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = own.select("doc_id").count()
-    blocks = max(1, -(-n // docs_per_block))
-    # Approximate quantiles of the ids: about a number for every 4096 documents, whatever the values are.
-    cuts = sorted(set(own.stat.approxQuantile("doc_id", [i / blocks for i in range(1, blocks)], 0.1 / blocks))) if blocks > 1 else []
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<bigint>")
-    # Number of bounds that are at most the id, found by halving.
-    at = F.aggregate(F.sequence(F.lit(0), F.lit(max(1, len(cuts)).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), lambda s, _: _halve(s, bounds, F.col("doc_id")), lambda s: s["lo"])
-    placed = own.withColumn("block", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(at) if cuts else F.lit(0))
-    firsts = [(r.block, r.doc_id) for r in placed.groupBy("block").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("k")).select("block", "k.doc_id").orderBy("block").collect()]
-    # The first documents of a block stand in the block before it too; those of the first, after the last.
-    before = {b: firsts[k - 1][0] for k, (b, _) in enumerate(firsts)}
-    also = F.lit(None).cast("int")
-    if firsts:
-        heads = spark_rows(docs.sparkSession, [(b, i, before[b]) for b, i in firsts])
-        placed = placed.alias("p").join(F.broadcast(heads.alias("h")), (F.col("p.block") == F.col("h.block")) & F.col("p.doc_id").eqNullSafe(F.col("h.doc_id")), "left").select("p.*", "also")
-        also = F.col("also")
-    copies = F.array_compact(F.array(F.struct(F.lit(False).alias("extra"), F.col("block").cast("int").alias("block")), F.when(also.isNotNull(), F.struct(F.lit(True).alias("extra"), also.cast("int").alias("block")))))
-    dealt = placed.select("doc_id", "text", F.explode(copies).alias("c")).select("c.block", "c.extra", "doc_id", "text")
-    return dealt.repartition(max(1, len(firsts)), "block").sortWithinPartitions("block", "extra", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-
-
-def _halve(s, bounds, value):
-    mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-    live, low = s["lo"] < s["hi"], F.get(bounds, mid) <= value
-    return F.struct(F.when(live & low, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(live & ~low, mid).otherwise(s["hi"]).alias("hi"))
-
-
-def spark_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, "block int, doc_id long, also int")
-
-
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each own row with the text after it: the next row of its block, or the first extra one."""
-    held = None  # (block, doc_id, text, fingerprint) that waits for its next
-    rows: list[tuple] = []
-
-    def done() -> pa.RecordBatch:
-        near_edited = likenesses([r[3] for r in rows], [r[4] for r in rows])
-        near_next = likenesses([r[3] for r in rows], [r[5] for r in rows])
-        out = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], near_edited, near_next]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        rows.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+FIRST, LAST = 1, 2
+SCHEMA = f"{RESULT}, range int, edge int, text string"
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.string()]
+_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+def _pair(doc_id, text: str, own: str, after: str, next_: str) -> tuple:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, the next one's fingerprint."""
+    n = len(text)
+    edited = text[: n - n // 2] + after[: n // 2]
+    return doc_id, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own, fingerprint(edited), next_
+
+
+def _batch(rows: list[tuple], part: int, edges: list[tuple] = ()) -> pa.RecordBatch:
+    near_edited = likenesses([r[3] for r in rows], [r[4] for r in rows])
+    near_next = likenesses([r[3] for r in rows], [r[5] for r in rows])
+    full = [(*r[:5], e, x, part, 0, None) for r, e, x in zip(rows, near_edited, near_next, strict=True)]
+    full += [(doc_id, None, None, None, None, None, None, part, edge, text) for edge, doc_id, text in edges]
+    columns = list(zip(*full, strict=True)) or [()] * len(_KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)], names=_NAMES)
 
+
+def _in_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The results of all but the last row of a range, and its first and its last row with their texts."""
+    part, held, rows, edges = TaskContext.get().partitionId(), None, [], []
     for b in batches:
-        for block, extra, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-            if extra and held is None:
-                continue
+        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             text = text.as_py() or ""
-            print_ = fingerprint(text)
-            if held is not None:
-                n = len(held[2])
-                half = n // 2
-                edited = held[2][: n - half] + text[:half]
-                rows.append((held[1], n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), held[3], fingerprint(edited), print_))
+            own = fingerprint(text)
+            if held is None:
+                edges.append((FIRST, doc_id, text))
+            else:
+                rows.append(_pair(*held, text, own))
                 if len(rows) >= 4096:
-                    yield done()
-            held = None if extra else (block, doc_id, text, print_)
-    if rows:
-        yield done()
+                    yield _batch(rows, part)
+                    rows.clear()
+            held = doc_id, text, own
+    if held is not None:
+        yield _batch(rows, part, [*edges, (LAST, *held[:2])])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [_pair(i, t, fingerprint(t), x, fingerprint(x)) for i, t, x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        yield _batch(rows, 0)
 
 
-def compared(docs: DataFrame) -> DataFrame:
+def compared(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Fingerprints of each document and of its edited text (its second half replaced by the start of the next document), and their likeness."""
-    return in_order(docs).mapInArrow(_compared, SCHEMA)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
+    dealt = own.repartitionByRange(ranges or 2 * max(1, own.rdd.getNumPartitions()), *order).sortWithinPartitions(*order)
+    # Written once: the bounds of ranges come from a sample and need not be the same in a second run.
+    met = settle(dealt.select("doc_id", "text").mapInArrow(_in_range, SCHEMA), "piecewise")
+    names = [c.split()[0] for c in RESULT.split(", ")]
+    edges = met.where("edge > 0").select("range", "edge", "doc_id", "text")
+    first = edges.where(F.col("edge") == FIRST).select(F.col("range").alias("after"), F.col("text").alias("next"))
+    # One small row for each range; after the last comes the first.
+    w = Window.orderBy("after")
+    follow = first.select(F.col("after").alias("range"), F.lead("after").over(w).alias("lead"), F.first("after").over(w).alias("least"))
+    follow = follow.select("range", F.coalesce("lead", "least").alias("after"))
+    last = edges.where(F.col("edge") == LAST).join(follow, "range").join(first, "after").select("doc_id", "text", "next")
+    return met.where("edge = 0").select(*names).unionByName(last.mapInArrow(_across, SCHEMA).select(*names))
 
 
 def op9_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
