@@ -51,6 +51,7 @@ MARKS = ".,;:!?*#%&$|)\"-"
 
 _CACHE: dict[str, dict[str, bytes]] = {}
 _TOKENIZER: dict[str, object] = {}
+_HABITS: dict[str, tuple[bool, bool]] = {}
 
 
 def tokenizer(path: str):
@@ -62,6 +63,25 @@ def tokenizer(path: str):
     return _TOKENIZER[path]
 
 
+def _ids(tok, text: str) -> list[int]:
+    return tok.encode(text, add_special_tokens=False).ids
+
+
+def habits(path: str) -> tuple[bool, bool]:
+    """Whether the tokenizer drops white space and never merges across it, and whether it also lower-cases and takes marks at a word's end apart.
+
+    Both are told from its answers to probes; a tokenizer without them gets whole texts, or whole words.
+    """
+    if path not in _HABITS:
+        tok, words = tokenizer(path), ["word", "Abc", "naïve", "x1", "É", "end.", "a-b", "日本"]
+        apart = all(_ids(tok, f"{a}{s}{b}") == _ids(tok, a) + _ids(tok, b) for a in words for b in words for s in (" ", "\n", "\t  "))
+        some = ["word", "Éa", "straße"]
+        lower = all(_ids(tok, w) == _ids(tok, w.lower()) for w in ("Word", "ÉA", "GROẞ", "ABC"))
+        ends = ["".join(m) for k in (1, 2) for m in itertools.product(MARKS, repeat=k)]
+        _HABITS[path] = apart, apart and lower and all(_ids(tok, w + e) == _ids(tok, w) + _ids(tok, e) for w in some for e in ends)
+    return _HABITS[path]
+
+
 def _parts(word: str) -> tuple[str, str]:
     """A word as letters and closing marks, which the tokenizer takes apart too; or as it is, and nothing.
 
@@ -83,12 +103,15 @@ def _spell(parts: list[str], tok, known: dict[str, bytes]) -> None:
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian 16-bit numbers.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its words one after another,
+    If the tokenizer drops white space and never merges across it, a text's ids are those of its words one after another,
     and each distinct word needs to be encoded once.
     """
     tok, known, parts = tokenizer(path), _CACHE.setdefault(path, {}), _CACHE.setdefault(f"{path}/parts", {"": b""})
     if tok.get_vocab_size() > 1 << 16:
         raise ValueError("this encoder needs a vocabulary of at most 65,536 ids")
+    apart, marked = habits(path)
+    if not apart:
+        return [array("H", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
     # Only ASCII white space: of the wider set, the tokenizer takes some marks for text.
     split = [SPACE.split(t.strip(" \t\n\x0b\x0c\r")) if ODD.search(t) else t.split() for t in texts]
     if len(known) > CACHE_WORDS:
@@ -96,7 +119,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     if len(parts) > CACHE_PARTS:
         parts.clear()
         parts[""] = b""
-    new = {w: _parts(w) for w in set(itertools.chain.from_iterable(split)) if w not in known}
+    new = {w: _parts(w) if marked else (w, "") for w in set(itertools.chain.from_iterable(split)) if w not in known}
     _spell([p for p in {p for pair in new.values() for p in pair} if p not in parts], tok, parts)
     found = {w: parts[a] + parts[b] for w, (a, b) in new.items()}
     long = {w: x for w, x in found.items() if len(w) > CACHE_CHARS}
@@ -122,12 +145,20 @@ def _encode(path: str, end_id: int):
     return run
 
 
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([unpack.decompress(x.as_py())[: 2 * SAMPLE_IDS] for x in b.column(1)], pa.binary())], names=["doc_id", "ids"])
+
+
 def train_dictionary(encoded: DataFrame) -> bytes:
     """A dictionary trained on a bounded sample; fewer than 8 documents, or too little text, give an empty one."""
-    # The ids are chosen first, so that only the sample itself comes to the driver.
+    # The ids are chosen first, and each text's are cut before they come to the driver.
     chosen = [r.doc_id for r in encoded.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
-    rows = encoded.where(F.col("doc_id").isin(chosen)).dropDuplicates(["doc_id"]).orderBy("doc_id").select("ids").limit(SAMPLE_DOCS).collect() if chosen else []
-    samples = [zstandard.ZstdDecompressor().decompress(bytes(r.ids))[: 2 * SAMPLE_IDS] for r in rows]
+    if not chosen:
+        return b""
+    first = encoded.where(F.col("doc_id").isin(chosen)).mapInArrow(_starts, "doc_id long, ids binary")
+    samples = [bytes(r.ids) for r in first.groupBy("doc_id").agg(F.min("ids").alias("ids")).orderBy("doc_id").collect()]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 8), samples).as_bytes() if len(samples) >= 8 else b""
     except zstandard.ZstdError:
