@@ -12,7 +12,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges (a long, b long), in any direction -> (node, root) for each node that has an edge, root its component's least.
 
     The number of rounds grows with the logarithm of the longest path; each round's edges are written to the shared
-    folder, so lineage stays short. Raises if max_rounds isn't enough, and never returns partial components.
+    folder, so lineage stays short. Raises if max_rounds isn't enough, and never returns partial components. Repeated edges
+    count once; edges to itself, and edges with a null at either end, are left out; no edges give no rows.
     """
     live = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None

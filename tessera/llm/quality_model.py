@@ -128,9 +128,9 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> tuple[
 
 def trained(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> tuple[np.ndarray, float]:
     """The model of `quality`, from labelled rows that aren't held out."""
-    rows = labels.where(~held_out(F.col("doc_id"))).where("quality IN (0, 1)").select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("label"))
-    chosen = F.broadcast(rows.dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(most_rows))
-    got = docs.join(chosen, docs["doc_id"] == chosen["__id"]).select("text", "label", "__id").mapInArrow(_counted, "label int, ids binary, counts binary").collect()
+    rows = labels.where(~held_out(F.col("doc_id"))).where("quality IN (0, 1)").select(F.col("doc_id").alias("of_id"), F.col("quality").cast("int").alias("is_good"))
+    chosen = F.broadcast(rows.dropDuplicates(["of_id"]).orderBy(F.xxhash64("of_id"), "of_id").limit(most_rows))
+    got = docs.join(chosen, docs["doc_id"] == chosen["of_id"]).select(docs["text"], chosen["is_good"]).mapInArrow(_counted, "label int, ids binary, counts binary").collect()
     rows = [(r.label, np.frombuffer(bytes(r.ids), "<u4"), np.frombuffer(bytes(r.counts), "<f4")) for r in got]
     return fit(sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes())))
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, settle
+from tessera.llm.common import documents, keyed, settle
 from tessera.llm.components import connected_components
 
 SEED = 42
@@ -118,17 +118,19 @@ def deduplicated(docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = cl
     """The rows of docs that stay: of each class the one with the smallest doc_id (unknown ids last, then by text); of rows that are the same in both, one."""
     rows = settle(classes(docs).select("doc_id", "text_hash", "label"), "simhash-classes")
     best = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "text_hash")).alias("k"))
-    keep = best.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
+    keep = best.select(F.col("k.doc_id").alias("of_id"), F.col("k.text_hash").alias("of_hash"))
     # Of rows with the same id and text only one may stay; such repeats are rare, so they alone are dealt out and numbered.
-    twice = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.lit(True).alias("__twice"))
-    marked = keep.join(twice, keep["__id"].eqNullSafe(twice["__id"]) & (keep["__hash"] == twice["__hash"]), "left").select(keep["__id"], keep["__hash"], F.col("__twice").isNotNull().alias("__twice"))
-    kept = docs.join(marked, docs["doc_id"].cast("long").eqNullSafe(marked["__id"]) & (F.xxhash64(docs["text"]) == marked["__hash"]))
-    plain = kept.where(~F.col("__twice")).drop("__id", "__hash", "__twice")
-    once = kept.where("__twice").dropDuplicates(["__id", "__hash"]).drop("__id", "__hash", "__twice")
-    return plain.unionByName(once) if twice.limit(1).count() else plain
+    twice = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_hash", F.lit(True).alias("twice"))
+    marked = keep.join(twice, keep["of_id"].eqNullSafe(twice["doc_id"]) & (keep["of_hash"] == twice["text_hash"]), "left").select("of_id", "of_hash", F.col("twice").isNotNull().alias("twice"))
+    own = keyed(docs)
+    kept = own.join(marked, own["id"].eqNullSafe(marked["of_id"]) & (own["hash"] == marked["of_hash"]))
+    plain = kept.where(~F.col("twice"))
+    if not twice.limit(1).count():
+        return plain.select("row.*")
+    return plain.unionByName(kept.where("twice").dropDuplicates(["id", "hash"])).select("row.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id, component label of every document."""
+    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     c = classes(documents(spark, sf_dir))
     return c.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
