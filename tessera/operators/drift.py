@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import finite
+from tessera.sources.files import roundtrip
 
 BINS, EPSILON = 10, 1e-10
 
@@ -23,16 +24,32 @@ def long_form(reference: DataFrame, current: DataFrame, columns: Sequence[str])
     return cells(reference, 0).union(cells(current, 1))
 
 
+def tally(cells: DataFrame) -> DataFrame:
+    """(feature, v, a, b): how often each value stands in the reference and in the current table."""
+    return cells.groupBy("feature", "v").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+
+
 def ks(cells: DataFrame, buckets: int = 512) -> DataFrame:
     """(feature, n_ref, n_cur, ks, p_value): the largest distance of the two empirical distributions.
 
-    Values are counted first and dealt to ranges of values; the running sums need only the totals of the ranges before, so
-    no feature's values are ever sorted in one task.
+    Values are counted first and dealt to ranges that hold about as many distinct values each, whatever the distribution; the running
+    sums need only the totals of the ranges before, so no feature's values are ever sorted in one task.
     """
-    counts = cells.groupBy("feature", "v").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    ends = counts.groupBy("feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"))
-    bucket = F.coalesce(F.least(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1)), F.lit(0))
-    placed = counts.join(ends, "feature").withColumn("bucket", bucket)
+    return ks_of(tally(cells), buckets)
+
+
+def ks_of(counts: DataFrame, buckets: int = 512) -> DataFrame:
+    ends = counts.groupBy("feature").agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("edges"), F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"))
+
+    def halve(s: Column, _: Column) -> Column:
+        """Halves [lo, hi), the number of edges at most v lies within."""
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        open_, low = s["lo"] < s["hi"], F.get(F.col("edges"), mid) <= F.col("v")
+        return F.struct(F.when(open_ & low, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~low, mid).otherwise(s["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(buckets - 1).alias("hi"))
+    bucket = F.aggregate(F.sequence(F.lit(0), F.lit(buckets.bit_length())), start, halve, lambda s: s["lo"])
+    placed = counts.join(ends, "feature").withColumn("bucket", bucket).drop("edges")
     sums = placed.groupBy("feature", "bucket").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
     before = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("feature", "bucket", F.coalesce(F.sum("sa").over(before), F.lit(0)).alias("oa"), F.coalesce(F.sum("sb").over(before), F.lit(0)).alias("ob"))
@@ -51,13 +68,17 @@ def ks_p_value(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
 
 def histogram(cells: DataFrame, bins: int = BINS) -> DataFrame:
     """(feature, bin, p, q): shares of the reference and the current table in bins with common edges, empty ones as epsilon."""
-    ends = cells.groupBy("feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count_if(F.col("side") == 0).alias("n"), F.count_if(F.col("side") == 1).alias("m"))
+    return histogram_of(tally(cells), bins)
+
+
+def histogram_of(counts: DataFrame, bins: int = BINS) -> DataFrame:
+    ends = counts.groupBy("feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("a").alias("n"), F.sum("b").alias("m"))
     ends = ends.where("n > 0 AND m > 0")
     bin_of = F.coalesce(F.least(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
-    counts = cells.join(ends, "feature").groupBy("feature", bin_of.alias("bin")).agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    of_bin = counts.join(ends, "feature").groupBy("feature", bin_of.alias("bin")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     every = ends.select("feature", "n", "m", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     share = lambda k, n: F.greatest(F.coalesce(F.col(k) / F.col(n), F.lit(0.0)), F.lit(EPSILON))
-    return every.join(counts, ["feature", "bin"], "left").select("feature", "bin", share("a", "n").alias("p"), share("b", "m").alias("q"))
+    return every.join(of_bin, ["feature", "bin"], "left").select("feature", "bin", share("a", "n").alias("p"), share("b", "m").alias("q"))
 
 
 def divergences(hist: DataFrame) -> DataFrame:
@@ -78,8 +99,8 @@ def report(reference: DataFrame, current: DataFrame, columns: Sequence[str], thr
 
 def full_report(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, psi, psi_level, ks, ks_drift, kl, kl_drift, js, js_drift)."""
-    cells = long_form(reference, current, columns)
-    both = divergences(histogram(cells)).join(ks(cells).select("feature", "ks"), "feature")
+    counts = roundtrip(tally(long_form(reference, current, columns)))  # read by both
+    both = divergences(histogram_of(counts)).join(ks_of(counts).select("feature", "ks"), "feature")
     return both.select("feature", "psi", psi_level(F.col("psi")).alias("psi_level"), "ks", (F.col("ks") > 0.2).alias("ks_drift"), "kl", (F.col("kl") > 0.1).alias("kl_drift"), "js", (F.col("js") > 0.1).alias("js_drift"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import finite
+from tessera.operators.quantiles import medians
 
 TINY = 1e-9
 
@@ -28,7 +29,6 @@ def regression(df: DataFrame, by: Sequence[str] = (), n_features: int | None = N
         F.avg(F.abs(e)).alias("mae"),
         F.avg(e * e).alias("mse"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.median(F.abs(e)).alias("median_ae"),
         F.max(F.abs(e)).alias("max_error"),
         F.sum(e * e).alias("ss_res"),
         (F.var_pop(y) * n).alias("ss_tot"),
@@ -37,6 +37,9 @@ def regression(df: DataFrame, by: Sequence[str] = (), n_features: int | None = N
         (F.avg(F.when(apart, F.abs(e / y))) * 100).alias("mape"),
         F.count_if(~apart).alias("n_excluded"),
     )
+    middle = medians(df.withColumn("__e", F.abs(e)), "__e", by).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("median").alias("median_ae"))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] or [F.col("__one") == F.col("__k")]
+    agg = agg.withColumn("__one", F.lit(1)).join(middle.withColumn("__k", F.lit(1)), on, "left").drop("__one", "__k", *[f"__{c}" for c in by])
     r2 = F.when(F.col("ss_tot") == 0, F.when(F.col("ss_res") == 0, 1.0).otherwise(0.0)).otherwise(1 - F.col("ss_res") / F.col("ss_tot"))
     agg = agg.withColumn("r2", r2)
     k = n_features

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import comb
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel
+from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import panel as panels
@@ -75,8 +76,8 @@ class Trees:
         """Path-dependent Shapley values of each row and feature, and the expected value.
 
         A leaf adds to a set of known features the value of the leaf, if the row meets the conditions on those features, times
-        the shares of training rows that the splits on the others let through. Its Shapley values are sums over the subsets
-        of the few features on its path, for all rows at once.
+        the shares of training rows that the splits on the others let through. That is a product over the features of its path, so
+        the sums over all subsets of one size are the coefficients of a polynomial, one factor for each other feature.
         """
         out, base = np.zeros(x.shape), 0.0
         for w, t in zip(self.weights, self.trees, strict=True):
@@ -90,19 +91,15 @@ class Trees:
                         met, part = path.get(f, (np.ones(len(x), bool), 1.0))
                         stack.append((child, path | {f: (met & ok, part * share)}))
                     continue
-                value, feats = w * t["prediction"][k], list(path)
-                m = len(feats)
-                base += value * np.prod([path[f][1] for f in feats])
-                fact = np.cumprod([1.0, *range(1, m + 1)])
-                for f in feats:
-                    others = [g for g in feats if g != f]
-                    gain = np.zeros(len(x))
-                    for bits in range(1 << len(others)):
-                        known = [g for i, g in enumerate(others) if bits >> i & 1]
-                        rest = np.prod([path[g][1] for i, g in enumerate(others) if not bits >> i & 1])
-                        hold = np.all([path[g][0] for g in known], axis=0) if known else True
-                        gain += fact[len(known)] * fact[m - len(known) - 1] / fact[m] * rest * hold
-                    out[:, f] += value * gain * (path[f][0] - path[f][1])
+                value, m = w * t["prediction"][k], len(path)
+                base += value * np.prod([p for _, p in path.values()])
+                sizes = [1.0 / (m * comb(m - 1, k)) for k in range(m)]
+                for f, (met, share) in path.items():
+                    sums = [np.ones(len(x))]
+                    for g, (ok, part) in path.items():
+                        if g != f:
+                            sums = [(sums[k] * part if k < len(sums) else 0.0) + (sums[k - 1] * ok if k else 0.0) for k in range(len(sums) + 1)]
+                    out[:, f] += value * sum(c * s for c, s in zip(sizes, sums, strict=True)) * (met - share)
         return out, base
 
     def gains(self, n: int) -> np.ndarray:
@@ -115,9 +112,10 @@ class Trees:
         return np.divide(total, count, out=np.zeros(n), where=count > 0)
 
 
-def trees_of(model: PipelineModel) -> Trees:
-    """The last stage's trees, through the model's tree API."""
+def trees_of(model: PipelineModel, of_class: int = 0) -> Trees:
+    """The trees of the last stage, or of its model of one class against the rest."""
     last = model.stages[-1]
+    last = last.models[of_class] if isinstance(last, OneVsRestModel) else last
     nodes = []
 
     def walk(tree: int, node, ids: list[int]) -> int:
@@ -149,8 +147,6 @@ def save_and_load(model: PipelineModel) -> PipelineModel:
 
 
 def _session():
-    from pyspark.sql import SparkSession
-
     return SparkSession.getActiveSession()
 
 
@@ -159,21 +155,42 @@ def gain_importance(model: PipelineModel, names: Sequence[str]) -> DataFrame:
     return _session().createDataFrame([(n, float(g)) for n, g in zip(names, gains, strict=True)], "feature string, gain double").orderBy(F.desc("gain"), "feature")
 
 
+def with_probabilities(df: DataFrame, model: PipelineModel, to: str = "probabilities") -> DataFrame:
+    """df with the prediction and an array of the probability of each class, in the order of the label's codes.
+
+    Of models of one class against the rest, each gives its own class's probability, and they are divided by their sum.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    scored = model.transform(df)
+    if not isinstance(model.stages[-1], OneVsRestModel):
+        return scored.withColumn(to, vector_to_array("probability"))
+    each = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+    return scored.withColumn(to, F.transform(each, lambda p: p / F.aggregate(each, F.lit(0.0), lambda a, q: a + q)))
+
+
 def shap_values(df: DataFrame, model: PipelineModel, key: str, names: Sequence[str]) -> DataFrame:
-    """(key, feature, value, base, prediction) of each row and feature; base + the sum of a row's values is its prediction."""
-    trees = _session().sparkContext.broadcast(trees_of(model))
+    """(key, class, feature, value, base, prediction) of each row and feature; base + the sum of a row's values is its prediction (of a class: its margin).
+
+    class is 0 but for models of one class against the rest, which have values for each.
+    """
+    last = model.stages[-1]
+    n_classes = len(last.models) if isinstance(last, OneVsRestModel) else 1
+    trees = _session().sparkContext.broadcast([trees_of(model, c) for c in range(n_classes)])
 
     def run(batches):
         for b in batches:
             x = np.stack(b["x"].to_numpy()) if len(b) else np.zeros((0, len(names)))
-            values, base = trees.value.shap(x)
             n, k = x.shape
-            yield pd.DataFrame({key: np.repeat(b[key].to_numpy(), k), "feature": list(names) * n, "value": values.ravel(), "base": base, "prediction": np.repeat(trees.value.predict(x), k)})
+            for c, t in enumerate(trees.value):
+                values, base = t.shap(x)
+                yield pd.DataFrame({key: np.repeat(b[key].to_numpy(), k), "class": np.int32(c), "feature": list(names) * n, "value": values.ravel(), "base": base, "prediction": np.repeat(t.predict(x), k)})
 
     from pyspark.ml.functions import vector_to_array
 
-    rows = PipelineModel(model.stages[:-1]).transform(df).select(key, vector_to_array("__features").alias("x"))
-    return rows.mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, feature string, value double, base double, prediction double")
+    inputs = [s for s in model.stages[:-1] if not (isinstance(s, StringIndexerModel) and s.getOutputCol() == "__label")]
+    rows = PipelineModel(inputs).transform(df).select(key, vector_to_array("__features").alias("x"))
+    return rows.mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, class int, feature string, value double, base double, prediction double")
 
 
 def shap_importance(values: DataFrame) -> DataFrame:
@@ -184,25 +201,47 @@ FRAME = [*[f"y_scaled_lag_{k}" for k in panels.LAGS], *[f"y_scaled_roll_{k}" for
 
 
 def fit_panel(panel: DataFrame, **params) -> PipelineModel:
-    """A forecaster of all entities together, on values scaled by each entity's mean, with the entity as a category."""
+    """A forecaster of all entities together, on values scaled by each entity's mean, with the entity as a category. Refuses null entities and repeated keys."""
+    panels.guard(panel)
     return boosted(panels.supervised(panels.scaled(panel), y="y_scaled"), "y_scaled", FRAME, ["entity"], **params)
 
 
+def recent(panel: DataFrame) -> DataFrame:
+    """(entity, ts, y, scale, y_scaled): the tail of each entity that a forecast needs, with the scale of its whole history."""
+    return panels.tail(panels.scaled(panel), max(panels.LAGS) + max(panels.WINDOWS) + 2).select("entity", "ts", "y", "scale", "y_scaled")
+
+
+def save_panel(model: PipelineModel, panel: DataFrame) -> str:
+    """Stores a panel's model with the scales and tails that forecasts start from, and returns the folder."""
+    path = workspace(panel.sparkSession)
+    model.write().save(f"{path}/model")
+    recent(panel).write.parquet(f"{path}/recent")
+    return path
+
+
+def load_panel(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
+    """The model and the tails, as forecast_panel takes them."""
+    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/recent")
+
+
 def forecast_panel(model: PipelineModel, panel: DataFrame, horizon: int, step_days: int = 1) -> DataFrame:
     """(entity, ts, step, yhat): recursive forecasts, each step fed by the ones before, all entities in one job.
 
-    Of each entity only the tail that the lags need is gathered.
+    panel is a panel or what load_panel gives. Of each entity only the tail that the lags need is gathered. Raises if the model doesn't
+    know an entity, or one has fewer rows than the lags and means need.
     """
+    spark, needed = panel.sparkSession, max(panels.LAGS + panels.WINDOWS)
     labels = {v: float(i) for i, v in enumerate(model.stages[0].labels)}
-    trees = panel.sparkSession.sparkContext.broadcast(trees_of(model))
-    keep = max(panels.LAGS) + max(panels.WINDOWS) + 2
-    tails = panels.tail(panels.scaled(panel), keep)
+    tails = panel if "y_scaled" in panel.columns else recent(panel)
+    known = spark.createDataFrame([(v, True) for v in labels], "entity string, known boolean")
+    wrong = tails.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).join(known, "entity", "left").where(F.col("known").isNull() | (F.col("n") < needed)).limit(5).collect()
+    if wrong:
+        raise ValueError("can't forecast " + ", ".join(f"{r.entity} ({'unknown to the model' if not r.known else f'{r.n} rows, {needed} needed'})" for r in wrong))
+    trees = spark.sparkContext.broadcast(trees_of(model))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts")
         entity, scale = rows.entity.iloc[0], float(rows.scale.iloc[0])
-        if entity not in labels or len(rows) < max(panels.LAGS + panels.WINDOWS):
-            return pd.DataFrame({"entity": [], "ts": [], "step": [], "yhat": []})
         y, day, out = list(rows.y_scaled), pd.Timestamp(rows.ts.iloc[-1]), []
         for step in range(1, horizon + 1):
             day = day + pd.Timedelta(days=step_days)
@@ -214,39 +253,98 @@ def forecast_panel(model: PipelineModel, panel: DataFrame, horizon: int, step_da
     return tails.groupBy("entity").applyInPandas(run, "entity string, ts date, step int, yhat double")
 
 
-def seasonal_design(days: np.ndarray, origin: int, span: int, regressors: np.ndarray | None) -> np.ndarray:
-    """Columns: 1, the trend with bends at the quarters of the training span, yearly and weekly Fourier terms, regressors."""
-    t = (days - origin) / max(span, 1)
-    cols = [np.ones_like(t), t, *[np.maximum(0, t - q) for q in (0.25, 0.5, 0.75)]]
-    if span >= 365:
-        cols += [f(2 * np.pi * k * days / 365.25) for k in (1, 2, 3) for f in (np.sin, np.cos)]
-    if span >= 14:
-        cols += [f(2 * np.pi * k * days / 7) for k in (1, 2, 3) for f in (np.sin, np.cos)]
-    x = np.stack(cols, axis=1)
-    return x if regressors is None else np.hstack([x, regressors])
+def trend_design(days: np.ndarray, origin: float, span: float) -> np.ndarray:
+    """Columns: 1 and the trend, with bends at the quarters of the training span."""
+    t = (days - origin) / max(span, 1e-9)
+    return np.stack([np.ones_like(t), t, *[np.maximum(0, t - q) for q in (0.25, 0.5, 0.75)]], axis=1)
+
+
+def season_design(days: np.ndarray, span: float, daily: bool, regressors: np.ndarray | None) -> np.ndarray:
+    """Columns: yearly, weekly and daily Fourier terms, as far as the training span holds them, and regressors."""
+    periods = [(365.25, 365, 3), (7.0, 14, 3), *([(1.0, 2, 4)] if daily else [])]
+    cols = [f(2 * np.pi * k * days / period) for period, least, terms in periods if span >= least for k in range(1, terms + 1) for f in (np.sin, np.cos)]
+    cols += [] if regressors is None else list(regressors.T)
+    return np.stack(cols, axis=1) if cols else np.zeros((len(days), 0))
+
+
+def seasonal_design(days: np.ndarray, origin: float, span: float, regressors: np.ndarray | None) -> np.ndarray:
+    return np.hstack([trend_design(days, origin, span), season_design(days, span, False, regressors)])
+
 
+def _ridge(x: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    return np.linalg.lstsq(x.T @ x + np.diag(penalty) + 1e-9 * np.eye(x.shape[1]), x.T @ y, rcond=None)[0]
 
-def seasonal_forecast(panel: DataFrame, horizon: int, multiplicative: bool = False, width: float = 0.95, ridge: float = 1.0, step_days: int = 1, history: bool = False) -> DataFrame:
-    """(entity, ts, yhat, lower, upper): a ridge fit of trend and seasons for each entity, with bounds from residual quantiles; at least two rows are needed."""
+
+def fit_seasons(trend: np.ndarray, season: np.ndarray, y: np.ndarray, multiplicative: bool, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of trend and season in y = trend + season, or in y = trend * (1 + season), where each is fitted in turn with the other held."""
+    of_trend = np.array([0.0, 0.0, *[ridge] * (trend.shape[1] - 2)])
+    if not multiplicative:
+        both = _ridge(np.hstack([trend, season]), y, np.concatenate([of_trend, np.full(season.shape[1], ridge)]))
+        return both[: trend.shape[1]], both[trend.shape[1] :]
+    b = np.zeros(season.shape[1])
+    for _ in range(30):
+        a = _ridge(trend * (1 + season @ b)[:, None], y, of_trend)
+        level = trend @ a
+        new = _ridge(season * level[:, None], y - level, np.full(season.shape[1], ridge * max(np.mean(level**2), 1e-9)))
+        done, b = np.allclose(new, b, atol=1e-9), new
+        if done:
+            break
+    return a, b
+
+
+SEASONAL = "entity string, ts {kind}, yhat double, lower double, upper double"
+
+
+def seasonal_forecast(
+    panel: DataFrame, horizon: int, multiplicative: bool = False, width: float = 0.95, ridge: float = 1.0, step_days: float = 1, history: bool = False, regressors: Sequence[str] = (), ahead: DataFrame | None = None, strict: bool = True
+) -> DataFrame:
+    """(entity, ts, yhat, lower, upper): a ridge fit of trend, seasons and regressors for each entity, with bounds from residual quantiles.
+
+    Times are dates, or timestamps, which get a daily season too. ahead (entity, ts, regressors) gives the times to forecast; without
+    it they are `horizon` steps of step_days. Rows with a null go. Raises if regressors are null or not given ahead, and (strict) if an
+    entity has fewer than two rows; otherwise such entities have no forecast.
+    """
+    names = list(regressors)
+    if names and ahead is None and horizon:
+        raise ValueError("regressors need their values ahead")
+    kind = panel.schema["ts"].dataType.simpleString()
+    own = panel.select("entity", "ts", F.col("y").cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in names], F.lit(False).alias("__ahead")).dropna()
+    if strict:
+        short = panel.select("entity").distinct().join(own.groupBy("entity").agg(F.count(F.lit(1)).alias("n")), "entity", "left").where(F.coalesce("n", F.lit(0)) < 2).limit(5).collect()
+        if short:
+            raise ValueError("fewer than two rows: " + ", ".join(str(r.entity) for r in short))
+    if ahead is not None:
+        missing = {"entity", "ts", *names} - set(ahead.columns)
+        if missing:
+            raise ValueError(f"no such columns ahead: {sorted(missing)}")
+        if names and ahead.where(" OR ".join(f"`{c}` IS NULL" for c in names)).limit(1).count():
+            raise ValueError("regressors ahead have nulls")
+        own = own.unionByName(ahead.select("entity", F.col("ts").cast(kind).alias("ts"), F.lit(None).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in names], F.lit(True).alias("__ahead")))
+    given = ahead is not None
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna().sort_values("ts")
-        if len(rows) < 2:
+        rows = rows.sort_values(["__ahead", "ts"])
+        days = pd.to_datetime(rows.ts).to_numpy("datetime64[ns]").astype(np.int64) / 86_400e9
+        past = ~rows["__ahead"].to_numpy(bool)
+        if past.sum() < 2:
             return pd.DataFrame({"entity": [], "ts": [], "yhat": [], "lower": [], "upper": []})
-        days = pd.to_datetime(rows.ts).to_numpy("datetime64[D]").astype(np.int64).astype(float)
-        y = np.log1p(np.maximum(rows.y, 0)) if multiplicative else rows.y.to_numpy(float)
-        y, origin, span = np.asarray(y), int(days[0]), int(days[-1] - days[0])
-        ahead = days[-1] + step_days * np.arange(1, horizon + 1)
-        x = seasonal_design(days, origin, span, None)
-        penalty = np.diag([0.0, 0.0, *[ridge] * (x.shape[1] - 2)])
-        beta = np.linalg.lstsq(x.T @ x + penalty + 1e-9 * np.eye(x.shape[1]), x.T @ y, rcond=None)[0]
-        lo, hi = np.quantile(y - x @ beta, [(1 - width) / 2, (1 + width) / 2])
-        at = np.concatenate([days, ahead]) if history else ahead
-        f = seasonal_design(at, origin, span, None) @ beta
-        back = np.expm1 if multiplicative else (lambda v: v)
-        return pd.DataFrame({"entity": rows.entity.iloc[0], "ts": pd.to_datetime(at.astype("int64"), unit="D").date, "yhat": back(f), "lower": back(f + lo), "upper": back(f + hi)})
-
-    return panel.groupBy("entity").applyInPandas(run, "entity string, ts date, yhat double, lower double, upper double")
+        known, y = days[past], rows.y.to_numpy(float)[past]
+        later = days[~past] if given else known[-1] + step_days * np.arange(1, horizon + 1)
+        origin, span, daily = known[0], known[-1] - known[0], bool(np.any(known % 1))
+        extra = rows[names].to_numpy(float) if names else None
+        mean, sd = (extra[past].mean(axis=0), np.maximum(extra[past].std(axis=0), 1e-9)) if names else (0.0, 1.0)
+        part = lambda mask: (extra[mask] - mean) / sd if names else None
+        trend, season = trend_design(known, origin, span), season_design(known, span, daily, part(past))
+        a, b = fit_seasons(trend, season, y, multiplicative, ridge)
+        mix = lambda level, wave: level * (1 + wave) if multiplicative else level + wave
+        lo, hi = np.quantile(y - mix(trend @ a, season @ b), [(1 - width) / 2, (1 + width) / 2])
+        f = mix(trend_design(later, origin, span) @ a, season_design(later, span, daily, part(~past) if given else None) @ b) if len(later) else np.zeros(0)
+        at = np.concatenate([known, later]) if history else later
+        f = np.concatenate([mix(trend @ a, season @ b), f]) if history else f
+        times = pd.to_datetime(np.round(at * 86_400e3).astype("int64"), unit="ms")
+        return pd.DataFrame({"entity": rows.entity.iloc[0], "ts": times.date if kind == "date" else times, "yhat": f, "lower": f + lo, "upper": f + hi})
+
+    return own.groupBy("entity").applyInPandas(run, SEASONAL.format(kind=kind))
 
 
 def rolling_origin(panel: DataFrame, horizon: int, period: int, initial: int, **params) -> DataFrame:
@@ -260,5 +358,5 @@ def rolling_origin(panel: DataFrame, horizon: int, period: int, initial: int, **
     table = panel.sparkSession.createDataFrame([(c.date(),) for c in cuts], "cutoff date")
     # An entity and cutoff are one group: all fits are one job.
     past = panel.join(F.broadcast(table), F.col("ts") <= F.col("cutoff")).select(F.concat_ws("|", "entity", "cutoff").alias("entity"), "ts", "y")
-    f = seasonal_forecast(past, horizon, **params).withColumns({"cutoff": F.substring_index("entity", "|", -1), "entity": F.expr("regexp_replace(entity, '[|][^|]*$', '')")})
+    f = seasonal_forecast(past, horizon, **({"strict": False} | params)).withColumns({"cutoff": F.substring_index("entity", "|", -1), "entity": F.expr("regexp_replace(entity, '[|][^|]*$', '')")})
     return metrics.forecast(f.join(panel, ["entity", "ts"]), ["cutoff"]).select("cutoff", "n", "mae", "rmse", "mape")

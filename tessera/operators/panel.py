@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LAGS, WINDOWS = (1, 7, 14, 28), (7, 14, 28)
 
@@ -19,6 +20,25 @@ def build(df: DataFrame, entity: str, ts: str, target: str) -> DataFrame:
     return rows.dropna().groupBy("entity", "ts").agg(F.sum("y").alias("y"))
 
 
+def guard(panel: DataFrame, entity: str = "entity", ts: str = "ts", y: str = "y", least_rows: int = 0, strict: bool = True) -> DataFrame:
+    """One row: n_rows, null_entities, n_entities, repeated_keys. Raises on missing columns, on times and values of a wrong type, and (strict) on null entities, repeated keys, no entity, or fewer than least_rows rows."""
+    missing = {entity, ts, y} - set(panel.columns)
+    if missing:
+        raise ValueError(f"no such columns: {sorted(missing)}")
+    if not isinstance(panel.schema[ts].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        raise TypeError(f"{ts} is no date or time")
+    if not isinstance(panel.schema[y].dataType, T.NumericType):
+        raise TypeError(f"{y} is no number")
+    keys = panel.groupBy(F.col(entity).alias("entity"), F.col(ts).alias("ts")).agg(F.count(F.lit(1)).alias("n"))
+    of_entity = keys.groupBy("entity").agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("more"))
+    counts = of_entity.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.when(F.col("entity").isNull(), F.col("n"))), F.lit(0)).alias("null_entities"), F.count("entity").alias("n_entities"), F.coalesce(F.sum("more"), F.lit(0)).alias("repeated_keys"))
+    if strict:
+        got = counts.first()
+        if got.null_entities or got.repeated_keys or not got.n_entities or got.n_rows < least_rows:
+            raise ValueError(f"panel refused: {got.n_rows} rows, {got.n_entities} entities, {got.null_entities} rows without an entity, {got.repeated_keys} repeated keys")
+    return counts
+
+
 def scaled(panel: DataFrame, floor: float = 1e-3) -> DataFrame:
     """Adds scale, max(mean of the entity, floor), and y_scaled."""
     scale = F.greatest(F.avg("y").over(Window.partitionBy("entity")), F.lit(floor))
@@ -62,7 +82,25 @@ def supervised(panel: DataFrame, lags: Sequence[int] = LAGS, windows: Sequence[i
     return f.dropna(subset=[c for c in f.columns if c.startswith((f"{y}_lag_", f"{y}_roll_"))])
 
 
-def future(panel: DataFrame, periods: int, step_days: int = 1) -> DataFrame:
-    """(entity, ts, step) of the `periods` dates after each entity's last."""
+#: Frequencies of a future frame, as intervals.
+FREQUENCIES = {"h": "make_interval(0, 0, 0, 0, 1)", "D": "make_interval(0, 0, 0, 1)", "W": "make_interval(0, 0, 1)", "MS": "make_interval(0, 1)", "QS": "make_interval(0, 3)", "YS": "make_interval(1)"}
+
+
+def future(panel: DataFrame, periods: int, step_days: int = 1, freq: str = "D", history: bool = False) -> DataFrame:
+    """(entity, ts, step) of the `periods` times after each entity's last: every step_days days (D), hours (h), weeks (W), or starts of months, quarters or years (MS, QS, YS).
+
+    history puts the entity's own times before them, as steps 0 and less, the last of them 0.
+    """
+    kind = panel.schema["ts"].dataType.simpleString()
+    if freq not in FREQUENCIES or (freq == "h" and kind == "date"):
+        raise ValueError(f"no frequency {freq} for times of type {kind}")
     last = panel.groupBy("entity").agg(F.max("ts").alias("last"))
-    return last.select("entity", "last", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("step")).select("entity", F.date_add("last", F.col("step") * step_days).alias("ts"), "step")
+    if freq in ("MS", "QS", "YS"):
+        last = last.withColumn("last", F.date_trunc({"MS": "month", "QS": "quarter", "YS": "year"}[freq], "last"))
+    ahead = last.select("entity", "last", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("step"))
+    step = F.expr(FREQUENCIES[freq]) * F.col("step") * (step_days if freq == "D" else 1)
+    ahead = ahead.select("entity", (F.col("last").cast("timestamp_ntz") + step).cast(kind).alias("ts"), "step")
+    if not history:
+        return ahead
+    own = panel.select("entity", "ts", (1 - F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("ts")))).alias("step"))
+    return own.unionByName(ahead)

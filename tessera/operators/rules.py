@@ -22,6 +22,7 @@ NAME, VERSION = r"^[a-zA-Z0-9_\-]+$", r"^\d+\.\d+\.\d+(-[a-zA-Z0-9]+)?$|^latest$
 UUID, JOB_VERSION = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"^\d+\.\d+\.\d+(-[a-zA-Z0-9]+)?$"
 IDEMPOTENCY_KEY = r"^[\x21-\x7E]{16,128}$"
 MOST_FEATURES, MOST_KEY, MOST_BATCH, MOST_NAME, MOST_MB = 500, 128, 1000, 128, 200
+UTC = r"(Z|[+-]00:?00)$"
 UPLOAD_TYPES = ("csv", "parquet", "excel")
 
 
@@ -47,7 +48,7 @@ def request_rules(model: Column, version: Column, n_features: Column, longest_ke
     }
 
 
-def job_rules(job_id: Column, version: Column, key: Column, filename: Column, column: Column, progress: Column) -> dict[str, Column]:
+def job_rules(job_id: Column, version: Column, key: Column, filename: Column, column: Column, progress: Column, created: Column | None = None) -> dict[str, Column]:
     return {
         "bad_job_id": job_id.rlike(UUID),
         "bad_version": version.isNull() | (version.rlike(JOB_VERSION) & (F.length(version) <= 32)),
@@ -55,11 +56,13 @@ def job_rules(job_id: Column, version: Column, key: Column, filename: Column, co
         "bad_filename": F.length(filename).between(1, 255) & filename.rlike(r"^[A-Za-z0-9_. \-]+$"),
         "bad_column": column.isNull() | (F.length(column).between(1, 128) & ~column.rlike(r"[\x00-\x1F\x7F]")),
         "bad_progress": progress.between(0, 100),
-    }
+    } | ({} if created is None else {"not_utc": created.isNull() | created.rlike(UTC)})
 
 
-def upload_rules(kind: Column, mb: Column, filename: Column) -> dict[str, Column]:
-    return {"bad_type": kind.isin(*UPLOAD_TYPES), "bad_size": (mb > 0) & (mb <= MOST_MB), "bad_filename": (F.length(filename) >= 3) & F.contains(filename, F.lit("."))}
+def upload_rules(kind: Column, mb: Column, filename: Column, n_files: Column | None = None, merged: Column | None = None) -> dict[str, Column]:
+    """merged says whether the upload has a merge configuration: it needs one with two files, and has none otherwise."""
+    rules = {"bad_type": kind.isin(*UPLOAD_TYPES), "bad_size": (mb > 0) & (mb <= MOST_MB), "bad_filename": (F.length(filename) >= 3) & F.contains(filename, F.lit("."))}
+    return rules if n_files is None or merged is None else rules | {"bad_merge": (n_files == 2) == merged}
 
 
 def flapping(df: DataFrame, key: str, status: str, order: list[str]) -> DataFrame:
@@ -84,3 +87,11 @@ def gates(df: DataFrame, quality: str = "quality", drift: str = "drift", perform
     for c in g:
         passed = passed & F.col(c)
     return df.withColumns(g).withColumn("passed", passed)
+
+
+def enforce(gated: DataFrame) -> DataFrame:
+    """The rows of gates(), if all passed; raises with the gates of the first that didn't."""
+    bad = gated.where("NOT passed").limit(1).collect()
+    if bad:
+        raise ValueError("gates failed: " + ", ".join(c for c in gated.columns if c.endswith("_ok") and not bad[0][c]))
+    return gated

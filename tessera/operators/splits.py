@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,10 +32,10 @@ def row_split(series: DataFrame, horizon: int) -> DataFrame:
 
 
 def random_split(df: DataFrame, key: str, label: str | None = None, seed: int = 42) -> DataFrame:
-    """Adds role: 15 % test below 500 rows, else 20 %, by a hash of the key; exact within each label if there are at most 50."""
+    """Adds role: 15 % test below 500 rows, else 20 %, by a hash (60 bits of the MD5 of seed and key); exact within each label if there are at most 50."""
     n = df.count()
     ratio = 0.15 if n < 500 else 0.20
-    h = F.xxhash64(F.col(key), F.lit(seed))
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
     if label and df.select(label).distinct().limit(51).count() <= 50:
         # Hashes are even: a threshold of the hash is the split, and no group is sorted. Rounded within a label only.
         w = Window.partitionBy(label, "__bin")
@@ -68,26 +69,26 @@ def default_sizes(n: int, horizon: int) -> tuple[int, int] | None:
 
 
 def backtest(folded: DataFrame, fit_predict: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], by: str = "entity") -> DataFrame:
-    """(fold, entity, ts, y, yhat) of a model fitted for each fold and entity; those that fail or have no rows are left out."""
+    """(fold, entity, ts, y, yhat, error) of a model fitted for each fold and entity; one that fails has a row with its error and nulls, one without rows none."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         train, test = (rows[rows.role == r].sort_values("ts") for r in ("train", "test"))
-        empty = pd.DataFrame({"fold": [], by: [], "ts": [], "y": [], "yhat": []})
         if train.empty or test.empty:
-            return empty
+            return pd.DataFrame({"fold": [], by: [], "ts": [], "y": [], "yhat": [], "error": []})
         try:
-            return test.assign(yhat=fit_predict(train, test))[["fold", by, "ts", "y", "yhat"]]
-        except (ValueError, ArithmeticError, IndexError):
-            return empty
+            return test.assign(yhat=fit_predict(train, test), error=None)[["fold", by, "ts", "y", "yhat", "error"]]
+        except (ValueError, ArithmeticError, IndexError, np.linalg.LinAlgError) as e:
+            return pd.DataFrame({"fold": [rows.fold.iloc[0]], by: [rows[by].iloc[0]], "ts": [None], "y": [None], "yhat": [None], "error": [f"{type(e).__name__}: {e}"]})
 
     kind = folded.schema[by].dataType.simpleString()
-    return folded.groupBy("fold", by).applyInPandas(run, f"fold int, {by} {kind}, ts date, y double, yhat double")
+    return folded.groupBy("fold", by).applyInPandas(run, f"fold int, {by} {kind}, ts date, y double, yhat double, error string")
 
 
 def summary(predicted: DataFrame) -> DataFrame:
-    """One row: n_folds, mae, rmse (means over folds) and the population standard deviation of mae."""
-    per = predicted.groupBy("fold").agg(F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("mae"), F.sqrt(F.avg(F.pow(F.col("y") - F.col("yhat"), 2))).alias("rmse"))
-    return per.agg(F.count(F.lit(1)).alias("n_folds"), F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.stddev_pop("mae").alias("mae_std"))
+    """One row: n_folds, mae, rmse (means over folds), the population standard deviation of mae, n_failed. Reading it raises if no fold has a forecast."""
+    per = predicted.groupBy("fold").agg(F.count("yhat").alias("n"), F.count("error").alias("failed"), F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("mae"), F.sqrt(F.avg(F.pow(F.col("y") - F.col("yhat"), 2))).alias("rmse"))
+    n = F.count_if(F.col("n") > 0)
+    return per.agg(F.when(n > 0, n).otherwise(F.raise_error(F.lit("no fold could be evaluated")).cast("long")).alias("n_folds"), F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.stddev_pop("mae").alias("mae_std"), F.coalesce(F.sum("failed"), F.lit(0)).alias("n_failed"))
 
 
 def regime_change(expanding: DataFrame, sliding: DataFrame, limit: float = 0.15) -> DataFrame:

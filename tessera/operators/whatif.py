@@ -53,6 +53,12 @@ def lever_search(df: DataFrame, lever: str, lo: Column, hi: Column, goal: Column
     return df.withColumn("best", best).withColumn("reached", score(F.col("best"), cols))
 
 
+def outcome(df: DataFrame, reached: Column, goal: Column, risk: Column, lo: Column, hi: Column) -> DataFrame:
+    """Adds status and risk; a FAILED row has risk 1."""
+    df = df.withColumn("status", status(reached, goal, risk, lo, hi))
+    return df.withColumn("risk", F.when(F.col("status") == "FAILED", 1.0).otherwise(risk))
+
+
 def status(reached: Column, goal: Column, risk: Column, lo: Column, hi: Column) -> Column:
     """FAILED for inverted or missing bounds, UNREACHABLE beyond 5 % of the goal, else by risk: HIGH_RISK above .7, MODERATE_RISK above .35, SAFE."""
     off = F.try_divide(F.abs(reached - goal), F.greatest(F.abs(goal), F.lit(1e-9)))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import clean, drift, metrics, models, panel as panels, profile, registry as reg, rules, splits
+from tessera.operators import clean, drift, metrics, models, panel as panels, pipelines, profile, registry as reg, rules, splits
 from tessera.plans.catalog import panel, query, registry, table
 from tessera.sources import files
 
@@ -22,20 +20,20 @@ def _rows(spark: Spark, d: str) -> DataFrame:
 
 
 def _model(spark: Spark, d: str) -> PipelineModel:
-    return models.boosted(_rows(spark, d), "l_extendedprice", FEATURES, TEXTS, maxIter=5, maxDepth=4)
+    return models.boosted(_rows(spark, d), "l_extendedprice", FEATURES, TEXTS)
 
 
 @query()
 def gbt_regression(spark: Spark, d: str) -> DataFrame:
     t = splits.random_split(_rows(spark, d), "key")
-    m = models.boosted(t.where("role = 'train'"), "l_extendedprice", FEATURES, TEXTS, maxIter=5, maxDepth=4)
+    m = models.boosted(t.where("role = 'train'"), "l_extendedprice", FEATURES, TEXTS)
     return metrics.regression(m.transform(t.where("role = 'test'")).select(F.col("l_extendedprice").alias("y"), F.col("prediction").alias("yhat")))
 
 
 @query()
 def gbt_classification(spark: Spark, d: str) -> DataFrame:
     t = splits.random_split(_rows(spark, d), "key", "l_linestatus")
-    m = models.boosted(t.where("role = 'train'"), "l_linestatus", ["l_extendedprice", *FEATURES], TEXTS, kind="classification", maxIter=5, maxDepth=3)
+    m = models.boosted(t.where("role = 'train'"), "l_linestatus", ["l_extendedprice", *FEATURES], TEXTS, kind="classification")
     return metrics.classification(m.transform(t.where("role = 'test'")).select(F.col("__label").alias("y"), F.col("prediction").alias("yhat")))
 
 
@@ -57,7 +55,7 @@ def model_roundtrip(spark: Spark, d: str) -> DataFrame:
 def batch_score(spark: Spark, d: str) -> DataFrame:
     t = _rows(spark, d)
     p = clean.Processor(target="l_extendedprice", protected=["key"]).fit(t)
-    m = models.boosted(p.transform(t), "l_extendedprice", FEATURES, TEXTS, maxIter=5, maxDepth=3)
+    m = models.boosted(p.transform(t), "l_extendedprice", FEATURES, TEXTS)
     return m.transform(p.transform(t)).select("key", "prediction")
 
 
@@ -74,7 +72,7 @@ def shap_importance(spark: Spark, d: str) -> DataFrame:
 @query()
 def panel_forecast_fit(spark: Spark, d: str) -> DataFrame:
     p = splits.temporal_split(panel(spark, d), 30)
-    m = models.fit_panel(p.where("role = 'train'").drop("role"), maxIter=5, maxDepth=4)
+    m = models.fit_panel(p.where("role = 'train'").drop("role"))
     test = panels.supervised(panels.scaled(panel(spark, d)), y="y_scaled").join(p.where("role = 'test'").select("entity", "ts"), ["entity", "ts"])
     return metrics.forecast(m.transform(test).select("entity", "y", (F.col("prediction") * F.col("scale")).alias("yhat")), ["entity"])
 
@@ -82,7 +80,7 @@ def panel_forecast_fit(spark: Spark, d: str) -> DataFrame:
 @query()
 def panel_forecast(spark: Spark, d: str) -> DataFrame:
     p = panel(spark, d)
-    return models.forecast_panel(models.fit_panel(p, maxIter=5, maxDepth=4), p, 14)
+    return models.forecast_panel(models.fit_panel(p), p, 14)
 
 
 @query()
@@ -97,15 +95,6 @@ def rolling_origin_cv(spark: Spark, d: str) -> DataFrame:
 
 @query()
 def backtest_model(spark: Spark, d: str) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-
-    def trend_and_week(train, test):
-        days = [pd.to_datetime(x.ts).to_numpy("datetime64[D]").astype("int64").astype(float) for x in (train, test)]
-        origin, span = int(days[0][0]), int(days[0][-1] - days[0][0])
-        x, z = (models.seasonal_design(v, origin, span, None) for v in days)
-        return z @ np.linalg.lstsq(x.T @ x + np.eye(x.shape[1]), x.T @ train.y.to_numpy(float), rcond=None)[0]
-
     return splits.summary(splits.backtest(splits.folds(panel(spark, d), 2000, 30, 200), trend_and_week))
 
 
@@ -119,101 +108,144 @@ def batch_forecast(spark: Spark, d: str) -> DataFrame:
     return f.unionByName(ids.join(have, "entity", "left_anti").select("entity", F.lit(None).cast("date").alias("ts"), F.lit(None).cast("double").alias("yhat"), F.lit("failed").alias("status")))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber <= 2")
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
 def load_training_sample(spark: Spark, d: str) -> DataFrame:
     """The sample that the production model of the registry points to."""
-    path = files.write(table(spark, d, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", "l_quantity"))
+    path = files.write(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"))
     g = registry(spark, d).withColumn("sample", F.lit(path))
     return files.load(spark, reg.resolve(g, stage="production").where("model = '1-URGENT'").first().sample, kind="parquet")
 
 
-def _steps(spark: Spark, steps) -> DataFrame:
-    """(step, seconds, result) of steps in order; each result is one number or text."""
-    rows = []
-    for name, step in steps:
-        began = time.time()
-        got = step()
-        rows.append((name, time.time() - began, str(got)))
-    return spark.createDataFrame(rows, "step string, seconds double, result string")
-
-
-@query()
-def tabular_pipeline(spark: Spark, d: str) -> DataFrame:
-    t = _rows(spark, d)
-    state: dict = {}
-
-    def split() -> str:
+def tabular_run(t: DataFrame, overrides=None) -> pipelines.Run:
+    def split(state: dict) -> str:
         s = splits.random_split(t, "key")
         state["train"], state["test"] = s.where("role = 'train'").drop("role"), s.where("role = 'test'").drop("role")
         return "80/20"
 
-    def train() -> str:
-        state["processor"] = clean.Processor(target="l_extendedprice", protected=["key"]).fit(state["train"])
-        state["model"] = models.boosted(state["processor"].transform(state["train"]), "l_extendedprice", FEATURES, TEXTS, maxIter=5, maxDepth=4)
+    def train(state: dict) -> str:
+        state["processor"] = clean.Processor(target="l_extendedprice", protected=["key"], numeric_target=True).fit(state["train"])
+        state["model"] = models.boosted(state["processor"].transform(state["train"]), "l_extendedprice", FEATURES, TEXTS)
         return "trained"
 
-    def evaluate() -> str:
+    def evaluate(state: dict) -> str:
         scored = state["model"].transform(state["processor"].transform(state["test"]))
         return f"{metrics.regression(scored.select(F.col('l_extendedprice').alias('y'), F.col('prediction').alias('yhat'))).first().r2:.4f}"
 
-    return _steps(
-        spark,
-        [
-            ("problem", lambda: profile.tabular_problem(t, "l_extendedprice").first().problem_type),
-            ("validation", lambda: profile.report(profile.findings(t, "l_extendedprice")).first().status),
-            ("split", split),
-            ("train", train),
-            ("evaluate_r2", evaluate),
-            ("drift", lambda: drift.report(state["train"], state["test"], FEATURES).where("drifted").count()),
-            ("importance", lambda: models.gain_importance(state["model"], [*FEATURES, *TEXTS]).first().feature),
-        ],
-    )
+    steps = [
+        ("problem", lambda s: profile.tabular_problem(t, "l_extendedprice").first().problem_type),
+        ("validation", lambda s: profile.report(profile.findings(t, "l_extendedprice")).first().status),
+        ("split", split),
+        ("train", train),
+        ("evaluate_r2", evaluate),
+        ("drift", lambda s: drift.report(s["train"], s["test"], FEATURES).where("drifted").count()),
+        ("importance", lambda s: models.gain_importance(s["model"], [*FEATURES, *TEXTS]).first().feature),
+    ]
+    return pipelines.Run(steps, overrides)
 
 
 @query()
-def temporal_pipeline(spark: Spark, d: str) -> DataFrame:
-    p = panel(spark, d)
-    state: dict = {}
+def tabular_pipeline(spark: Spark, d: str) -> DataFrame:
+    return tabular_run(_rows(spark, d))(spark)
+
+
+def trend_and_week(train, test):
+    """A fold's forecasts by trend and seasons."""
+    import numpy as np
+    import pandas as pd
+
+    days = [pd.to_datetime(x.ts).to_numpy("datetime64[D]").astype("int64").astype(float) for x in (train, test)]
+    origin, span = days[0][0], days[0][-1] - days[0][0]
+    x, z = (models.seasonal_design(v, origin, span, None) for v in days)
+    return z @ np.linalg.lstsq(x.T @ x + np.eye(x.shape[1]), x.T @ train.y.to_numpy(float), rcond=None)[0]
 
-    def train() -> str:
+
+def temporal_run(p: DataFrame, overrides=None) -> pipelines.Run:
+    def train(state: dict) -> str:
         s = splits.temporal_split(p, 28)
         state["train"], state["test"] = s.where("role = 'train'").drop("role"), s.where("role = 'test'").drop("role")
-        state["model"] = models.fit_panel(state["train"], maxIter=5, maxDepth=4)
+        state["model"] = models.fit_panel(state["train"])
         return "trained"
 
-    def evaluate() -> str:
+    def evaluate(state: dict) -> str:
         f = models.forecast_panel(state["model"], state["train"], 28).select("entity", "ts", "yhat")
         return f"{metrics.forecast(f.join(state['test'], ['entity', 'ts'])).first().wape:.2f}"
 
-    def backtest() -> str:
+    def backtest(state: dict) -> str:
         initial, step = splits.default_sizes(splits.dates_of(p).count(), 28)
-        folded = splits.folds(p, initial, 28, step * 20)
-        return f"{splits.summary(splits.backtest(folded, lambda a, b: [a.y.iloc[-7 + k % 7] for k in range(len(b))])).first().mae:.2f}"
+        return f"{splits.summary(splits.backtest(splits.folds(p, initial, 28, step), trend_and_week)).first().mae:.2f}"
 
-    return _steps(
-        spark,
-        [
-            ("validation", lambda: profile.report(profile.findings(p, "y")).first().status),
-            ("contract", lambda: profile.contract(p, "y", "forecasting").count()),
-            ("cadence", lambda: panels.cadence(p).first().step_days),
-            ("train", train),
-            ("evaluate_wape", evaluate),
-            ("backtest_mae", backtest),
-        ],
-    )
+    steps = [
+        ("panel", lambda s: panels.guard(p, least_rows=30).first().n_rows),
+        ("validation", lambda s: profile.report(profile.findings(p, "y")).first().status),
+        ("contract", lambda s: profile.contract(p, "y", "forecasting").count()),
+        ("cadence", lambda s: panels.cadence(p).first().step_days),
+        ("train", train),
+        ("evaluate_wape", evaluate),
+        ("backtest_mae", backtest),
+    ]
+    return pipelines.Run(steps, overrides)
 
 
 @query()
-def validation_run(spark: Spark, d: str) -> DataFrame:
-    """One row: schema, transitions, gates, drift and attribution of a run."""
+def temporal_pipeline(spark: Spark, d: str) -> DataFrame:
+    """The backtest fits trend and seasons anew for each of the default folds; fitting the trees for each would take a job a fold."""
+    return temporal_run(panel(spark, d))(spark)
+
+
+_DRIFTING = ["l_quantity", "l_discount"]
+
+
+def _halves(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
     t, cut = table(spark, d, "lineitem"), F.lit("1998-06-01").cast("timestamp_ntz")
-    a, b = t.where(F.col("l_shipdate") < cut), t.where(F.col("l_shipdate") >= cut)
-    found = drift.report(a, b, ["l_quantity", "l_discount"])
+    return t.where(F.col("l_shipdate") < cut), t.where(F.col("l_shipdate") >= cut)
+
+
+@query()
+def validation_run(spark: Spark, d: str) -> DataFrame:
+    """One row: schema, transitions, gates, drift, its statistics and the leading feature of a run."""
+    a, b = _halves(spark, d)
     history = table(spark, d, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, "queued").otherwise("running").alias("status"))
     illegal = rules.illegal_transitions(history, "job", "status", ["seq"]).agg(F.count(F.lit(1)).alias("n_illegal"))
     broken = profile.contract(a, "l_quantity").agg(F.count(F.lit(1)).alias("n_broken"))
-    gate = drift.gate(found).select("score", "stopped", "any_drifted")
-    one = F.lit(1)
-    out = illegal.withColumn("k", one).join(broken.withColumn("k", one), "k").join(gate.withColumn("k", one), "k")
-    run = out.withColumns({"quality": F.lit(0.9), "drift": F.col("score"), "performance": F.lit(0.8), "seconds": F.lit(10), "failures": F.lit(0)})
-    return rules.gates(run).drop("k")
+    gate = drift.gate(drift.report(a, b, _DRIFTING)).select("score", "stopped", "any_drifted")
+    most = drift.full_report(a, b, _DRIFTING).agg(*[F.max(c).alias(c) for c in ("psi", "kl", "js")])
+    top = models.shap_importance(shap_values(spark, d)).limit(1).select(F.col("feature").alias("top_feature"), F.col("importance").alias("top_importance"))
+    out = illegal.withColumn("k", F.lit(1))
+    for part in (broken, gate, most, top):  # one row each
+        out = out.join(part.withColumn("k", F.lit(1)), "k")
+    run = out.drop("k").withColumns({"quality": F.lit(0.9), "drift": F.col("score"), "performance": F.lit(0.8), "seconds": F.lit(10), "failures": F.lit(0)})
+    return rules.gates(run)
+
+
+@query()
+def validation_drift_rows(spark: Spark, d: str) -> DataFrame:
+    """The drift rows that a validation run stores, beside its own."""
+    a, b = _halves(spark, d)
+    return files.roundtrip(drift.full_report(a, b, _DRIFTING).join(drift.report(a, b, _DRIFTING).select("feature", "p_value", "drifted"), "feature"), "parquet")
+
+
+@query()
+def gbt_multiclass(spark: Spark, d: str) -> DataFrame:
+    """Three classes, each against the rest: the prediction of each held-back row with the probabilities of all classes."""
+    t = splits.random_split(_rows(spark, d), "key", "l_returnflag")
+    m = models.boosted(t.where("role = 'train'"), "l_returnflag", ["l_extendedprice", *FEATURES], ["l_linestatus"], kind="classification")
+    return models.with_probabilities(t.where("role = 'test'"), m).select("key", F.col("__label").alias("y"), F.col("prediction").alias("yhat"), *[F.get("probabilities", F.lit(k)).alias(f"p_{k}") for k in range(3)])
+
+
+@query("SELECT 14 * count(DISTINCT l_returnflag) AS n, CAST(0 AS DOUBLE) AS most FROM lineitem")
+def panel_model_roundtrip(spark: Spark, d: str) -> DataFrame:
+    """Forecasts of a stored and loaded panel model differ from the model's own by nothing."""
+    p = panel(spark, d)
+    m = models.fit_panel(p)
+    again, tails = models.load_panel(spark, models.save_panel(m, p))
+    f, g = models.forecast_panel(m, p, 14), models.forecast_panel(again, tails, 14).withColumnRenamed("yhat", "after")
+    return f.join(g, ["entity", "ts", "step"]).agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("yhat") - F.col("after"))).alias("most"))
+
+
+@query()
+def seasonal_with_regressors(spark: Spark, d: str) -> DataFrame:
+    """Multiplicative seasons with a regressor that is known ahead, for each kind of part."""
+    o = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    p = panels.build(o, "p_brand", "l_shipdate", "l_quantity").withColumn("month_end", (F.dayofmonth("ts") >= 28).cast("double"))
+    ahead = panels.future(p, 28).withColumn("month_end", (F.dayofmonth("ts") >= 28).cast("double"))
+    return models.seasonal_forecast(p, 28, multiplicative=True, regressors=["month_end"], ahead=ahead)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import drift, profile, rules, whatif
-from tessera.plans.catalog import query, r, table
+from tessera.plans.catalog import half_up, query, r, table
 
 Spark = SparkSession
 
@@ -263,7 +263,7 @@ def population_drift(spark: Spark, d: str) -> DataFrame:
 def sensitivity(spark: Spark, d: str) -> DataFrame:
     t = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("a"), (F.col("o_custkey") % 4).cast("double").alias("b"))
     s = whatif.sensitivity(t, "key", ["a", "b"], lambda x: x.withColumn("score", 3 * F.col("a") - 1e5 * F.col("b")))
-    return s.select("key", "feature", r("shift").alias("shift"), r("sensitivity").alias("sensitivity"))
+    return s.select("key", "feature", r("shift").alias("shift"), half_up("sensitivity").alias("sensitivity"))
 
 
 def _levers(spark: Spark, d: str) -> DataFrame:
@@ -274,12 +274,26 @@ def _levers(spark: Spark, d: str) -> DataFrame:
     return whatif.lever_search(t, "size", F.col("lo"), F.col("hi"), F.col("goal"), lambda v, c: c["price"] + 2.0 * v)
 
 
-@query()
+#: The bisection of all rows, round by round, on the same doubles.
+_LEVERS_SQL = (
+    "WITH RECURSIVE t AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price, CASE WHEN p_partkey % 4 = 0 THEN 1e9 ELSE p_retailprice + 30.0 END AS goal, CASE WHEN p_partkey % 9 = 0 THEN CAST(50 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS lo, CAST(40 AS DOUBLE) AS hi FROM part), "
+    "b AS (SELECT p_partkey, price, goal, hi >= lo AS up, lo, hi, (lo + hi) / 2 AS mid, FALSE AS done, 0 AS k FROM t UNION ALL "
+    "SELECT p_partkey, price, goal, up, CASE WHEN NOT now AND low THEN m ELSE lo END, CASE WHEN NOT now AND NOT low THEN m ELSE hi END, CASE WHEN done THEN mid ELSE m END, now, k + 1 FROM "
+    "(SELECT *, done OR abs(price + 2.0 * m - goal) <= 0.01 AS now, CASE WHEN up THEN price + 2.0 * m < goal ELSE price + 2.0 * m > goal END AS low FROM (SELECT *, (lo + hi) / 2 AS m FROM b) x WHERE k < 15) y), "
+    "f AS (SELECT t.*, b.mid, price2.a, price2.z FROM t JOIN b ON b.p_partkey = t.p_partkey AND b.k = 15 JOIN (SELECT p_partkey, price + 2.0 * lo AS a, price + 2.0 * hi AS z FROM t) price2 ON price2.p_partkey = t.p_partkey), "
+    "g AS (SELECT *, round(CASE WHEN goal BETWEEN least(a, z) AND greatest(a, z) THEN mid WHEN abs(a - goal) <= abs(z - goal) THEN lo ELSE hi END, 4) AS best FROM f) "
+)
+
+
+@query(_LEVERS_SQL + "SELECT p_partkey, size, price, goal, lo, hi, best, price + 2.0 * best AS reached FROM g")
 def lever_search(spark: Spark, d: str) -> DataFrame:
     return _levers(spark, d)
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'FAILED' WHEN p_partkey % 4 = 0 THEN 'UNREACHABLE' WHEN p_size / 50.0 > 0.7 THEN 'HIGH_RISK' WHEN p_size / 50.0 > 0.35 THEN 'MODERATE_RISK' ELSE 'SAFE' END AS status FROM part")
+@query(
+    _LEVERS_SQL
+    + "SELECT p_partkey, status, CASE WHEN status = 'FAILED' THEN 1.0 ELSE size / 50.0 END AS risk FROM (SELECT *, CASE WHEN lo > hi THEN 'FAILED' WHEN abs(price + 2.0 * best - goal) / greatest(abs(goal), 1e-9) > 0.05 THEN 'UNREACHABLE' WHEN size / 50.0 > 0.7 THEN 'HIGH_RISK' WHEN size / 50.0 > 0.35 THEN 'MODERATE_RISK' ELSE 'SAFE' END AS status FROM g) h"
+)
 def counterfactual_status(spark: Spark, d: str) -> DataFrame:
     t = _levers(spark, d)
-    return t.select("p_partkey", whatif.status(F.col("reached"), F.col("goal"), F.col("size") / 50.0, F.col("lo"), F.col("hi")).alias("status"))
+    return whatif.outcome(t, F.col("reached"), F.col("goal"), F.col("size") / 50.0, F.col("lo"), F.col("hi")).select("p_partkey", "status", "risk")

@@ -55,7 +55,7 @@ def history_tail(spark: Spark, d: str) -> DataFrame:
 
 @query(f"SELECT count(*) AS n_rows, count(*) FILTER (WHERE entity IS NULL) AS null_entities, count(DISTINCT entity) AS n_entities FROM {PANEL} p")
 def panel_guard(spark: Spark, d: str) -> DataFrame:
-    return panel(spark, d).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("entity").isNull()).alias("null_entities"), F.count_distinct("entity").alias("n_entities"))
+    return panels.guard(panel(spark, d)).select("n_rows", "null_entities", "n_entities")
 
 
 @query(f"SELECT entity, CAST(ts AS VARCHAR) AS ts, y FROM {PANEL} p ORDER BY entity, ts")
@@ -217,10 +217,10 @@ def wape_by_entity(spark: Spark, d: str) -> DataFrame:
     return metrics.forecast(_naive(spark, d), ["entity"]).select("entity", r("wape").alias("wape"))
 
 
-@query(f"WITH t AS (SELECT *, date_diff('day', DATE '1998-01-01', ts) + 1 AS ahead FROM {_NAIVE} n WHERE p IS NOT NULL AND ts >= DATE '1998-01-01' AND ts < DATE '1998-02-01') SELECT CAST(ahead AS INTEGER) AS ahead, round(avg(abs(y - p)), 4) AS mae, round(100 * sum(abs(y - p)) / sum(abs(y)), 4) AS wape FROM t GROUP BY 1")
+@query(f"WITH t AS (SELECT *, date_diff('day', CAST(date_trunc('month', ts) AS DATE), ts) + 1 AS ahead FROM {_NAIVE} n WHERE p IS NOT NULL) SELECT CAST(ahead AS INTEGER) AS ahead, round(avg(abs(y - p)), 4) AS mae, round(100 * sum(abs(y - p)) / sum(abs(y)), 4) AS wape FROM t GROUP BY 1")
 def error_by_horizon(spark: Spark, d: str) -> DataFrame:
-    start = F.lit("1998-01-01").cast("date")
-    t = _naive(spark, d).where((F.col("ts") >= start) & (F.col("ts") < F.lit("1998-02-01").cast("date"))).withColumn("ahead", F.datediff("ts", start) + 1)
+    """Each month is a forecast from its first day on."""
+    t = _naive(spark, d).withColumn("ahead", F.datediff("ts", F.trunc("ts", "month")) + 1)
     return metrics.forecast(t, ["ahead"]).select("ahead", r("mae").alias("mae"), r("wape").alias("wape"))
 
 
@@ -271,7 +271,11 @@ def row_split(spark: Spark, d: str) -> DataFrame:
     return _day(splits.row_split(_one(spark, d), 20))
 
 
-@query()
+@query(
+    "WITH n AS (SELECT count(*) AS n FROM orders), t AS (SELECT o_orderkey, o_orderstatus, CAST('0x' || substr(md5('42:' || o_orderkey), 1, 15) AS BIGINT) AS h, CASE WHEN n < 500 THEN 0.15 ELSE 0.2 END AS ratio, greatest(1, n // 100000) AS bins FROM orders, n), "
+    "w AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, h % bins ORDER BY h, o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderstatus, h % bins) AS m FROM t) "
+    "SELECT o_orderkey, o_orderstatus, CASE WHEN k <= round(m * ratio) THEN 'test' ELSE 'train' END AS role FROM w"
+)
 def stratified_split(spark: Spark, d: str) -> DataFrame:
     return splits.random_split(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus")
 

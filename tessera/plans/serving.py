@@ -17,7 +17,7 @@ def next_version(spark: Spark, d: str) -> DataFrame:
     return reg.next_versions(g, g.select("model").union(g.select(F.lit("new").alias("model")).limit(1)))
 
 
-@query(f"SELECT model, version, CASE WHEN model = '1-URGENT' AND version = 3 THEN 'production' WHEN model = '1-URGENT' AND stage = 'production' THEN 'archived' ELSE stage END AS stage, metric FROM {REGISTRY} r UNION ALL SELECT DISTINCT model, 41, 'staging', 0.5 FROM {REGISTRY} q")
+@query(f"SELECT model, version, CASE WHEN model = '1-URGENT' AND version = 3 THEN 'production' WHEN model = '1-URGENT' AND stage = 'production' THEN 'archived' ELSE stage END AS stage, metric FROM {REGISTRY} r UNION ALL SELECT model, CAST(max(version) + 1 AS BIGINT), 'staging', 0.5 FROM {REGISTRY} q GROUP BY 1")
 def register_promote(spark: Spark, d: str) -> DataFrame:
     g = registry(spark, d)
     rows = g.select("model").distinct().withColumns({"version": F.lit(0).cast("long"), "stage": F.lit(""), "metric": F.lit(0.5)})

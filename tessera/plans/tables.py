@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
+from tessera.functions.scalars import finite_or_null
 from tessera.operators import clean, rules, tables
 from tessera.plans.catalog import query, r, table
 from tessera.sources import files
@@ -18,9 +19,9 @@ def scan_parquet(spark: Spark, d: str) -> DataFrame:
     return files.load(spark, f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity").where("l_quantity > 45")
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'P'")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
 def write_parquet_roundtrip(spark: Spark, d: str) -> DataFrame:
-    return files.roundtrip(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").where("o_orderstatus = 'P'"), "parquet")
+    return files.roundtrip(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), "parquet")
 
 
 @query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer")
@@ -30,6 +31,19 @@ def read_csv_typed(spark: Spark, d: str) -> DataFrame:
     return files.load(spark, path, kind="csv", types={"c_custkey": "bigint", "c_acctbal": "double"})
 
 
+@query("SELECT o_orderkey, o_totalprice, CASE WHEN o_orderstatus = 'P' THEN 'na' WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderstatus END AS o_orderstatus, CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 3 AS INTEGER) AS VARCHAR) AS day, o_orderkey % 2 = 0 AS even FROM orders")
+def read_csv_sniffed(spark: Spark, d: str) -> DataFrame:
+    """Types come from the file; "N/A" is null, "na" is a text."""
+    status = F.when(F.col("o_orderstatus") == "P", "na").when(F.col("o_orderstatus") == "F", "N/A").otherwise(F.col("o_orderstatus"))
+    day = F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 3).cast("int"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", status.alias("o_orderstatus"), day.alias("day"), (F.col("o_orderkey") % 2 == 0).alias("even"))
+    t = files.load(spark, files.write(o, "csv"), kind="csv")
+    kinds = dict(t.dtypes)
+    if (kinds["o_orderkey"], kinds["o_totalprice"], kinds["day"], kinds["even"]) != ("bigint", "double", "date", "boolean"):
+        raise TypeError(f"unexpected types: {kinds}")
+    return t.withColumn("day", F.col("day").cast("string"))
+
+
 @query("SELECT count(*) AS n_rows, CAST(11 AS INTEGER) AS n_columns FROM lineitem")
 def dataset_shape(spark: Spark, d: str) -> DataFrame:
     t = table(spark, d, "lineitem")
@@ -57,22 +71,34 @@ def param_query(spark: Spark, d: str) -> DataFrame:
     return spark.sql("SELECT s_suppkey, s_name, s_acctbal FROM {s} WHERE s_nationkey = :nation AND s_acctbal > :least", args={"nation": 7, "least": 0.0}, s=table(spark, d, "supplier"))
 
 
-@query("SELECT 'baseline' AS model, l_orderkey, l_linenumber, round(l_extendedprice, 4) AS actual, round(p_retailprice * l_quantity, 4) AS predicted FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1")
+@query("SELECT 'baseline' AS model, l_orderkey, l_linenumber, round(l_extendedprice, 4) AS actual, round(p_retailprice * l_quantity, 4) AS predicted FROM lineitem JOIN part ON l_partkey = p_partkey")
 def evaluation_rows(spark: Spark, d: str) -> DataFrame:
-    both = table(spark, d, "lineitem").where("l_linenumber = 1").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    both = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return files.roundtrip(both.select(F.lit("baseline").alias("model"), "l_orderkey", "l_linenumber", r("l_extendedprice").alias("actual"), r(F.col("p_retailprice") * F.col("l_quantity")).alias("predicted")), "parquet")
 
 
+def _forecasts(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "events").withColumn("yhat", r(F.col("value").cast("string").try_cast("double")))
+    return rules.split_valid(e, {"failed": F.col("event_type") != "error", "no_forecast": F.col("yhat").isNotNull()})
+
+
 @query("SELECT event_id, event_type, round(value, 4) AS yhat, CAST(NULL AS DOUBLE) AS lower_bound FROM events WHERE event_type <> 'error' AND value IS NOT NULL")
 def forecast_rows(spark: Spark, d: str) -> DataFrame:
-    e = table(spark, d, "events").withColumn("yhat", r(F.col("value").cast("string").try_cast("double")))
-    ok, bad = rules.split_valid(e, {"failed": F.col("event_type") != "error", "no_forecast": F.col("yhat").isNotNull()})
+    ok = _forecasts(spark, d)[0]
     return files.roundtrip(ok.select("event_id", "event_type", "yhat", F.lit(None).cast("double").alias("lower_bound")), "parquet")
 
 
-@query("SELECT event_id, event_type, round(value, 2) AS latency, user_id FROM events")
+@query("SELECT event_id, concat_ws(',', CASE WHEN event_type = 'error' THEN 'failed' END, CASE WHEN value IS NULL THEN 'no_forecast' END) AS violations FROM events WHERE event_type = 'error' OR value IS NULL")
+def forecast_quarantine(spark: Spark, d: str) -> DataFrame:
+    """The rows that forecast_rows leaves out, stored with what is wrong with them."""
+    return files.roundtrip(_forecasts(spark, d)[1].select("event_id", F.array_join("violations", ",").alias("violations")), "parquet")
+
+
+@query("SELECT event_id, event_type, CASE WHEN event_id % 50 = 0 THEN NULL ELSE round(value, 2) END AS latency, user_id FROM events")
 def audit_rows(spark: Spark, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("event_id", F.to_json(F.struct("event_type", r("value", 2).alias("latency"), "user_id")).alias("features"))
+    """Values that aren't finite are stored as null."""
+    latency = F.when(F.col("event_id") % 100 == 0, float("nan")).when(F.col("event_id") % 50 == 0, float("inf")).otherwise(r("value", 2))
+    e = table(spark, d, "events").select("event_id", F.to_json(F.struct("event_type", finite_or_null(latency).alias("latency"), "user_id")).alias("features"))
     return files.roundtrip(e, "parquet").select("event_id", F.from_json("features", "event_type string, latency double, user_id bigint").alias("f")).select("event_id", "f.*")
 
 
@@ -247,22 +273,22 @@ def validate_requests(spark: Spark, d: str) -> DataFrame:
 
 
 @query(
-    "WITH t AS (SELECT event_id AS i FROM events) SELECT i AS event_id, concat_ws(',', CASE WHEN i % 2 = 0 THEN 'bad_job_id' END, CASE WHEN i % 3 = 0 THEN 'bad_version' END, CASE WHEN i % 5 = 0 THEN 'bad_key' END, CASE WHEN i % 7 = 0 THEN 'bad_filename' END, CASE WHEN i % 11 = 0 THEN 'bad_column' END, CASE WHEN i % 203 > 100 THEN 'bad_progress' END) AS violations FROM t"
+    "WITH t AS (SELECT event_id AS i FROM events) SELECT i AS event_id, concat_ws(',', CASE WHEN i % 2 = 0 THEN 'bad_job_id' END, CASE WHEN i % 3 = 0 THEN 'bad_version' END, CASE WHEN i % 5 = 0 THEN 'bad_key' END, CASE WHEN i % 7 = 0 THEN 'bad_filename' END, CASE WHEN i % 11 = 0 THEN 'bad_column' END, CASE WHEN i % 203 > 100 THEN 'bad_progress' END, CASE WHEN i % 13 = 0 THEN 'not_utc' END) AS violations FROM t"
 )
 def validate_jobs(spark: Spark, d: str) -> DataFrame:
     i = F.col("event_id")
     job = F.when(i % 2 == 0, "no-uuid").otherwise("0a1b2c3d-0000-4000-8000-0123456789ab")
-    checks = rules.job_rules(job, F.when(i % 3 == 0, "latest").otherwise("1.0.2"), F.when(i % 5 == 0, "too short").otherwise("0123456789abcdef"), F.when(i % 7 == 0, "").otherwise("data.csv"), F.when(i % 11 == 0, F.concat(F.lit("x"), F.char(F.lit(7)))).otherwise("sales"), i % 203)
+    checks = rules.job_rules(job, F.when(i % 3 == 0, "latest").otherwise("1.0.2"), F.when(i % 5 == 0, "too short").otherwise("0123456789abcdef"), F.when(i % 7 == 0, "").otherwise("data.csv"), F.when(i % 11 == 0, F.concat(F.lit("x"), F.char(F.lit(7)))).otherwise("sales"), i % 203, F.when(i % 13 == 0, "2026-01-01T10:00:00+02:00").otherwise("2026-01-01T08:00:00Z"))
     return table(spark, d, "events").select("event_id", F.array_join(rules.violations(checks), ",").alias("violations"))
 
 
 @query(
-    "SELECT event_id, concat_ws(',', CASE WHEN event_id % 4 = 3 THEN 'bad_type' END, CASE WHEN event_id % 250 > 200 OR event_id % 250 = 0 THEN 'bad_size' END, CASE WHEN event_id % 6 = 0 THEN 'bad_filename' END) AS violations FROM events"
+    "SELECT event_id, concat_ws(',', CASE WHEN event_id % 4 = 3 THEN 'bad_type' END, CASE WHEN event_id % 250 > 200 OR event_id % 250 = 0 THEN 'bad_size' END, CASE WHEN event_id % 6 = 0 THEN 'bad_filename' END, CASE WHEN (event_id % 3 = 2) <> (event_id % 2 = 0) THEN 'bad_merge' END) AS violations FROM events"
 )
 def validate_uploads(spark: Spark, d: str) -> DataFrame:
     i = F.col("event_id")
     kind = F.element_at(F.array(*[F.lit(k) for k in ("csv", "parquet", "excel", "zip")]), (i % 4 + 1).cast("int"))
-    checks = rules.upload_rules(kind, i % 250, F.when(i % 6 == 0, "noending").otherwise("a.csv"))
+    checks = rules.upload_rules(kind, i % 250, F.when(i % 6 == 0, "noending").otherwise("a.csv"), i % 3, i % 2 == 0)
     return table(spark, d, "events").select("event_id", F.array_join(rules.violations(checks), ",").alias("violations"))
 
 
