@@ -68,12 +68,18 @@ def dq_high_null(spark: Spark, d: str) -> DataFrame:
     return _found(spark, d, "high_null")
 
 
-@query("SELECT 'numeric_string' AS \"check\", 'text_number' AS \"column\", 'warning' AS severity, 1.0 AS value")
+def _readable(kind: str, source: str, columns: tuple[str, ...], check: str) -> str:
+    """SQL of the text columns all of whose values can be read as a kind."""
+    each = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, count(TRY_CAST({c} AS {kind})) AS k FROM {source} s" for c in columns)
+    return f"SELECT '{check}' AS \"check\", \"column\", 'warning' AS severity, k / n AS value FROM ({each}) e WHERE n > 0 AND k = n"
+
+
+@query(_readable("DOUBLE", _LINES, ("l_returnflag", "l_linestatus", "text_number"), "numeric_string"))
 def dq_numeric_string(spark: Spark, d: str) -> DataFrame:
     return _found(spark, d, "numeric_string")
 
 
-@query("SELECT 'datetime_string' AS \"check\", 'day' AS \"column\", 'warning' AS severity, 1.0 AS value")
+@query(_readable("TIMESTAMP", "(SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)", ("o_orderpriority", "day"), "datetime_string"))
 def dq_datetime_string(spark: Spark, d: str) -> DataFrame:
     t = table(spark, d, "orders").select("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
     return _found(spark, d, "datetime_string", df=t)
@@ -84,9 +90,13 @@ def dq_constant(spark: Spark, d: str) -> DataFrame:
     return _found(spark, d, "constant")
 
 
-@query("SELECT 'leakage' AS \"check\", 'copy' AS \"column\", 'issue' AS severity, 1.0 AS value FROM lineitem WHERE (SELECT bool_and(l_quantity = l_quantity) FROM lineitem) LIMIT 1")
+_COPIES = "(SELECT l_quantity, CASE WHEN l_quantity > 0 THEN l_quantity ELSE 0 END AS copy, CASE WHEN l_orderkey = 1 THEN -1 ELSE l_quantity END AS nearly, l_tax FROM lineitem)"
+
+
+@query("SELECT 'leakage' AS \"check\", \"column\", 'issue' AS severity, 1.0 AS value FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", bool_and({c} = l_quantity) AS same FROM {_COPIES} t" for c in ("copy", "nearly", "l_tax")) + ") u WHERE same")
 def dq_leakage(spark: Spark, d: str) -> DataFrame:
-    t = table(spark, d, "lineitem").select("l_quantity", F.col("l_quantity").alias("copy"), "l_tax")
+    q = F.col("l_quantity")
+    t = table(spark, d, "lineitem").select("l_quantity", F.when(q > 0, q).otherwise(0).alias("copy"), F.when(F.col("l_orderkey") == 1, -1).otherwise(q).alias("nearly"), "l_tax")
     return _found(spark, d, "leakage", "l_quantity", t)
 
 
@@ -126,7 +136,10 @@ def target_candidates(spark: Spark, d: str) -> DataFrame:
     return profile.semantics(_keyed(spark, d)).where("is_candidate").select("column")
 
 
-@query("SELECT 'cust_id' AS \"column\", CASE WHEN count(DISTINCT o_custkey) <= 20 THEN 'classification' ELSE 'regression' END AS problem_type FROM orders")
+@query(
+    "WITH c AS (SELECT 1 AS place, 'order_id' AS \"column\", count(DISTINCT o_orderkey) AS u, count(DISTINCT o_orderkey) = count(*) AS is_id FROM orders UNION ALL SELECT 2, 'cust_id', count(DISTINCT o_custkey), count(DISTINCT o_custkey) = count(*) FROM orders "
+    "UNION ALL SELECT 3, 'same', count(DISTINCT 'x'), FALSE FROM orders UNION ALL SELECT 4, 'o_orderstatus', count(DISTINCT o_orderstatus), FALSE FROM orders) SELECT \"column\", CASE WHEN u <= 20 THEN 'classification' ELSE 'regression' END AS problem_type FROM c WHERE u > 1 AND NOT is_id ORDER BY place LIMIT 1"
+)
 def problem_type(spark: Spark, d: str) -> DataFrame:
     return profile.problem_type(_keyed(spark, d))
 
@@ -147,7 +160,7 @@ def tabular_problem_type(spark: Spark, d: str) -> DataFrame:
     return profile.tabular_problem(table(spark, d, "lineitem").select("l_linenumber", "l_tax"), "l_linenumber")
 
 
-@query("SELECT 'target_constant' AS rule, 'same has one value only' AS message FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'no_date', 'forecasting needs a date column' FROM region WHERE r_regionkey = 0")
+@query("SELECT 'target_constant' AS rule, 'same has one value only' AS message FROM (SELECT 'x' AS same FROM orders) t HAVING count(DISTINCT same) <= 1 UNION ALL SELECT 'no_date', 'forecasting needs a date column' FROM region WHERE r_regionkey = 0")
 def contract_rules(spark: Spark, d: str) -> DataFrame:
     return profile.contract(_keyed(spark, d), "same", "forecasting")
 

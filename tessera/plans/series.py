@@ -247,11 +247,11 @@ def feedback_errors(spark: Spark, d: str) -> DataFrame:
     return f.select("l_orderkey", "l_linenumber", r("absolute_error").alias("absolute_error"), r("squared_error", 2).alias("squared_error"), r("relative_error", 6).alias("relative_error"))
 
 
-@query(f"SELECT entity, round(avg(abs(y - p)) / (SELECT avg(abs(y - p)) FROM {_NAIVE} t), 6) AS mase FROM {_NAIVE} u WHERE p IS NOT NULL GROUP BY 1 HAVING avg(abs(y - p)) / (SELECT avg(abs(y - p)) FROM {_NAIVE} t) <= 0.9")
+@query(f"SELECT entity, round(avg(abs(y - p)) / (SELECT avg(abs(y - p)) FROM {_NAIVE} t), 6) AS mase FROM {_NAIVE} u WHERE p IS NOT NULL GROUP BY 1 HAVING avg(abs(y - p)) / (SELECT avg(abs(y - p)) FROM {_NAIVE} t) <= 1.0")
 def promotion_candidates(spark: Spark, d: str) -> DataFrame:
     per = metrics.forecast(_naive(spark, d), ["entity"]).select("entity", "mae")
     scale = metrics.seasonal_scale(panel(spark, d), 7).select("scale", F.lit(1).alias("k"))
-    return per.withColumn("k", F.lit(1)).join(scale, "k").withColumn("mase", F.col("mae") / F.col("scale")).where("mase <= 0.9").select("entity", r("mase", 6).alias("mase"))
+    return per.withColumn("k", F.lit(1)).join(scale, "k").withColumn("mase", F.col("mae") / F.col("scale")).where("mase <= 1.0").select("entity", r("mase", 6).alias("mase"))
 
 
 @query(f"SELECT entity, CAST(ts AS VARCHAR) AS ts, y, CASE WHEN ts > (SELECT DISTINCT ts FROM {PANEL} q ORDER BY ts DESC LIMIT 1 OFFSET 30) THEN 'test' ELSE 'train' END AS role FROM {PANEL} p")
