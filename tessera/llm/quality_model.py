@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the average of learned vectors of its hashed words and character n-grams; a softmax over that average gives the
-class. Vectors and output weights are trained together by stochastic gradient descent in numpy. As the output is linear in
+class. Vectors and output weights are trained together by stochastic gradient descent in numpy; a vector's rate is that of the output
+times the number of the document's features, 50 at most, as the mean gives each of them so small a share of the gradient. As the output is linear in
 the average, a trained model scores with one number for each bucket (its vector times the difference of the output
 weights), so that scoring needs a lookup and a mean for each document.
 
