@@ -148,7 +148,8 @@ SCANNED = "doc_id long, text_hash long, base array<struct<kind:int,start:int,end
 def _matched(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
     """many joined to few (a row or two for each key) on key, with each key dealt to `SALTS` parts by a hash of `by`."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    return many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(few.select("*", salts), [key, "salt"]).drop("salt")
+    # Never broadcast: the copies of the smaller side grow with the corpus.
+    return many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(few.select("*", salts).hint("merge"), [key, "salt"]).drop("salt")
 
 
 def adopted(found: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
