@@ -49,7 +49,16 @@ def settle(df: DataFrame, what: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def release(*settled: DataFrame) -> None:
+    """Deletes the files of settled tables that nothing reads any more."""
+    for df in settled:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:

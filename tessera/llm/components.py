@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import settle
+from tessera.llm.common import release, settle
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -23,7 +23,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         under = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(under, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
-        live = settle(small, "edges")
+        live, before = settle(small, "edges"), live
+        release(before)
         now = live.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return live.select(F.col("a").alias("node"), F.col("b").alias("root")).union(live.select("b", "b").distinct())
