@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.hard_negatives import SQL as HARD_NEGATIVES
+from tessera.llm.hard_negatives import op12_hard_negatives
 from tessera.llm.html_text import op6_html_text
 from tessera.llm.mixing import op8_mixing
+from tessera.llm.packing import op11_packing
 from tessera.llm.pieces import op1_pieces
 from tessera.llm.piecewise import op9_piecewise
 from tessera.llm.pii import op7_pii
@@ -28,6 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_piecewise": op9_piecewise,
     "op10_simhash": op10_simhash,
+    "op11_packing": op11_packing,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_hard_negatives": HARD_NEGATIVES}
