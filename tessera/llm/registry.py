@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.collocations import SQL as COLLOCATIONS
+from tessera.llm.collocations import op13_collocations
 from tessera.llm.hard_negatives import SQL as HARD_NEGATIVES
 from tessera.llm.hard_negatives import op12_hard_negatives
 from tessera.llm.html_text import op6_html_text
@@ -33,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_packing": op11_packing,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLE_SQL: dict[str, str] = {"op12_hard_negatives": HARD_NEGATIVES}
+ORACLE_SQL: dict[str, str] = {"op12_hard_negatives": HARD_NEGATIVES, "op13_collocations": COLLOCATIONS}
