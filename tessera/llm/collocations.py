@@ -308,25 +308,28 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
-), piece AS (
-  SELECT d, lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
 ), w AS (
-  SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM piece
+  SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d
 ), gram AS (
-  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: list_slice(w, i, i + k - 1))) AS g FROM w, (VALUES (1), (2), (3)) ks(k) WHERE len(w) >= k
-), f AS (SELECT lang, k, g, count(*) AS f FROM gram GROUP BY ALL),
+  SELECT lang, 1 AS k, unnest(w) AS g FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w WHERE len(w) > 1
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w WHERE len(w) > 2
+), f AS MATERIALIZED (SELECT lang, k, g, count(*) AS f FROM gram GROUP BY ALL),
 n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
-cut AS (
-  SELECT c.lang, c.k, c.g, c.f AS a, x.f AS l, y.f AS r, j.j, CAST(CAST(1000000 AS HUGEINT) * c.f * c.f // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
-  FROM f c, (VALUES (1), (2)) j(j), f x, f y
-  WHERE c.k >= 2 AND c.f >= 10 AND j.j < c.k AND x.lang = c.lang AND y.lang = c.lang AND x.g = list_slice(c.g, 1, j.j) AND y.g = list_slice(c.g, j.j + 1, c.k)
-), c AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+c AS MATERIALIZED (SELECT lang, k, g, f AS a, string_split(g, ' ') AS t FROM f WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT lang, k, g, a, 1 AS j, t[1] AS x, substr(g, length(t[1]) + 2) AS y FROM c
+  UNION ALL SELECT lang, k, g, a, 2, t[1] || ' ' || t[2], t[3] FROM c WHERE k = 3
+), scored AS (
+  SELECT cuts.*, l.f AS l, r.f AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.g = cuts.x AND l.k = cuts.j JOIN f r ON r.lang = cuts.lang AND r.g = cuts.y AND r.k = cuts.k - cuts.j
+), least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
 longer AS (
-  SELECT lang, g, max(f) AS m FROM (SELECT lang, list_slice(g, 1, 2) AS g, f FROM f WHERE k = 3 AND f >= 10 UNION ALL SELECT lang, list_slice(g, 2, 3), f FROM f WHERE k = 3 AND f >= 10) GROUP BY ALL
+  SELECT lang, g, max(a) AS m FROM (SELECT lang, t[1] || ' ' || t[2] AS g, a FROM c WHERE k = 3 UNION ALL SELECT lang, t[2] || ' ' || t[3], a FROM c WHERE k = 3) GROUP BY lang, g
 ), kept AS (
-  SELECT c.lang, array_to_string(c.g, ' ') AS phrase, a, l, r, score FROM c LEFT JOIN longer ON longer.lang = c.lang AND longer.g = c.g WHERE m IS NULL OR 100 * m < 50 * a
+  SELECT least.* FROM least LEFT JOIN longer ON longer.lang = least.lang AND longer.g = least.g WHERE m IS NULL OR 100 * m < 50 * a
 )
-SELECT kept.lang, row_number() OVER o AS rank, phrase, a, l, r, n, score FROM kept JOIN n ON n.lang = kept.lang
-WINDOW o AS (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER o <= 2000
+SELECT kept.lang, row_number() OVER o AS rank, g AS phrase, a, l, r, n, score FROM kept JOIN n ON n.lang = kept.lang
+WINDOW o AS (PARTITION BY kept.lang ORDER BY score DESC, a DESC, g) QUALIFY row_number() OVER o <= 2000
 """
