@@ -7,15 +7,17 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, OneVsRest, OneVsRestModel
+from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators import panel as panels
-from tessera.sources.files import workspace
+from tessera.sources.files import roundtrip, workspace
 
 #: (rows below, trees, depth, step): larger tables get more and deeper trees.
 TIERS = ((500, 10, 3, 0.2), (5_000, 20, 4, 0.15), (50_000, 20, 5, 0.1), (None, 30, 5, 0.1))
@@ -28,21 +30,65 @@ def tier(n_rows: int) -> dict[str, float]:
     raise AssertionError
 
 
+#: Text features of more values than this are coded by the mean of the label instead of as categories of their own.
+MOST_CATEGORIES = 200
+
+
+def _coded(df: DataFrame, text: Sequence[str], target: Column) -> list:
+    """Stages that give each text feature c a number, __c.
+
+    Up to MOST_CATEGORIES values are categories. Of more, each value's number is its place by its mean of the target, and trees
+    split on that as on any number: the order in which the best split into two sets of values lies for one feature. Null texts and
+    texts not seen in training get the number after the last.
+    """
+    wide = [c for c in text if df.select(c).distinct().limit(MOST_CATEGORIES + 1).count() > MOST_CATEGORIES]
+    stages = [StringIndexer(inputCol=c, outputCol=f"__{c}", handleInvalid="keep", stringOrderType="alphabetAsc") for c in text if c not in wide]
+    for c in wide:
+        means = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.avg(target).alias("m"))
+        labels = [r.v for r in means.orderBy("m", "v").select("v").toLocalIterator()]  # a fitted indexer holds its values in any case
+        stages.append(StringIndexerModel.from_labels(labels, inputCol=c, outputCol=f"__place_{c}", handleInvalid="keep"))
+        stages.append(SQLTransformer(statement=f"SELECT *, `__place_{c}` + 0D AS `__{c}` FROM __THIS__"))  # a number, no longer a category
+    return stages
+
+
 def boosted(df: DataFrame, label: str, numeric: Sequence[str], text: Sequence[str] = (), kind: str = "regression", seed: int = 42, **params) -> PipelineModel:
-    """A pipeline of text indexers, a vector and boosted trees; more than two classes are taken one against the rest.
+    """A pipeline of codes for texts, a vector and boosted trees; more than two classes are taken one against the rest.
 
-    Null texts and texts not seen in training get a code of their own; null numbers should be filled before.
+    Text features may have any number of values. Null texts and texts not seen in training get a code of their own; null numbers should be
+    filled before.
     """
     options = tier(df.count()) | {"seed": seed, "labelCol": "__label", "featuresCol": "__features", "maxBins": 256} | params
-    index = [StringIndexer(inputCol=c, outputCol=f"__{c}", handleInvalid="keep", stringOrderType="alphabetAsc") for c in text]
     vector = VectorAssembler(inputCols=[*numeric, *[f"__{c}" for c in text]], outputCol="__features", handleInvalid="keep")
     if kind == "regression":
-        return Pipeline(stages=[*index, vector, GBTRegressor(**options)]).fit(df.withColumn("__label", F.col(label).cast("double")))
-    target = StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc", handleInvalid="keep")
+        df = df.withColumn("__label", F.col(label).cast("double"))
+        return Pipeline(stages=[*_coded(df, text, F.col("__label")), vector, GBTRegressor(**options)]).fit(df)
+    df = df.withColumn(label, F.col(label).cast("string"))
+    target = StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
     model: GBTClassifier | OneVsRest = GBTClassifier(**options)
     if df.select(label).distinct().limit(3).count() > 2:
         model = OneVsRest(classifier=model, labelCol="__label", featuresCol="__features")
-    return Pipeline(stages=[target, *index, vector, model]).fit(df.withColumn(label, F.col(label).cast("string")))
+    codes = _coded(target.transform(df), text, F.col("__label"))
+    return Pipeline(stages=[target, *codes, vector, model]).fit(df)
+
+
+def contributions(met: np.ndarray, shares: np.ndarray, value: float) -> np.ndarray:
+    """The Shapley values of a leaf's m features for each row of met (k x m: which conditions hold): k x m.
+
+    The leaf adds to a set of known features its value, if their conditions hold, times the shares of training rows that the others let
+    through. Its sums over all sets of one size are the coefficients of a polynomial with one factor for each other feature.
+    """
+    k, m = met.shape
+    out = np.zeros((k, m))
+    weights = [1.0 / (m * comb(m - 1, j)) for j in range(m)]
+    for f in range(m):
+        sums = np.zeros((k, m))
+        sums[:, 0] = 1.0
+        for g in range(m):
+            if g != f:
+                sums[:, 1:] = sums[:, 1:] * shares[g] + sums[:, :-1] * met[:, g, None]
+                sums[:, 0] *= shares[g]
+        out[:, f] = value * (sums @ weights) * (met[:, f] - shares[f])
+    return out
 
 
 class Trees:
@@ -51,6 +97,7 @@ class Trees:
     def __init__(self, nodes: pd.DataFrame, weights: Sequence[float]):
         self.weights = list(weights)
         self.trees = []
+        self._leaves: list[list[dict]] | None = None
         for _, t in nodes.groupby("tree", sort=True):
             t = t.sort_values("id").set_index("id")
             self.trees.append({c: t[c].to_numpy() for c in ("left", "right", "feature", "prediction", "gain", "cover")} | {"threshold": t.threshold.to_numpy(float), "inside": t.inside.tolist()})
@@ -72,35 +119,79 @@ class Trees:
                     stack += [(int(t["left"][k]), rows[left]), (int(t["right"][k]), rows[~left])]
         return out
 
-    def shap(self, x: np.ndarray) -> tuple[np.ndarray, float]:
-        """Path-dependent Shapley values of each row and feature, and the expected value.
+    #: Leaves of more features than this have no table of all masks; only the masks that rows show are worked out.
+    WIDE = 10
+
+    def leaves(self) -> list[list[dict]]:
+        """Of each tree its leaves: value, features, shares and the conditions on each feature (node, went left), with a table from masks to Shapley values."""
+        if self._leaves is None:
+            self._leaves = []
+            for w, t in zip(self.weights, self.trees, strict=True):
+                found, stack = [], [(0, {}, {})]
+                while stack:
+                    k, shares, conditions = stack.pop()
+                    if t["left"][k] >= 0:
+                        f = int(t["feature"][k])
+                        for child, left in ((int(t["left"][k]), True), (int(t["right"][k]), False)):
+                            share = t["cover"][child] / max(t["cover"][k], 1e-12)
+                            stack.append((child, shares | {f: shares.get(f, 1.0) * share}, conditions | {f: [*conditions.get(f, []), (k, left)]}))
+                        continue
+                    leaf = {"value": w * t["prediction"][k], "features": list(shares), "shares": np.array(list(shares.values())), "conditions": list(conditions.values())}
+                    m = len(shares)
+                    if m <= self.WIDE:
+                        leaf["table"] = contributions((np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float), leaf["shares"], leaf["value"])
+                    found.append(leaf)
+                self._leaves.append(found)
+        return self._leaves
+
+    def goes_left(self, x: np.ndarray) -> list[dict[int, np.ndarray]]:
+        """Of each tree, for each split, which rows go left."""
+        return [{int(k): self._goes_left(t, k, x) for k in np.flatnonzero(t["left"] >= 0)} for t in self.trees]
 
-        A leaf adds to a set of known features the value of the leaf, if the row meets the conditions on those features, times
-        the shares of training rows that the splits on the others let through. That is a product over the features of its path, so
-        the sums over all subsets of one size are the coefficients of a polynomial, one factor for each other feature.
+    def shap(self, x: np.ndarray) -> tuple[np.ndarray, float]:
+        """Path-dependent Shapley values of each row and feature, and the expected value: a leaf looks its part up by the mask of conditions that a row meets."""
+        out, base = np.zeros((x.shape[1], len(x))), 0.0
+        for leaves, left in zip(self.leaves(), self.goes_left(x), strict=True):
+            sides = {(k, True): v for k, v in left.items()} | {(k, False): ~v for k, v in left.items()}
+            for leaf in leaves:
+                base += leaf["value"] * float(np.prod(leaf["shares"]))
+                mask = np.zeros(len(x), np.int64)
+                for j, conditions in enumerate(leaf["conditions"]):
+                    met = sides[conditions[0]]
+                    for c in conditions[1:]:
+                        met = met & sides[c]
+                    mask |= met.astype(np.int64) << j
+                table = leaf.get("table")
+                if table is None:
+                    seen, mask = np.unique(mask, return_inverse=True)
+                    table = contributions((seen[:, None] >> np.arange(len(leaf["features"])) & 1).astype(float), leaf["shares"], leaf["value"])
+                for j, f in enumerate(leaf["features"]):
+                    out[f] += table[mask, j]
+        return out.T, base
+
+    def steps(self, x: np.ndarray, feature: int) -> tuple[np.ndarray, np.ndarray]:
+        """The prediction of each row as its feature moves: ascending thresholds t, and for each row the values at or below t[0], above it up to t[1], ..., above the last.
+
+        A leaf that a row reaches but for this feature adds its value over an interval of thresholds: at one end it comes in, at the other it
+        goes, and the running sum of these changes is the prediction.
         """
-        out, base = np.zeros(x.shape), 0.0
-        for w, t in zip(self.weights, self.trees, strict=True):
-            stack = [(0, {})]
-            while stack:
-                k, path = stack.pop()
-                if t["left"][k] >= 0:
-                    left, f = self._goes_left(t, k, x), int(t["feature"][k])
-                    for child, ok in ((int(t["left"][k]), left), (int(t["right"][k]), ~left)):
-                        share = t["cover"][child] / max(t["cover"][k], 1e-12)
-                        met, part = path.get(f, (np.ones(len(x), bool), 1.0))
-                        stack.append((child, path | {f: (met & ok, part * share)}))
-                    continue
-                value, m = w * t["prediction"][k], len(path)
-                base += value * np.prod([p for _, p in path.values()])
-                sizes = [1.0 / (m * comb(m - 1, k)) for k in range(m)]
-                for f, (met, share) in path.items():
-                    sums = [np.ones(len(x))]
-                    for g, (ok, part) in path.items():
-                        if g != f:
-                            sums = [(sums[k] * part if k < len(sums) else 0.0) + (sums[k - 1] * ok if k else 0.0) for k in range(len(sums) + 1)]
-                    out[:, f] += value * sum(c * s for c, s in zip(sizes, sums, strict=True)) * (met - share)
-        return out, base
+        own = [sorted({float(t["threshold"][k]) for k in np.flatnonzero((t["left"] >= 0) & (t["feature"] == feature))}) for t in self.trees]
+        thresholds = np.array(sorted(set().union(*map(set, own))))
+        changes = np.zeros((len(thresholds) + 2, len(x)))
+        for leaves, left, t in zip(self.leaves(), self.goes_left(x), self.trees, strict=True):
+            for leaf in leaves:
+                met, first, last = np.ones(len(x), bool), 0, len(thresholds)  # segments that the leaf covers
+                for f, conditions in zip(leaf["features"], leaf["conditions"], strict=True):
+                    for k, went_left in conditions:
+                        if f != feature:
+                            met = met & (left[k] if went_left else ~left[k])
+                            continue
+                        at = int(np.searchsorted(thresholds, t["threshold"][k]))
+                        first, last = (first, min(last, at)) if went_left else (max(first, at + 1), last)
+                if first <= last:
+                    changes[first] += leaf["value"] * met
+                    changes[last + 1] -= leaf["value"] * met
+        return thresholds, np.cumsum(changes, axis=0)[:-1].T
 
     def gains(self, n: int) -> np.ndarray:
         """Mean gain of the splits on each feature, 0 for unused ones."""
@@ -197,31 +288,104 @@ def shap_importance(values: DataFrame) -> DataFrame:
     return values.groupBy("feature").agg(F.avg(F.abs("value")).alias("importance")).orderBy(F.desc("importance"), "feature")
 
 
-FRAME = [*[f"y_scaled_lag_{k}" for k in panels.LAGS], *[f"y_scaled_roll_{k}" for k in panels.WINDOWS], "cal_year", "cal_month", "cal_day", "cal_weekday", "cal_day_of_year"]
+def lever_search(df: DataFrame, model: PipelineModel, names: Sequence[str], lever: str, lo: Column, hi: Column, goal: Column) -> DataFrame:
+    """df with best, the value of the lever within lo and hi whose prediction comes nearest to the goal, and reached, that prediction.
+
+    The prediction is a step function of the lever, so all its values within the bounds are looked at, not only those that bisection meets. Of
+    equally near values the nearest to the row's own counts, then the smaller. names are the model's features in their order. Of a
+    classifier of two classes, goal and reached are probabilities of the second. Rows with missing or inverted bounds, or a missing
+    goal, get nulls. Raises if the lever is no numeric column and feature of its own, or the model has more than two classes.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    if lever not in df.columns or lever not in names:
+        raise ValueError(f"no such lever: {lever}")
+    if not isinstance(df.schema[lever].dataType, T.NumericType):
+        raise TypeError(f"the lever {lever} is no number")
+    last = model.stages[-1]
+    if isinstance(last, OneVsRestModel):
+        raise ValueError("a model of more than two classes has no single prediction")
+    classes, at = isinstance(last, GBTClassificationModel), list(names).index(lever)
+    trees = df.sparkSession.sparkContext.broadcast(trees_of(model))
+    columns, row = df.columns, F.struct(*[df[c] for c in df.columns])
+    asked = df.select(*columns, row.alias("__row"), lo.cast("double").alias("__lo"), hi.cast("double").alias("__hi"), goal.cast("double").alias("__goal"))
+    inputs = [s for s in model.stages[:-1] if not (isinstance(s, StringIndexerModel) and s.getOutputCol() == "__label")]
+    asked = PipelineModel(inputs).transform(asked).select("__row", vector_to_array("__features").alias("__x"), "__lo", "__hi", "__goal")
+
+    def run(batches):
+        for b in batches:
+            x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, len(names))
+            lo, hi, goal = (np.array([np.nan if v is None else v for v in b.column(k).to_pylist()], float) for k in (2, 3, 4))
+            best, reached = nearest_step(*trees.value.steps(x, at), x[:, at], lo, hi, goal, classes)
+            both = [pa.array(v, pa.float64(), mask=np.isnan(v)) for v in (best, reached)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *both], names=["row", "best", "reached"])
+
+    found = asked.mapInArrow(run, T.StructType([T.StructField("row", asked.schema["__row"].dataType), T.StructField("best", T.DoubleType()), T.StructField("reached", T.DoubleType())]))
+    return found.select("row.*", "best", "reached")
+
+
+def nearest_step(thresholds: np.ndarray, values: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray, goal: np.ndarray, margins: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(best, reached) of each row from what Trees.steps gives; margins of classes are turned into probabilities first."""
+    values = 1 / (1 + np.exp(-2 * values)) if margins else values
+    above = np.nextafter(thresholds, np.inf)
+    left = np.maximum(np.concatenate([[-np.inf], above]), lo[:, None])  # the ends of each segment within the bounds
+    right = np.minimum(np.concatenate([thresholds, [np.inf]]), hi[:, None])
+    with np.errstate(invalid="ignore"):
+        inside = left <= right
+        at = np.clip(own[:, None], left, right)
+        off = np.where(inside, np.abs(values - goal[:, None]), np.inf)
+        ok = inside.any(axis=1) & ~np.isnan(goal) & ~np.isnan(own)
+        far = np.where(off == off.min(axis=1, keepdims=True), np.abs(at - own[:, None]), np.inf)
+    pick = np.argmin(np.where(np.isnan(far), np.inf, far), axis=1)
+    rows = np.arange(len(own))
+    return np.where(ok, at[rows, pick], np.nan), np.where(ok, values[rows, pick], np.nan)
+
+
+#: What tells entities apart: the mean, spread and number of an entity's own rows before each time.
+PAST = ["past_mean", "past_spread", "past_rows"]
+FRAME = [*[f"y_scaled_lag_{k}" for k in panels.LAGS], *[f"y_scaled_roll_{k}" for k in panels.WINDOWS], "cal_year", "cal_month", "cal_day", "cal_weekday", "cal_day_of_year", *PAST]
+
+
+def panel_frame(panel: DataFrame) -> DataFrame:
+    """The supervised frame of a panel on scaled values, with PAST: an ordered encoding of the entity, which needs no category for each and no row's own future."""
+    before = Window.partitionBy("entity").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    past = {"past_mean": F.avg("y_scaled"), "past_spread": F.stddev_pop("y_scaled"), "past_rows": F.count("y_scaled")}
+    return panels.supervised(panels.scaled(panel).withColumns({c: v.over(before) for c, v in past.items()}), y="y_scaled")
 
 
 def fit_panel(panel: DataFrame, **params) -> PipelineModel:
-    """A forecaster of all entities together, on values scaled by each entity's mean, with the entity as a category. Refuses null entities and repeated keys."""
+    """A forecaster of all entities together, of any number, on values scaled by each entity's mean. Refuses null entities and repeated keys.
+
+    The model's attribute entities is the table of those it has seen; save_panel keeps it.
+    """
     panels.guard(panel)
-    return boosted(panels.supervised(panels.scaled(panel), y="y_scaled"), "y_scaled", FRAME, ["entity"], **params)
+    model = boosted(panel_frame(panel), "y_scaled", FRAME, **params)
+    model.entities = roundtrip(panel.select("entity").distinct(), "parquet")
+    return model
 
 
 def recent(panel: DataFrame) -> DataFrame:
-    """(entity, ts, y, scale, y_scaled): the tail of each entity that a forecast needs, with the scale of its whole history."""
-    return panels.tail(panels.scaled(panel), max(panels.LAGS) + max(panels.WINDOWS) + 2).select("entity", "ts", "y", "scale", "y_scaled")
+    """(entity, ts, y, scale, y_scaled, past_n, past_sum, past_squares): the tail of each entity that a forecast needs, with the scale and the sums of its whole history."""
+    whole = Window.partitionBy("entity")
+    sums = {"past_n": F.count("y_scaled"), "past_sum": F.sum("y_scaled"), "past_squares": F.sum(F.col("y_scaled") * F.col("y_scaled"))}
+    own = panels.scaled(panel).withColumns({c: v.over(whole) for c, v in sums.items()})
+    return panels.tail(own, max(panels.LAGS) + max(panels.WINDOWS) + 2).select("entity", "ts", "y", "scale", "y_scaled", *sums)
 
 
 def save_panel(model: PipelineModel, panel: DataFrame) -> str:
-    """Stores a panel's model with the scales and tails that forecasts start from, and returns the folder."""
+    """Stores a panel's model with its entities and the scales and tails that forecasts start from, and returns the folder."""
     path = workspace(panel.sparkSession)
     model.write().save(f"{path}/model")
+    model.entities.write.parquet(f"{path}/entities")
     recent(panel).write.parquet(f"{path}/recent")
     return path
 
 
 def load_panel(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
     """The model and the tails, as forecast_panel takes them."""
-    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/recent")
+    model = PipelineModel.load(f"{path}/model")
+    model.entities = spark.read.parquet(f"{path}/entities")
+    return model, spark.read.parquet(f"{path}/recent")
 
 
 def forecast_panel(model: PipelineModel, panel: DataFrame, horizon: int, step_days: int = 1) -> DataFrame:
@@ -231,23 +395,25 @@ def forecast_panel(model: PipelineModel, panel: DataFrame, horizon: int, step_da
     know an entity, or one has fewer rows than the lags and means need.
     """
     spark, needed = panel.sparkSession, max(panels.LAGS + panels.WINDOWS)
-    labels = {v: float(i) for i, v in enumerate(model.stages[0].labels)}
     tails = panel if "y_scaled" in panel.columns else recent(panel)
-    known = spark.createDataFrame([(v, True) for v in labels], "entity string, known boolean")
+    known = model.entities.select("entity", F.lit(True).alias("known"))
     wrong = tails.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).join(known, "entity", "left").where(F.col("known").isNull() | (F.col("n") < needed)).limit(5).collect()
     if wrong:
         raise ValueError("can't forecast " + ", ".join(f"{r.entity} ({'unknown to the model' if not r.known else f'{r.n} rows, {needed} needed'})" for r in wrong))
-    trees = spark.sparkContext.broadcast(trees_of(model))
+    trees = spark.sparkContext.broadcast(trees_of(model))  # bounded by the number and depth of trees
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts")
-        entity, scale = rows.entity.iloc[0], float(rows.scale.iloc[0])
-        y, day, out = list(rows.y_scaled), pd.Timestamp(rows.ts.iloc[-1]), []
+        last = rows.iloc[-1]
+        scale, n, total, squares = float(last.scale), int(last.past_n), float(last.past_sum), float(last.past_squares)
+        y, day, out = list(rows.y_scaled), pd.Timestamp(last.ts), []
         for step in range(1, horizon + 1):
             day = day + pd.Timedelta(days=step_days)
-            x = [*[y[-k] for k in panels.LAGS], *[float(np.mean(y[-w:])) for w in panels.WINDOWS], day.year, day.month, day.day, day.weekday() + 1, day.dayofyear, labels[entity]]
+            past = [total / n, max(squares / n - (total / n) ** 2, 0.0) ** 0.5, float(n)]
+            x = [*[y[-k] for k in panels.LAGS], *[float(np.mean(y[-w:])) for w in panels.WINDOWS], day.year, day.month, day.day, day.weekday() + 1, day.dayofyear, *past]
             y.append(float(trees.value.predict(np.array([x], float))[0]))
-            out.append((entity, day.date(), step, y[-1] * scale))
+            n, total, squares = n + 1, total + y[-1], squares + y[-1] ** 2
+            out.append((last.entity, day.date(), step, y[-1] * scale))
         return pd.DataFrame(out, columns=["entity", "ts", "step", "yhat"])
 
     return tails.groupBy("entity").applyInPandas(run, "entity string, ts date, step int, yhat double")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Relative step (absolute where the value is 0), and the bounds of the search.
 STEP, ROUNDS, PRECISION = 0.05, 15, 0.01
@@ -28,12 +29,20 @@ def sensitivity(df: DataFrame, key: str, columns: Sequence[str], score: Callable
     return shift.withColumn("sensitivity", F.coalesce(F.try_divide(F.col("shift"), F.max("shift").over(w)), F.lit(0.0))).withColumn("rank", F.row_number().over(w.orderBy(F.desc("shift"), "feature")))
 
 
+def check_lever(df: DataFrame, lever: str) -> None:
+    if lever not in df.columns:
+        raise ValueError(f"no such lever: {lever}")
+    if not isinstance(df.schema[lever].dataType, T.NumericType):
+        raise TypeError(f"the lever {lever} is no number")
+
+
 def lever_search(df: DataFrame, lever: str, lo: Column, hi: Column, goal: Column, score: Callable[[Column, Mapping[str, Column]], Column], rounds: int = ROUNDS, precision: float = PRECISION) -> DataFrame:
     """Adds best (the lever's value, 4 digits) and reached (its score): bisection of all rows at once for a score that is monotone in the lever.
 
     score(value, columns) is an expression. Where an end comes nearest to an unreachable goal, that end is the result. The
-    fold keeps the rounds inside one expression, so the plan doesn't grow with them.
+    fold keeps the rounds inside one expression, so the plan doesn't grow with them. Raises if the lever is no numeric column.
     """
+    check_lever(df, lever)
     cols = {c: F.col(c) for c in df.columns}
     up = score(hi, cols) >= score(lo, cols)
 
@@ -53,9 +62,13 @@ def lever_search(df: DataFrame, lever: str, lo: Column, hi: Column, goal: Column
     return df.withColumn("best", best).withColumn("reached", score(F.col("best"), cols))
 
 
-def outcome(df: DataFrame, reached: Column, goal: Column, risk: Column, lo: Column, hi: Column) -> DataFrame:
-    """Adds status and risk; a FAILED row has risk 1."""
+def outcome(df: DataFrame, reached: Column, goal: Column, risk: Column, lo: Column, hi: Column, lever: str | None = None, strict: bool = False) -> DataFrame:
+    """Adds status and risk; a FAILED row has risk 1. Raises if a lever is named that is no numeric column, and (strict) if a row fails."""
+    if lever is not None:
+        check_lever(df, lever)
     df = df.withColumn("status", status(reached, goal, risk, lo, hi))
+    if strict and df.where("status = 'FAILED'").limit(1).count():
+        raise ValueError("a row has missing or inverted bounds")
     return df.withColumn("risk", F.when(F.col("status") == "FAILED", 1.0).otherwise(risk))
 
 

@@ -73,7 +73,7 @@ def shap_importance(spark: Spark, d: str) -> DataFrame:
 def panel_forecast_fit(spark: Spark, d: str) -> DataFrame:
     p = splits.temporal_split(panel(spark, d), 30)
     m = models.fit_panel(p.where("role = 'train'").drop("role"))
-    test = panels.supervised(panels.scaled(panel(spark, d)), y="y_scaled").join(p.where("role = 'test'").select("entity", "ts"), ["entity", "ts"])
+    test = models.panel_frame(panel(spark, d)).join(p.where("role = 'test'").select("entity", "ts"), ["entity", "ts"])
     return metrics.forecast(m.transform(test).select("entity", "y", (F.col("prediction") * F.col("scale")).alias("yhat")), ["entity"])
 
 
@@ -83,6 +83,24 @@ def panel_forecast(spark: Spark, d: str) -> DataFrame:
     return models.forecast_panel(models.fit_panel(p), p, 14)
 
 
+@query("SELECT l_suppkey AS entity, CAST(7 AS BIGINT) AS n_steps, TRUE AS finite FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT CAST(l_shipdate AS DATE)) > 28")
+def panel_forecast_suppliers(spark: Spark, d: str) -> DataFrame:
+    """Forecasts for each supplier with more than four weeks of lines: as many entities as there are, none of them a category."""
+    p = panels.build(table(spark, d, "lineitem"), "l_suppkey", "l_shipdate", "l_quantity")
+    p = files.roundtrip(p.join(p.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where("n > 28").select("entity"), "entity"), "parquet")
+    f = models.forecast_panel(models.fit_panel(p), p, 7)
+    return f.groupBy(F.col("entity").cast("long").alias("entity")).agg(F.count(F.lit(1)).alias("n_steps"), F.every(F.col("yhat").isNotNull() & ~F.isnan("yhat")).alias("finite"))
+
+
+@query()
+def model_levers(spark: Spark, d: str) -> DataFrame:
+    """The quantity between 1 and 50 at which a fitted model's price comes nearest to each line's price and a tenth."""
+    t, m = _rows(spark, d), _model(spark, d)
+    found = models.lever_search(t, m, [*FEATURES, *TEXTS], "l_quantity", F.lit(1.0), F.lit(50.0), F.col("l_extendedprice") * 1.1)
+    off = F.abs(F.col("reached") - F.col("l_extendedprice") * 1.1) / (F.col("l_extendedprice") * 1.1)
+    return found.select("key", "l_quantity", "best", "reached", (off > 0.05).alias("unreachable"))
+
+
 @query()
 def seasonal_forecast(spark: Spark, d: str) -> DataFrame:
     return models.seasonal_forecast(panel(spark, d), 28)

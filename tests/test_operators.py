@@ -206,8 +206,8 @@ def test_recursive_forecast_and_shap(spark):
     m = models.fit_panel(p, maxIter=4, maxDepth=3)
     f = models.forecast_panel(m, p, 7).toPandas()
     assert len(f) == 14 and (f.yhat > 5).all() and f.ts.min() == dt.date(2024, 5, 30)
-    frame = panel.supervised(panel.scaled(p), y="y_scaled").withColumn("key", F.monotonically_increasing_id())
-    v = models.shap_values(frame, m, "key", [*models.FRAME, "entity"]).toPandas()
+    frame = models.panel_frame(p).withColumn("key", F.monotonically_increasing_id())
+    v = models.shap_values(frame, m, "key", models.FRAME).toPandas()
     s = v.groupby("key").agg(total=("value", "sum"), base=("base", "first"), prediction=("prediction", "first"))
     assert np.allclose(s.total + s.base, s.prediction, atol=1e-5)
     want = m.transform(frame).select("key", "prediction").toPandas().set_index("key").prediction
