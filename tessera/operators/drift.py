@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import gcd
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.scalars import finite
 from tessera.sources.files import roundtrip
@@ -29,38 +33,60 @@ def tally(cells: DataFrame) -> DataFrame:
     return cells.groupBy("feature", "v").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
 
 
-def ks(cells: DataFrame, buckets: int = 512) -> DataFrame:
+#: Up to so many rows on either side the p-value is exact, beyond it is the asymptotic series.
+EXACT = 10_000
+
+
+def ks(cells: DataFrame) -> DataFrame:
     """(feature, n_ref, n_cur, ks, p_value): the largest distance of the two empirical distributions.
 
-    Values are counted first and dealt to ranges that hold about as many distinct values each, whatever the distribution; the running
-    sums need only the totals of the ranges before, so no feature's values are ever sorted in one task.
+    Values are counted first and dealt to ranges of (feature, value); the running sums need only the totals of the ranges before, so
+    no feature's values are ever sorted in one task.
     """
-    return ks_of(tally(cells), buckets)
+    return ks_of(tally(cells))
 
 
-def ks_of(counts: DataFrame, buckets: int = 512) -> DataFrame:
-    ends = counts.groupBy("feature").agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("edges"), F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"))
+def ks_of(counts: DataFrame) -> DataFrame:
+    ranged = roundtrip(counts.repartitionByRange("feature", "v").withColumn("part", F.spark_partition_id()))
+    sums = ranged.groupBy("feature", "part").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))  # a row for each range and feature in it
+    before, whole = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("feature")
+    offsets = sums.select("feature", "part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(o) for c, o in (("sa", "oa"), ("sb", "ob"))], F.sum("sa").over(whole).alias("n_ref"), F.sum("sb").over(whole).alias("n_cur"))
+    w = Window.partitionBy("feature", "part").orderBy("v")
+    run = ranged.join(offsets, ["feature", "part"]).withColumns({"fa": (F.col("oa") + F.sum("a").over(w)) / F.col("n_ref"), "fb": (F.col("ob") + F.sum("b").over(w)) / F.col("n_cur")})
+    stat = run.where("n_ref > 0 AND n_cur > 0").groupBy("feature", "n_ref", "n_cur").agg(F.max(F.abs(F.col("fa") - F.col("fb"))).alias("ks"))
+    d, n, m = F.col("ks"), F.col("n_ref"), F.col("n_cur")
+    return stat.withColumn("p_value", F.when(F.greatest(n, m) <= EXACT, _exact(d, n, m)).otherwise(ks_p_value(d, n, m)))
 
-    def halve(s: Column, _: Column) -> Column:
-        """Halves [lo, hi), the number of edges at most v lies within."""
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        open_, low = s["lo"] < s["hi"], F.get(F.col("edges"), mid) <= F.col("v")
-        return F.struct(F.when(open_ & low, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~low, mid).otherwise(s["hi"]).alias("hi"))
 
-    start = F.struct(F.lit(0).alias("lo"), F.lit(buckets - 1).alias("hi"))
-    bucket = F.aggregate(F.sequence(F.lit(0), F.lit(buckets.bit_length())), start, halve, lambda s: s["lo"])
-    placed = counts.join(ends, "feature").withColumn("bucket", bucket).drop("edges")
-    sums = placed.groupBy("feature", "bucket").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
-    before = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("feature", "bucket", F.coalesce(F.sum("sa").over(before), F.lit(0)).alias("oa"), F.coalesce(F.sum("sb").over(before), F.lit(0)).alias("ob"))
-    w = Window.partitionBy("feature", "bucket").orderBy("v")
-    run = placed.join(offsets, ["feature", "bucket"]).withColumns({"fa": (F.col("oa") + F.sum("a").over(w)) / F.col("n_ref"), "fb": (F.col("ob") + F.sum("b").over(w)) / F.col("n_cur")})
-    stat = run.groupBy("feature", "n_ref", "n_cur").agg(F.max(F.abs(F.col("fa") - F.col("fb"))).alias("ks")).where("n_ref > 0 AND n_cur > 0")
-    return stat.withColumn("p_value", ks_p_value(F.col("ks"), F.col("n_ref"), F.col("n_cur")))
+def ks_exact(d: float, n: int, m: int) -> float:
+    """The share of all orders of n and m values, equally likely, whose distance is d at least.
+
+    An order is a path from (0, 0) to (n, m) in a lattice. Of all paths to (i, j) the share that has met a point of distance d or more
+    is 1 at such a point, else the mean of the shares one step back, weighed by i and j. Diagonals follow one another, each an array.
+    """
+    n, m = max(n, m), min(n, m)
+    a, b = n // gcd(n, m), m // gcd(n, m)
+    least = round(d * a * m)  # the distance in units of 1 / lcm(n, m)
+    if least <= 0:
+        return 1.0
+    met = np.zeros(m + 2)  # met[j + 1]: the share at (s - j, j)
+    for s in range(1, n + m + 1):
+        lo, hi = max(0, s - n), min(m, s)
+        j = np.arange(lo, hi + 1)
+        now = (met[lo : hi + 1] * j + met[lo + 1 : hi + 2] * (s - j)) / s
+        now[np.abs(j * a - (s - j) * b) >= least] = 1.0
+        met[lo + 1 : hi + 2] = now
+    return float(met[m + 1])
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    """Rows are features; those beyond EXACT are left to the series."""
+    return pd.Series([ks_exact(x, int(i), int(j)) if max(i, j) <= EXACT else None for x, i, j in zip(d, n, m, strict=True)], dtype=float)
 
 
 def ks_p_value(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
-    """The asymptotic Kolmogorov series."""
+    """The asymptotic Kolmogorov series, for large samples."""
     x = F.sqrt(n * m / (n + m)) * d
     series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * x * x))
     return F.when(x < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series)))

@@ -182,9 +182,12 @@ def _two(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
 
 _CELLS = "(" + " UNION ALL ".join(f"SELECT '{c}' AS feature, CASE WHEN l_shipdate < TIMESTAMP '1998-06-01' THEN 0 ELSE 1 END AS side, {c} AS v FROM lineitem" for c in _NUM) + ")"
 _KS = (
-    f"WITH c AS (SELECT feature, v, count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS b FROM {_CELLS} x GROUP BY 1, 2), n AS (SELECT feature, sum(a) AS na, sum(b) AS nb FROM c GROUP BY 1), "
+    f"WITH RECURSIVE c AS (SELECT feature, v, count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS b FROM {_CELLS} x GROUP BY 1, 2), n AS (SELECT feature, sum(a) AS na, sum(b) AS nb FROM c GROUP BY 1), "
     "f AS (SELECT feature, sum(a) OVER (PARTITION BY feature ORDER BY v) AS fa, sum(b) OVER (PARTITION BY feature ORDER BY v) AS fb FROM c), k AS (SELECT f.feature, na, nb, max(abs(fa / na - fb / nb)) AS ks FROM f JOIN n ON f.feature = n.feature GROUP BY 1, 2, 3), "
-    "p AS (SELECT *, sqrt(na * nb / (na + nb)) * ks AS x FROM k), q AS (SELECT *, CASE WHEN x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * (SELECT sum((CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * x * x)) FROM range(1, 101) t(j)))) END AS p_value FROM p) "
+    "l AS (SELECT feature, CAST(na AS BIGINT) AS na, CAST(nb AS BIGINT) AS nb, CAST(na / gcd(CAST(na AS BIGINT), CAST(nb AS BIGINT)) AS BIGINT) AS ga, CAST(nb / gcd(CAST(na AS BIGINT), CAST(nb AS BIGINT)) AS BIGINT) AS gb, ks FROM k WHERE greatest(na, nb) <= 10000), "
+    "d AS (SELECT *, 0 AS s, list_transform(range(0, nb + 1), lambda j: CAST(0 AS DOUBLE)) AS q FROM l UNION ALL SELECT feature, na, nb, ga, gb, ks, s + 1, list_transform(range(0, nb + 1), lambda j: CASE WHEN s + 1 - j < 0 OR s + 1 - j > na THEN CAST(0 AS DOUBLE) WHEN abs(j * ga - (s + 1 - j) * gb) >= round(ks * ga * nb) THEN CAST(1 AS DOUBLE) ELSE (coalesce(q[j], 0) * j + q[j + 1] * (s + 1 - j)) / (s + 1) END) FROM d WHERE s < na + nb), "
+    "p AS (SELECT *, sqrt(na * nb / (na + nb)) * ks AS x FROM k), "
+    "q AS (SELECT p.feature, p.na, p.nb, p.ks, CASE WHEN d.q IS NOT NULL THEN d.q[d.nb + 1] WHEN x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * (SELECT sum((CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * x * x)) FROM range(1, 101) t(j)))) END AS p_value FROM p LEFT JOIN d ON d.feature = p.feature AND d.s = d.na + d.nb) "
 )
 
 

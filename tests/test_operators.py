@@ -1,6 +1,7 @@
 """Operators on small tables with known results."""
 
 import datetime as dt
+from itertools import combinations
 import math
 
 import numpy as np
@@ -139,6 +140,25 @@ def test_ks_against_numpy(spark):
     assert got["ks"] == pytest.approx(want)
 
 
+def test_exact_ks_equals_enumeration(spark):
+    for n, m in ((1, 1), (2, 3), (4, 4), (5, 3), (6, 4)):
+        paths = [set(c) for c in combinations(range(n + m), n)]
+        far = [max(abs(sum(k in p for k in range(s)) * m - sum(k not in p for k in range(s)) * n) for s in range(1, n + m + 1)) for p in paths]
+        for d in sorted(set(far)):
+            assert drift.ks_exact(d / (n * m), n, m) == pytest.approx(np.mean([f >= d for f in far]))
+            assert drift.ks_exact(d / (n * m), m, n) == pytest.approx(np.mean([f >= d for f in far]))
+    assert drift.ks_exact(0.0, 5, 7) == 1
+    assert 0 < drift.ks_exact(1.0, 40, 40) < 1e-22
+
+
+def test_p_values_by_size(spark):
+    v = lambda k, off: spark.range(k).select((F.col("id") % 97 + off).cast("double").alias("v"))
+    small = drift.report(v(300, 0), v(200, 9), ["v"]).first()
+    assert small.p_value == pytest.approx(drift.ks_exact(small.ks, 300, 200)) and 0 < small.p_value < 1
+    assert drift.report(v(12_000, 0), v(200, 9), ["v"]).first().p_value == pytest.approx(small.p_value, abs=0.2)
+    assert drift.report(v(5, 0), v(0, 0), ["v"]).count() == 0
+
+
 def test_folds(spark):
     days = [(dt.date(2026, 1, 1) + dt.timedelta(days=i), float(i)) for i in range(100)]
     df = spark.createDataFrame(days, "ts date, y double")
