@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from math import comb
 
 import numpy as np
@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators import holidays
 from tessera.operators import panel as panels
+from tessera.operators import trend as trends
 from tessera.sources.files import roundtrip, workspace
 
 #: (rows below, trees, depth, step): larger tables get more and deeper trees.
@@ -441,35 +443,49 @@ def _ridge(x: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(x.T @ x + np.diag(penalty) + 1e-9 * np.eye(x.shape[1]), x.T @ y, rcond=None)[0]
 
 
-def fit_seasons(trend: np.ndarray, season: np.ndarray, y: np.ndarray, multiplicative: bool, ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of trend and season in y = trend + season, or in y = trend * (1 + season), where each is fitted in turn with the other held."""
-    of_trend = np.array([0.0, 0.0, *[ridge] * (trend.shape[1] - 2)])
+def fit_and_forecast(t: np.ndarray, y: np.ndarray, season: np.ndarray, t_ahead: np.ndarray, season_ahead: np.ndarray, multiplicative: bool, ridge: float, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Values and standard deviations at t and t_ahead, of y = trend + season or of y = trend * (1 + season), where each is fitted in turn with the other held."""
+    both_t, both_s = np.concatenate([t, t_ahead]), np.concatenate([season, season_ahead])
     if not multiplicative:
-        both = _ridge(np.hstack([trend, season]), y, np.concatenate([of_trend, np.full(season.shape[1], ridge)]))
-        return both[: trend.shape[1]], both[trend.shape[1] :]
-    b = np.zeros(season.shape[1])
+        fit = trends.Fit(t, y, season, ridge, prior)
+        return fit.trend(both_t) + fit.waves(both_s), fit.deviation(both_t, both_s, t[-1])
+    b, none, weights = np.zeros(season.shape[1]), np.zeros((len(t), 0)), None
     for _ in range(30):
-        a = _ridge(trend * (1 + season @ b)[:, None], y, of_trend)
-        level = trend @ a
+        fit = trends.Fit(t, y, none, ridge, prior, 1 + season @ b, weights)
+        level, weights = fit.trend(t), fit.weights
         new = _ridge(season * level[:, None], y - level, np.full(season.shape[1], ridge * max(np.mean(level**2), 1e-9)))
-        done, b = np.allclose(new, b, atol=1e-9), new
+        done, b = np.allclose(new, b, atol=1e-6), new
         if done:
             break
-    return a, b
+    return fit.trend(both_t) * (1 + both_s @ b), fit.deviation(both_t, np.zeros((len(both_t), 0)), t[-1]) * np.abs(1 + both_s @ b)
 
 
 SEASONAL = "entity string, ts {kind}, yhat double, lower double, upper double"
 
 
 def seasonal_forecast(
-    panel: DataFrame, horizon: int, multiplicative: bool = False, width: float = 0.95, ridge: float = 1.0, step_days: float = 1, history: bool = False, regressors: Sequence[str] = (), ahead: DataFrame | None = None, strict: bool = True
-) -> DataFrame:
-    """(entity, ts, yhat, lower, upper): a ridge fit of trend, seasons and regressors for each entity, with bounds from residual quantiles.
-
-    Times are dates, or timestamps, which get a daily season too. ahead (entity, ts, regressors) gives the times to forecast; without
-    it they are `horizon` steps of step_days. Rows with a null go. Raises if regressors are null or not given ahead, and (strict) if an
-    entity has fewer than two rows; otherwise such entities have no forecast.
+    panel: DataFrame, horizon: int, multiplicative: bool = False, width: float = 0.95, ridge: float = 1.0, step_days: float = 1, history: bool = False, regressors: Sequence[str] = (), ahead: DataFrame | None = None, strict: bool = True,
+    prior: float = trends.PRIOR, rules: Mapping[str, holidays.Rule] | None = None, around: tuple[int, int] = (0, 0),
+) -> DataFrame:
+    """(entity, ts, yhat, lower, upper): trend with few bends, seasons, regressors and holidays for each entity, with bounds that widen with the distance.
+
+    Of 25 candidate bends a sparse prior keeps those that the series needs: the larger `prior`, the more. Times are dates, or timestamps, which
+    get a daily season too. ahead (entity, ts, regressors) gives the times to forecast; without it they are `horizon` steps of
+    step_days. rules name holidays (see holidays.COUNTRIES), each an effect of its own on its day and the days `around` it, before and after.
+    Rows with a null go. Raises if regressors are null or not given ahead, and (strict) if an entity has fewer than two rows;
+    otherwise such entities have no forecast.
     """
+    if rules:
+        kind = panel.schema["ts"].dataType.simpleString()
+        if ahead is None and horizon:
+            if regressors:
+                raise ValueError("regressors need their values ahead")
+            steps = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("k")
+            ahead = panel.dropna().groupBy("entity").agg(F.max("ts").alias("ts")).select("entity", "ts", steps)
+            ahead = ahead.select("entity", (F.col("ts").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("k") * F.lit(round(step_days * 86_400)))).cast(kind).alias("ts"))
+        panel = holidays.flagged(panel, rules, "ts", *around)
+        ahead = holidays.flagged(ahead, rules, "ts", *around) if ahead is not None else None
+        regressors = [*regressors, *map(holidays.column, rules)]
     names = list(regressors)
     if names and ahead is None and horizon:
         raise ValueError("regressors need their values ahead")
@@ -498,17 +514,18 @@ def seasonal_forecast(
         later = days[~past] if given else known[-1] + step_days * np.arange(1, horizon + 1)
         origin, span, daily = known[0], known[-1] - known[0], bool(np.any(known % 1))
         extra = rows[names].to_numpy(float) if names else None
-        mean, sd = (extra[past].mean(axis=0), np.maximum(extra[past].std(axis=0), 1e-9)) if names else (0.0, 1.0)
+        mean, sd = (extra[past].mean(axis=0), extra[past].std(axis=0)) if names else (0.0, 1.0)
+        sd = np.where(sd > 1e-9, sd, 1.0)  # what never changed, so far, has no effect
         part = lambda mask: (extra[mask] - mean) / sd if names else None
-        trend, season = trend_design(known, origin, span), season_design(known, span, daily, part(past))
-        a, b = fit_seasons(trend, season, y, multiplicative, ridge)
-        mix = lambda level, wave: level * (1 + wave) if multiplicative else level + wave
-        lo, hi = np.quantile(y - mix(trend @ a, season @ b), [(1 - width) / 2, (1 + width) / 2])
-        f = mix(trend_design(later, origin, span) @ a, season_design(later, span, daily, part(~past) if given else None) @ b) if len(later) else np.zeros(0)
-        at = np.concatenate([known, later]) if history else later
-        f = np.concatenate([mix(trend @ a, season @ b), f]) if history else f
-        times = pd.to_datetime(np.round(at * 86_400e3).astype("int64"), unit="ms")
-        return pd.DataFrame({"entity": rows.entity.iloc[0], "ts": times.date if kind == "date" else times, "yhat": f, "lower": f + lo, "upper": f + hi})
+        t, season = (known - origin) / max(span, 1e-9), season_design(known, span, daily, part(past))
+        f, spread = fit_and_forecast(t, y, season, (later - origin) / max(span, 1e-9), season_design(later, span, daily, part(~past) if given else None) if len(later) else season[:0], multiplicative, ridge, prior)
+        n = len(known)
+        lo, hi = np.quantile(y - f[:n], [(1 - width) / 2, (1 + width) / 2])
+        scale = spread / max(float(np.std(y - f[:n])), 1e-12)
+        out = slice(0 if history else n, None)
+        times = pd.to_datetime(np.round(np.concatenate([known, later])[out] * 86_400e3).astype("int64"), unit="ms")
+        f, scale = f[out], scale[out]
+        return pd.DataFrame({"entity": rows.entity.iloc[0], "ts": times.date if kind == "date" else times, "yhat": f, "lower": f + np.minimum(lo, 0) * scale, "upper": f + np.maximum(hi, 0) * scale})
 
     return own.groupBy("entity").applyInPandas(run, SEASONAL.format(kind=kind))
 
