@@ -111,6 +111,8 @@ class HatTrie:
 
     def add(self, first: np.ndarray, rest: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Counts phrases (first word, second * width + third) and gives the runs that had to be spilled."""
+        if not len(first):
+            return
         order = np.argsort(first, kind="stable")
         first, rest = first[order], rest[order]
         starts = np.flatnonzero(np.diff(first, prepend=-1))
@@ -165,7 +167,7 @@ def _mix(*ids: np.ndarray) -> np.ndarray:
     return h
 
 
-def _count(parts: int, hot: int, limit: int):
+def _count(parts: int, hot: int, limit: int, burst: int, chunk: int):
     """Runs of triples from blocks (ids, known: local number, number, count): rows (part, run)."""
 
     def runs(ids: np.ndarray, local: np.ndarray, number: np.ndarray, f: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -175,7 +177,7 @@ def _count(parts: int, hot: int, limit: int):
         rank[local] = np.arange(1, len(local) + 1)
         t = np.concatenate([rank[ids], [0, 0]])
         width = len(number)
-        trie = HatTrie(width, limit=limit)
+        trie = HatTrie(width, burst, limit)
 
         def dealt(first: np.ndarray, rest: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, bytes]]:
             second, third = np.divmod(rest, width)
@@ -188,8 +190,8 @@ def _count(parts: int, hot: int, limit: int):
             for a, b in zip(cuts, cuts[1:]):  # noqa: B905
                 yield int(to[a]), _planes([c[a:b] for c in columns])
 
-        for at in range(0, len(ids), CHUNK):
-            a, b, c = t[at : at + CHUNK], t[at + 1 : at + 1 + CHUNK], t[at + 2 : at + 2 + CHUNK]
+        for at in range(0, len(ids), chunk):
+            a, b, c = t[at : at + chunk], t[at + 1 : at + 1 + chunk], t[at + 2 : at + 2 + chunk]
             a = a[: len(ids) - at]
             b, c = b[: len(a)], c[: len(a)]
             both = (a > 0) & (b > 0)
@@ -246,14 +248,14 @@ def _merge(parts: int, least: int):
     return run
 
 
-def phrase_counts(blocks: DataFrame, least: int = LEAST, hot: int = HOT, limit: int = LIMIT, part_words: int = PART_WORDS) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(blocks: DataFrame, least: int = LEAST, hot: int = HOT, limit: int = LIMIT, part_words: int = PART_WORDS, burst: int = BURST, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """From settled blocks: (lang, word, id, f) of the frequent words and (w1, w2, w3 or -1, f: ids of words) of the frequent phrases."""
     vocabulary = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "lang", (F.col("at") + 1).cast("long").alias("local"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     words = vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id())
     words = settle(words, "phrases-words")
     known = vocabulary.drop("n").join(words, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("local", "id", "f")).alias("known"))
     parts = max(1, -(-(blocks.agg(F.sum("n")).first()[0] or 0) // part_words))
-    runs = blocks.select("block", "ids").join(known, "block").select("ids", "known").mapInArrow(_count(parts, hot, limit), "part long, run binary")
+    runs = blocks.select("block", "ids").join(known, "block").select("ids", "known").mapInArrow(_count(parts, hot, limit, burst, chunk), "part long, run binary")
     counted = runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge(parts, least), "w1 long, w2 long, w3 long, n long")
     counted = settle(counted, "phrases-counts")
     pairs = counted.where("w3 < 0").groupBy("w1", "w2", "w3").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
@@ -285,20 +287,23 @@ def candidates(words: DataFrame, phrases: DataFrame, share: tuple[int, int] = SH
     return two.unionByName(three)
 
 
-def collocations(docs: DataFrame, least: int = LEAST, kept: int = KEPT, share: tuple[int, int] = SHARE, **sizes) -> DataFrame:
-    """(lang, rank, phrase, a, l, r, n, score): each language's first candidates."""
-    blocks = settle(blocks_of(docs), "phrases-blocks")
+def collocations(docs: DataFrame, least: int = LEAST, kept: int = KEPT, share: tuple[int, int] = SHARE, block_words: int = BLOCK_WORDS, **sizes) -> DataFrame:
+    """(lang, rank, phrase, a, l, r, n, score): each language's first candidates. sizes are those of phrase_counts."""
+    blocks = settle(blocks_of(docs, block_words), "phrases-blocks")
     found = settle(candidates(*phrase_counts(blocks, least, **sizes), share), "phrases-candidates")
-    # A score that surely at least `kept` candidates of a language reach: a quantile with twice its error to spare. Few rows are then ranked.
-    accuracy = 10_000
-    each = found.groupBy("lang").agg(F.count(F.lit(1)).alias("k"), F.percentile_approx("score", [x / 1000 for x in range(1001)], accuracy).alias("q"))
-    place = F.floor(1000 * (1 - kept / F.col("k") - 2 / accuracy)).cast("int")
-    bar = each.select("lang", F.get("q", F.greatest(place, F.lit(0))).alias("least"))
     n = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
-    top = found.join(bar, "lang").where((F.col("score") >= F.col("least"))).drop("least")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = top.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= kept)
-    return ranked.join(n, "lang").select("lang", "rank", F.col("phrase").cast("string").alias("phrase"), "a", "l", "r", "n", "score")
+    return ranked(found, kept).join(n, "lang").select("lang", "rank", F.col("phrase").cast("string").alias("phrase"), "a", "l", "r", "n", "score")
+
+
+def ranked(found: DataFrame, kept: int) -> DataFrame:
+    """The first rows of each language with their rank. Ranges of the whole order are counted, and each is numbered for itself from what
+    stands before it, so that neither a language nor a tie meets in one place."""
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    dealt = settle(found.repartitionByRange("lang", *order).withColumn("part", F.spark_partition_id()), "phrases-ranges")
+    earlier = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("k")).select("lang", "part", F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)) + F.col("before")
+    return dealt.join(before.where(F.col("before") < kept), ["lang", "part"]).withColumn("rank", rank.cast("long")).where(F.col("rank") <= kept).drop("part", "before")
 
 
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

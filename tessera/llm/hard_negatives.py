@@ -9,7 +9,7 @@ and sorts it by them. A pass over the sorted keys keeps the positives of an anch
 their windows, and a pass over its sorted keys opens a window at each positive and hands out the negatives that follow
 while they fall into it. Neither pass holds more than an anchor's positives.
 
-Cases: rows with a null id, label or vector, or a component that is null or not finite, take no part; of rows that share an id one
+Cases: rows with a null id, label or vector, or a component that is null or not finite (times 256), take no part; of rows that share an id one
 counts, the one with the smallest label and vector; missing components of a shorter vector count as 0; ties go by the smaller id;
 no anchors, no positives or no negatives give no rows. A score beyond 64 bits is compared exactly and returned as the nearest long.
 Other columns are neither read nor changed.
@@ -38,8 +38,7 @@ POSITIVES, NEGATIVES = 5, 5
 #: A negative scores at least NEAR[0] / NEAR[1] of its positive.
 NEAR = (80, 100)
 LIMIT = (1 << 63) - 1
-#: Of what passes as a key: anchor, descending score, kind (0: positive), id.
-KEY = ">Q16sBQ"
+#: Added to ids, so that they sort as unsigned numbers.
 SIGN = 1 << 63
 
 BLOCKS = "slot long, n int, width int, ids binary, labels binary, vectors binary, tops array<array<string>>"
@@ -48,7 +47,7 @@ BLOCKS = "slot long, n int, width int, ids binary, labels binary, vectors binary
 def valid_rows(rows: DataFrame, id_column: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(id, label, vector: doubles) of the rows that take part, one for each id."""
     x = F.col(vector)
-    fit = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    fit = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) * SCALE < F.lit(float("inf"))))
     own = rows.select(F.col(id_column).cast("long").alias("id"), F.col(label).cast("long").alias("label"), x.cast("array<double>").alias("vector"), fit.alias("fit")).where("fit AND id IS NOT NULL AND label IS NOT NULL").drop("fit")
     twice = own.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
     if not twice.limit(1).count():
@@ -111,13 +110,19 @@ def first_of(s: np.ndarray, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 
 def key(anchor: int, score: int, kind: int, row: int) -> bytes:
-    """Bytes that sort by anchor, then by score descending, then positives before negatives, then by id."""
-    return struct.pack(KEY, anchor + SIGN, ((1 << 127) - 1 - score).to_bytes(16, "big"), kind, row + SIGN)
+    """Bytes that sort by anchor, then by score descending, then positives before negatives, then by id; scores of any size."""
+    t = -score
+    n = (abs(t).bit_length() + 7) // 8
+    # More bytes mean a larger number from 0 up and a smaller one below.
+    size, digits = (0x8000 + n, t) if t >= 0 else (0x7FFF - n, t + (1 << 8 * n))
+    return struct.pack(">QH", anchor + SIGN, size) + digits.to_bytes(n, "big") + struct.pack(">BQ", kind, row + SIGN)
 
 
 def unkey(k: bytes) -> tuple[int, int, int, int]:
-    anchor, score, kind, row = struct.unpack(KEY, k)
-    return anchor - SIGN, (1 << 127) - 1 - int.from_bytes(score, "big"), kind, row - SIGN
+    anchor, size = struct.unpack_from(">QH", k)
+    kind, row = struct.unpack_from(">BQ", k, len(k) - 9)
+    t = int.from_bytes(k[10:-9], "big")
+    return anchor - SIGN, -(t if size >= 0x8000 else t - (1 << 8 * (0x7FFF - size))), kind, row - SIGN
 
 
 def _met(anchors: DataFrame, blocks: DataFrame, slots: int) -> RDD:

@@ -40,7 +40,11 @@ def empty(spark, tmp_path_factory):
     return tables(spark, tmp_path_factory.mktemp("empty"), [])
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+#: Their results have rows of another kind than the table; test_new_operators holds them against brute force, on these tables too.
+OTHER_ROWS = {"op11_packing", "op12_hard_negatives", "op13_collocations"}
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - OTHER_ROWS))
 def test_query(spark, odd, empty, name):
     folder, rows = odd
     got = [r.asDict() for r in registry.QUERIES[name](spark, folder).collect()]
