@@ -45,10 +45,12 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def settle(df: DataFrame, what: str = "table") -> DataFrame:
-    """Writes a table to the shared folder and reads it back: the lineage ends there, so a lost executor costs a read."""
+    """Writes a table to the shared folder and reads it back: the lineage ends there, so a lost executor costs a read. The files go with the application."""
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
     return out
