@@ -36,14 +36,14 @@ def tier(n_rows: int) -> dict[str, float]:
 MOST_CATEGORIES = 200
 
 
-def _coded(df: DataFrame, text: Sequence[str], target: Column) -> list:
+def coded(df: DataFrame, text: Sequence[str], target: Column, most: int = MOST_CATEGORIES) -> list:
     """Stages that give each text feature c a number, __c.
 
-    Up to MOST_CATEGORIES values are categories. Of more, each value's number is its place by its mean of the target, and trees
+    Up to `most` values are categories. Of more, each value's number is its place by its mean of the target, and trees
     split on that as on any number: the order in which the best split into two sets of values lies for one feature. Null texts and
     texts not seen in training get the number after the last.
     """
-    wide = [c for c in text if df.select(c).distinct().limit(MOST_CATEGORIES + 1).count() > MOST_CATEGORIES]
+    wide = [c for c in text if df.select(c).distinct().limit(most + 1).count() > most]
     stages = [StringIndexer(inputCol=c, outputCol=f"__{c}", handleInvalid="keep", stringOrderType="alphabetAsc") for c in text if c not in wide]
     for c in wide:
         means = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.avg(target).alias("m"))
@@ -63,13 +63,13 @@ def boosted(df: DataFrame, label: str, numeric: Sequence[str], text: Sequence[st
     vector = VectorAssembler(inputCols=[*numeric, *[f"__{c}" for c in text]], outputCol="__features", handleInvalid="keep")
     if kind == "regression":
         df = df.withColumn("__label", F.col(label).cast("double"))
-        return Pipeline(stages=[*_coded(df, text, F.col("__label")), vector, GBTRegressor(**options)]).fit(df)
+        return Pipeline(stages=[*coded(df, text, F.col("__label")), vector, GBTRegressor(**options)]).fit(df)
     df = df.withColumn(label, F.col(label).cast("string"))
     target = StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
     model: GBTClassifier | OneVsRest = GBTClassifier(**options)
     if df.select(label).distinct().limit(3).count() > 2:
         model = OneVsRest(classifier=model, labelCol="__label", featuresCol="__features")
-    codes = _coded(target.transform(df), text, F.col("__label"))
+    codes = coded(target.transform(df), text, F.col("__label"))
     return Pipeline(stages=[target, *codes, vector, model]).fit(df)
 
 

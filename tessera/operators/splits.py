@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.files import roundtrip
+
 
 def dates_of(panel: DataFrame) -> DataFrame:
     """(ts, i): the distinct dates numbered from 0. A panel has few dates, however many entities; only they are ordered in one place."""
@@ -23,12 +25,29 @@ def temporal_split(panel: DataFrame, horizon: int) -> DataFrame:
     return panel.withColumn("role", F.when(F.col("ts") > F.lit(last.cut), "test").otherwise("train"))
 
 
+def _order(series: DataFrame) -> list[Column]:
+    """Rows of a series by time; those of one time by a hash of all they hold."""
+    return [F.col("ts"), F.xxhash64(*series.columns)]
+
+
+def numbered_rows(series: DataFrame) -> DataFrame:
+    """Adds i, from 0, in the order of time. Ranges of the order are written and counted, and each is numbered for itself from the count of those before."""
+    ts, tie = _order(series)
+    dealt = roundtrip(series.withColumn("__tie", tie).repartitionByRange("ts", "__tie").withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    before = counts.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    i = F.row_number().over(Window.partitionBy("__part").orderBy("ts", "__tie")) - 1 + F.col("__before")
+    return dealt.join(before, "__part").withColumn("i", i).drop("__part", "__before", "__tie")
+
+
 def row_split(series: DataFrame, horizon: int) -> DataFrame:
-    """The same by rows of a single series."""
-    last = series.orderBy(F.desc("ts")).limit(horizon + 1).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("cut")).first()
+    """The same by rows of a single series: the last `horizon` rows are the test, also where times repeat (rows that are the same in all count together)."""
+    ts, tie = _order(series)
+    key = F.struct(ts, tie.alias("tie"))
+    last = series.select(key.alias("k")).orderBy(F.desc("k")).limit(horizon + 1).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("cut")).first()
     if last.n <= horizon:
         raise ValueError(f"a series of {last.n} rows can't hold back {horizon}")
-    return series.withColumn("role", F.when(F.col("ts") > F.lit(last.cut), "test").otherwise("train"))
+    return series.withColumn("role", F.when(key > F.struct(F.lit(last.cut.ts).alias("ts"), F.lit(last.cut.tie).alias("tie")), "test").otherwise("train"))
 
 
 def random_split(df: DataFrame, key: str, label: str | None = None, seed: int = 42) -> DataFrame:
@@ -54,12 +73,13 @@ def fold_table(n: int, initial: int, horizon: int, step: int, sliding: bool, pan
 
 
 def folds(df: DataFrame, initial: int, horizon: int, step: int, sliding: bool = False, panel: bool = True) -> DataFrame:
-    """df once for each fold that holds it, with fold and role: a range join of numbered dates (rows) with the small table of folds."""
-    numbered = dates_of(df)
+    """df once for each fold that holds it, with fold and role: a range join of numbered dates (of a series: rows) with the small table of folds."""
+    numbered = dates_of(df) if panel else numbered_rows(df)
     n = numbered.count()
     table = df.sparkSession.createDataFrame(fold_table(n, initial, horizon, step, sliding, panel), "fold int, first int, cut int, last int")
-    placed = numbered.join(F.broadcast(table), F.col("i").between(F.col("first"), F.col("last"))).select("ts", "fold", F.when(F.col("i") >= F.col("cut"), "test").otherwise("train").alias("role"))
-    return df.join(placed, "ts")
+    role = F.when(F.col("i") >= F.col("cut"), "test").otherwise("train").alias("role")
+    placed = numbered.join(F.broadcast(table), F.col("i").between(F.col("first"), F.col("last")))
+    return df.join(placed.select("ts", "fold", role), "ts") if panel else placed.select(*df.columns, "fold", role)
 
 
 def default_sizes(n: int, horizon: int) -> tuple[int, int] | None:

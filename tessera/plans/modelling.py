@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import clean, drift, metrics, models, panel as panels, pipelines, profile, registry as reg, rules, splits
+from tessera.operators import boosting, clean, drift, metrics, models, panel as panels, pipelines, profile, registry as reg, rules, splits
 from tessera.plans.catalog import panel, query, registry, table
 from tessera.sources import files
 
@@ -92,6 +92,37 @@ def panel_forecast_suppliers(spark: Spark, d: str) -> DataFrame:
     return f.groupBy(F.col("entity").cast("long").alias("entity")).agg(F.count(F.lit(1)).alias("n_steps"), F.every(F.col("yhat").isNotNull() & ~F.isnan("yhat")).alias("finite"))
 
 
+@query()
+def regularised_boosting(spark: Spark, d: str) -> DataFrame:
+    """Errors on held-back rows of boosting with penalties and samples of rows and columns."""
+    t = splits.random_split(_rows(spark, d), "key")
+    m = boosting.fit(t.where("role = 'train'"), "l_extendedprice", FEATURES, TEXTS, rounds=8, rate=0.4)
+    return metrics.regression(m.predict(t.where("role = 'test'")).select(F.col("l_extendedprice").alias("y"), F.col("prediction").alias("yhat")))
+
+
+@query()
+def softmax_boosting(spark: Spark, d: str) -> DataFrame:
+    """Three classes in one softmax: the prediction of each held-back row with the probabilities of all classes."""
+    t = splits.random_split(_rows(spark, d), "key", "l_returnflag")
+    m = boosting.fit(t.where("role = 'train'"), "l_returnflag", ["l_extendedprice", *FEATURES], ["l_linestatus"], kind="classification", rounds=4, rate=0.4)
+    return m.predict(t.where("role = 'test'")).select("key", F.col("l_returnflag").alias("y"), F.col("prediction").alias("yhat"), *[F.get("probabilities", F.lit(k)).alias(f"p_{k}") for k in range(3)])
+
+
+@query(
+    "WITH t AS (SELECT l_extendedprice AS y, l_quantity AS q, l_linenumber AS k FROM lineitem), m AS (SELECT avg(y) AS b FROM t), "
+    "c AS (SELECT 0 AS f, 'l_quantity' AS feature, CAST(q AS DOUBLE) AS v, sum(b - y) AS g, count(*) AS n FROM t, m GROUP BY q UNION ALL SELECT 1, 'l_linenumber', CAST(k AS DOUBLE), sum(b - y), count(*) FROM t, m GROUP BY k), "
+    "l AS (SELECT f, feature, v, sum(g) OVER (PARTITION BY f ORDER BY v) AS gl, sum(n) OVER (PARTITION BY f ORDER BY v) AS nl, sum(g) OVER (PARTITION BY f) AS g, sum(n) OVER (PARTITION BY f) AS n FROM c), "
+    "s AS (SELECT *, 0.5 * (gl * gl / (nl + 1) + (g - gl) * (g - gl) / (n - nl + 1) - g * g / (n + 1)) AS gain FROM l WHERE nl < n) "
+    "SELECT feature, v AS threshold, round(ln(gain), 6) AS log_gain, round(-gl / (nl + 1), 4) AS weight_left, round(-(g - gl) / (n - nl + 1), 4) AS weight_right FROM s ORDER BY gain DESC, f, v LIMIT 1"
+)
+def boosting_step(spark: Spark, d: str) -> DataFrame:
+    """The split, gain and weights of one step of depth 1."""
+    m = boosting.fit(table(spark, d, "lineitem").select("l_extendedprice", "l_quantity", "l_linenumber"), "l_extendedprice", ["l_quantity", "l_linenumber"], rounds=1, depth=1, rate=1.0, rows=1.0, columns=1.0)
+    t = m.rounds[0][0]
+    out = [(m.names[t.feature[0]], float(m.edges[t.feature[0]][t.bin[0]]), float(t.gain[0]), t.weight[1], t.weight[2])]
+    return spark.createDataFrame(out, "feature string, threshold double, gain double, l double, r double").select("feature", "threshold", F.round(F.log("gain"), 6).alias("log_gain"), F.round("l", 4).alias("weight_left"), F.round("r", 4).alias("weight_right"))
+
+
 @query()
 def model_levers(spark: Spark, d: str) -> DataFrame:
     """The quantity between 1 and 50 at which a fitted model's price comes nearest to each line's price and a tenth."""

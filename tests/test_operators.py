@@ -140,6 +140,30 @@ def test_ks_against_numpy(spark):
     assert got["ks"] == pytest.approx(want)
 
 
+def test_row_folds_with_repeated_times(spark):
+    rows = [(dt.date(2024, 1, 1 + i // 4), float(i)) for i in range(100)] + [(dt.date(2024, 1, 3), 8.0)] * 3
+    df = spark.createDataFrame(rows, "ts date, y double").repartition(5)
+    numbered = [(r.ts, r.i) for r in splits.numbered_rows(df).orderBy("i").collect()]
+    assert [i for _, i in numbered] == list(range(103)) and [t for t, _ in numbered] == sorted(t for t, _ in rows)
+    for sliding in (False, True):
+        got = splits.folds(df, 40, 7, 10, sliding=sliding, panel=False).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("hi"), F.min("ts").alias("lo")).collect()
+        assert {r["n"] for r in got if r.role == "test"} == {7}
+        assert all(r["n"] == (40 if sliding else 40 + 10 * r.fold) for r in got if r.role == "train")
+        ends = {(r.fold, r.role): r for r in got}
+        assert all(ends[f, "train"].hi <= ends[f, "test"].lo for f, role in ends if role == "test")
+    assert splits.folds(df.limit(0), 4, 1, 1, panel=False).count() == 0
+    distinct = df.withColumn("y", F.monotonically_increasing_id().cast("double"))
+    split = splits.row_split(distinct, 6).groupBy("role").count().collect()
+    assert {r.role: r["count"] for r in split} == {"train": 97, "test": 6}
+
+
+def test_fallback_targets(spark):
+    of = lambda *columns: profile.fallback_target(spark.createDataFrame([tuple(range(k, len(columns) + k)) for k in range(9)], [*columns]).withColumn("few", F.col(columns[0]) % 3))
+    assert of("a", "Label", "CLASS") == "CLASS" and of("y", "label") == "label" and of("a", "b") == "few"
+    t = spark.createDataFrame([(i, f"t{i}", [i]) for i in range(8)], "a long, b string, c array<long>")
+    assert profile.fallback_target(t) == "c" and profile.fallback_target(t.select("c", "b")) == "b"
+
+
 def test_exact_ks_equals_enumeration(spark):
     for n, m in ((1, 1), (2, 3), (4, 4), (5, 3), (6, 4)):
         paths = [set(c) for c in combinations(range(n + m), n)]
