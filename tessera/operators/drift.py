@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from math import gcd
 
 import numpy as np
@@ -54,6 +55,10 @@ def ks_of(counts: DataFrame) -> DataFrame:
     w = Window.partitionBy("feature", "part").orderBy("v")
     run = ranged.join(offsets, ["feature", "part"]).withColumns({"fa": (F.col("oa") + F.sum("a").over(w)) / F.col("n_ref"), "fb": (F.col("ob") + F.sum("b").over(w)) / F.col("n_cur")})
     stat = run.where("n_ref > 0 AND n_cur > 0").groupBy("feature", "n_ref", "n_cur").agg(F.max(F.abs(F.col("fa") - F.col("fb"))).alias("ks"))
+    return _with_p_value(stat)
+
+
+def _with_p_value(stat: DataFrame) -> DataFrame:
     d, n, m = F.col("ks"), F.col("n_ref"), F.col("n_cur")
     return stat.withColumn("p_value", F.when(F.greatest(n, m) <= EXACT, _exact(d, n, m)).otherwise(ks_p_value(d, n, m)))
 
@@ -114,6 +119,47 @@ def divergences(hist: DataFrame) -> DataFrame:
     return hist.groupBy("feature").agg(F.sum((p - q) * F.log(p / q)).alias("psi"), F.sum(p * F.log(p / q)).alias("kl"), (0.5 * F.sum(p * F.log(p / m)) + 0.5 * F.sum(q * F.log(q / m))).alias("js"))
 
 
+@dataclass
+class Reference:
+    """A reference counted once: ascending edges of each feature's bins, and (feature, bin, a), the rows in each: bin k is above k edges and at most the next."""
+
+    edges: dict[str, list[float]]
+    counts: DataFrame
+
+
+def in_bins(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFrame:
+    """(feature, bin) of each finite value of the features that df has; also for streams."""
+    value = {c: F.col(c).cast("double") for c in edges if c in df.columns}
+    place = lambda c: F.when(finite(value[c]), F.size(F.filter(F.array(*map(F.lit, edges[c])), lambda e: e < value[c])))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), place(c).alias("bin")) for c in value]))
+    return df.select(cells.alias("x")).select("x.*").where("bin IS NOT NULL")
+
+
+def counted_reference(df: DataFrame, columns: Sequence[str], bins: int = 256, edges: Mapping[str, Sequence[float]] | None = None) -> Reference:
+    """Bins at quantiles of the reference, or at given edges, and its counts, written once. Columns without a finite value are left out."""
+    if edges is None:
+        cuts = [F.percentile_approx(F.when(finite(F.col(c).cast("double")), F.col(c).cast("double")), [i / bins for i in range(1, bins)], 20 * bins).alias(str(k)) for k, c in enumerate(columns)]
+        row = df.agg(*cuts).first()  # a row whose size the bins bound
+        edges = {c: sorted(set(row[str(k)])) for k, c in enumerate(columns) if row[str(k)]}
+    known = {c: sorted(map(float, e)) for c, e in edges.items()}
+    return Reference(known, roundtrip(in_bins(df, known).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("a"))))
+
+
+def report_of_bins(reference: Reference, counts: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """(feature, n_ref, n_cur, ks, p_value, drifted, psi, kl, js) from counts (feature, bin, b) of what came: a few rows for each feature, however many were counted.
+
+    ks is the largest distance at the edges; between edges it may be larger by the share of a bin at most.
+    """
+    both = reference.counts.join(counts.select("feature", "bin", "b"), ["feature", "bin"], "full").select("feature", "bin", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("a", "b")])
+    whole, upto = Window.partitionBy("feature"), Window.partitionBy("feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    n, m = F.sum("a").over(whole), F.sum("b").over(whole)
+    both = both.select("feature", "a", "b", n.alias("n_ref"), m.alias("n_cur"), F.abs(F.sum("a").over(upto) / n - F.try_divide(F.sum("b").over(upto), m)).alias("off")).where("n_ref > 0 AND n_cur > 0")
+    share = lambda k, n: F.greatest(F.col(k) / F.col(n), F.lit(EPSILON))
+    stat = _with_p_value(both.groupBy("feature", "n_ref", "n_cur").agg(F.max("off").alias("ks")))
+    apart = divergences(both.select("feature", share("a", "n_ref").alias("p"), share("b", "n_cur").alias("q")))
+    return stat.withColumn("drifted", F.col("p_value") < threshold).join(apart, "feature")
+
+
 def psi_level(psi: Column) -> Column:
     return F.when(psi < 0.1, "NO_DRIFT").when(psi < 0.25, "MODERATE_DRIFT").otherwise("SIGNIFICANT_DRIFT")
 

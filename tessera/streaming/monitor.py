@@ -1,4 +1,4 @@
-"""Streaming monitors: hourly counts, feedback errors, drift of each micro-batch."""
+"""Streaming monitors: hourly counts, feedback errors, drift of each micro-batch and of all that came."""
 
 from __future__ import annotations
 
@@ -44,6 +44,20 @@ def drift_of_batches(stream: DataFrame, reference: DataFrame, columns: Sequence[
     return lambda checkpoint: stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def drift_so_far(stream: DataFrame, reference: drift.Reference, out: str, threshold: float = 0.05) -> Callable[[str], StreamingQuery]:
+    """Writes to `out`, after each micro-batch, the drift of all that has come from a reference that was counted once.
+
+    What is kept between batches is the count of each bin, in the stream's state: it survives a restart from the checkpoint, is added up
+    within tasks before it moves, and doesn't grow. No batch reads the reference's rows, or earlier ones of the stream.
+    """
+    counts = drift.in_bins(stream, reference.edges).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("b"))
+
+    def one(batch: DataFrame, number: int) -> None:
+        drift.report_of_bins(reference, batch, threshold).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/run={number}")
+
+    return lambda checkpoint: counts.writeStream.outputMode("complete").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def drained(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and returns what it wrote: appended rows, or the last state of each key."""
     spark = df.sparkSession
