@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import drift, profile, rules, whatif
+from tessera.operators import drift, profile, rules, sketches, whatif
 from tessera.plans.catalog import half_up, query, r, table
 
 Spark = SparkSession
@@ -313,3 +313,19 @@ def lever_search(spark: Spark, d: str) -> DataFrame:
 def counterfactual_status(spark: Spark, d: str) -> DataFrame:
     t = _levers(spark, d)
     return whatif.outcome(t, F.col("reached"), F.col("goal"), F.col("size") / 50.0, F.col("lo"), F.col("hi")).select("p_partkey", "status", "risk")
+
+
+_SKETCHED = ("l_orderkey", "l_quantity", "l_returnflag", "rare")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) FILTER (WHERE {c} IS NULL) AS n_null, TRUE AS unique_close, TRUE AS top_within FROM {_LINES} t" for c in _SKETCHED))
+def sketch_profile(spark: Spark, d: str) -> DataFrame:
+    """Sketches of two runs, merged, against the exact profile: distinct values within 6 %, the exact count of the top value within its bounds."""
+    t = _lines(spark, d).select(*_SKETCHED)
+    runs = [sketches.sketch(t.where(F.col("l_orderkey") % 2 == k)) for k in (0, 1)]
+    found = sketches.estimates(sketches.merged(*runs))
+    exact = profile.column_profile(t).select("column", F.col("n_unique").alias("true_unique"), F.col("top_n").alias("true_top"))
+    close = F.abs(F.col("n_unique") - F.col("true_unique")) <= 0.06 * F.col("true_unique")
+    # The exact profile's top value may be the null, which is no heavy hitter.
+    within = F.col("top_n").isNull() | F.col("true_top").between(F.col("top_n"), F.col("top_most")) | (F.col("true_top") == F.col("n_null"))
+    return found.join(exact, "column").select("column", "n_rows", "n_null", close.alias("unique_close"), within.alias("top_within"))
