@@ -396,29 +396,40 @@ def forecast_panel(model: PipelineModel, panel: DataFrame, horizon: int, step_da
     panel is a panel or what load_panel gives. Of each entity only the tail that the lags need is gathered. Raises if the model doesn't
     know an entity, or one has fewer rows than the lags and means need.
     """
-    spark, needed = panel.sparkSession, max(panels.LAGS + panels.WINDOWS)
     tails = panel if "y_scaled" in panel.columns else recent(panel)
-    known = model.entities.select("entity", F.lit(True).alias("known"))
+    check_tails(tails, model.entities)
+    return recursive(tails, {None: (0.0, trees_of(model))}, horizon, step_days)
+
+
+def check_tails(tails: DataFrame, entities: DataFrame) -> None:
+    needed, known = max(panels.LAGS + panels.WINDOWS), entities.select("entity", F.lit(True).alias("known"))
     wrong = tails.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).join(known, "entity", "left").where(F.col("known").isNull() | (F.col("n") < needed)).limit(5).collect()
     if wrong:
         raise ValueError("can't forecast " + ", ".join(f"{r.entity} ({'unknown to the model' if not r.known else f'{r.n} rows, {needed} needed'})" for r in wrong))
-    trees = spark.sparkContext.broadcast(trees_of(model))  # bounded by the number and depth of trees
+
+
+def recursive(tails: DataFrame, known: dict, horizon: int, step_days: int) -> DataFrame:
+    """forecast_panel's rows. known: (base, trees) for each value of the column fold of tails, or for None where it has none; their number and size are bounded."""
+    of_fold = "fold" in tails.columns
+    trees = tails.sparkSession.sparkContext.broadcast(known)
+    keys = ["fold", "entity"] if of_fold else ["entity"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts")
         last = rows.iloc[-1]
+        base, own = trees.value[int(last.fold) if of_fold else None]
         scale, n, total, squares = float(last.scale), int(last.past_n), float(last.past_sum), float(last.past_squares)
         y, day, out = list(rows.y_scaled), pd.Timestamp(last.ts), []
         for step in range(1, horizon + 1):
             day = day + pd.Timedelta(days=step_days)
             past = [total / n, max(squares / n - (total / n) ** 2, 0.0) ** 0.5, float(n)]
             x = [*[y[-k] for k in panels.LAGS], *[float(np.mean(y[-w:])) for w in panels.WINDOWS], day.year, day.month, day.day, day.weekday() + 1, day.dayofyear, *past]
-            y.append(float(trees.value.predict(np.array([x], float))[0]))
+            y.append(base + float(own.predict(np.array([x], float))[0]))
             n, total, squares = n + 1, total + y[-1], squares + y[-1] ** 2
-            out.append((last.entity, day.date(), step, y[-1] * scale))
-        return pd.DataFrame(out, columns=["entity", "ts", "step", "yhat"])
+            out.append((*[last[k] for k in keys], day.date(), step, y[-1] * scale))
+        return pd.DataFrame(out, columns=[*keys, "ts", "step", "yhat"])
 
-    return tails.groupBy("entity").applyInPandas(run, "entity string, ts date, step int, yhat double")
+    return tails.groupBy(*keys).applyInPandas(run, ("fold int, " if of_fold else "") + "entity string, ts date, step int, yhat double")
 
 
 def trend_design(days: np.ndarray, origin: float, span: float) -> np.ndarray:
