@@ -38,17 +38,18 @@ def tally(cells: DataFrame) -> DataFrame:
 EXACT = 10_000
 
 
-def ks(cells: DataFrame) -> DataFrame:
+def ks(cells: DataFrame, ranges: int | None = None) -> DataFrame:
     """(feature, n_ref, n_cur, ks, p_value): the largest distance of the two empirical distributions.
 
     Values are counted first and dealt to ranges of (feature, value); the running sums need only the totals of the ranges before, so
     no feature's values are ever sorted in one task.
     """
-    return ks_of(tally(cells))
+    return ks_of(tally(cells), ranges)
 
 
-def ks_of(counts: DataFrame) -> DataFrame:
-    ranged = roundtrip(counts.repartitionByRange("feature", "v").withColumn("part", F.spark_partition_id()))
+def ks_of(counts: DataFrame, ranges: int | None = None) -> DataFrame:
+    """The same from counts (feature, v, a, b). ranges: how many, if not as many as the session's shuffles have."""
+    ranged = roundtrip(counts.repartitionByRange(*([ranges] if ranges else []), "feature", "v").withColumn("part", F.spark_partition_id()))
     sums = ranged.groupBy("feature", "part").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))  # a row for each range and feature in it
     before, whole = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("feature")
     offsets = sums.select("feature", "part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(o) for c, o in (("sa", "oa"), ("sb", "ob"))], F.sum("sa").over(whole).alias("n_ref"), F.sum("sb").over(whole).alias("n_cur"))
