@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -63,6 +64,12 @@ def release(*settled: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files that nothing reads any more: it does so when the driver collects its garbage, which is seldom if there is little."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once for each row, also where body uses it inside other lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
