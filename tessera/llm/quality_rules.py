@@ -6,12 +6,13 @@ them are nothing in a text of any length; u is a number in (0, 1) drawn from a h
 zero, so without this draw half of every group would lie in a plane and the least determinant would be zero whatever the rest.
 
 For each (lang, source), over its distinct texts: from each of `STARTS` starts (medians and quartiles; all rows; a random eighth),
-concentration steps take the half of the rows with the smallest Mahalanobis distances and fit mean and covariance again, `STEPS`
-times. The fit with the least determinant stays. Its covariance is made consistent for normal data, rows beyond the chi-square
+concentration steps take the half of the rows with the smallest Mahalanobis distances and fit mean and covariance again, until no
+log determinant moves by more than `SETTLED`, or `STEPS` times. The fit with the least determinant stays. Its covariance is made consistent for normal data, rows beyond the chi-square
 quantile `REWEIGHT` are left out, and mean and covariance of the rest, made consistent again, are the estimate. A document is an
 outlier if its squared distance lies beyond the chi-square quantile `QUANTILE`. Halves and medians are found in histograms, so a
-group of any size is only ever summed. Groups with fewer than `least_rows` distinct texts, whose
-half would say too little about four features, take the estimate of the whole table.
+group of any size is only ever summed. Small groups say little about four features, so each group's estimate is shrunk towards that
+of the whole table, as if `PRIOR_ROWS` rows of the whole stood beside the group's own: means and covariances are those of the two
+together, their distance included.
 
 All of it is DataFrame and SQL functions.
 
@@ -25,7 +26,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bind, documents, keyed, settle, word_array
@@ -36,11 +37,14 @@ COUNTED = {"symbols": ("n_symbols", "word_chars", 5.0, 0.01), "dup_lines": ("n_d
 #: Words of usual length that each text counts as having besides its own: the mean of a few words says little.
 USUAL = (200, 5)
 FEATURES = ("mean_word", *COUNTED)
-#: Steps from each start, the share of rows in the half, and the chi-square quantiles of reweighting and of the verdict.
-STARTS, STEPS, HALF, REWEIGHT, QUANTILE = 3, 4, 0.5, 0.975, 0.99999
+#: Starts, most steps from each, the share of rows in the half, and the chi-square quantiles of reweighting and of the verdict.
+STARTS, STEPS, HALF, REWEIGHT, QUANTILE = 3, 12, 0.5, 0.975, 0.99999
+#: Halves are filled to the edge of a bin, so determinants keep moving by less than this.
+SETTLED = 0.01
 #: Variance added to each feature's: only what keeps a group of nearly equal texts from a determinant of zero.
 RIDGE = 1e-4
-LEAST_ROWS = 200
+#: Rows of the whole table that stand beside each group's own.
+PRIOR_ROWS = 50
 
 
 def chi_square(x: float, df: int) -> float:
@@ -155,7 +159,7 @@ def _quartiles(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def estimates(rows: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
-    """The minimum-covariance-determinant fit of each group of `keys`: keys, n_rows, m_i, l_i_j, and the log determinants of the starts."""
+    """The minimum-covariance-determinant fit of each group of `keys`: keys, n_rows, m_i, c_i_j, the factor l_i_j of the consistent covariance, and the log determinants of the starts."""
     size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     eighth = rows.where(F.pmod(F.xxhash64(*FEATURES), F.lit(8)) == 0)
     starts = [_quartiles(rows, keys), _mean_cov(rows, keys), _mean_cov(eighth, keys)]
@@ -169,16 +173,29 @@ def estimates(rows: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame
         before = F.sum("k").over(Window.partitionBy(*keys, "start").orderBy("bin")) - F.col("k")
         edge = counts.withColumn("before", before).where(F.col("before") < F.ceil(F.col("n_rows") * HALF)).groupBy(*keys, "start").agg(F.max("bin").alias("edge"))
         near = _attach(far, edge, [*keys, "start"]).where("bin <= edge").select(*keys, "start", "n_rows", *FEATURES)
-        fit = settle(_with_factor(_mean_cov(near, [*keys, "start", "n_rows"])), "mcd")
+        before, fit = fit, settle(_with_factor(_mean_cov(near, [*keys, "start", "n_rows"])), "mcd")
+        moved = _attach(fit.select(*keys, "start", "logdet"), before.select(*keys, "start", F.col("logdet").alias("was")), [*keys, "start"])
+        if not moved.where(F.abs(F.col("logdet") - F.col("was")) > SETTLED).limit(1).count():
+            break
     values = [c for c in fit.columns if c[:2] in ("m_", "c_")]
     best = fit.groupBy(*keys, "n_rows").agg(F.min_by(F.struct(*values), F.struct("logdet", "start")).alias("best"), F.sort_array(F.collect_list(F.struct("start", "logdet"))).alias("starts"))  # a row for each start
     raw = settle(_with_factor(best.select(*keys, "n_rows", "starts", "best.*"), consistency(HALF)), "mcd")
     inside = _distance(_attach(rows, raw.drop("starts"), keys)).where(F.col("d2") <= chi_square_quantile(REWEIGHT, N))
     final = _with_factor(_mean_cov(inside.select(*keys, *FEATURES), keys), consistency(REWEIGHT))
-    return settle(_attach(raw.select(*keys, "n_rows", "starts"), final, keys).drop(*[f"c_{i}_{j}" for i, j in CELLS]), "mcd")
+    return settle(_attach(raw.select(*keys, "n_rows", "starts"), final, keys), "mcd")
 
 
-def verdicts(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS) -> DataFrame:
+def shrunk(fit: DataFrame, whole: Row, prior_rows: int) -> DataFrame:
+    """The fits of groups with `prior_rows` rows of the whole beside their own n_rows: the other columns, m_i, c_i_j and l_i_j."""
+    w = F.col("n_rows") / (F.col("n_rows") + prior_rows)
+    apart = lambda i: F.col(f"m_{i}") - whole[f"m_{i}"]
+    factor = consistency(REWEIGHT)  # the covariances are multiplied by it, the distance of the means isn't
+    means = {f"m_{i}": w * F.col(f"m_{i}") + (1 - w) * whole[f"m_{i}"] for i in range(N)}
+    covs = {f"c_{i}_{j}": w * F.col(f"c_{i}_{j}") + (1 - w) * whole[f"c_{i}_{j}"] + w * (1 - w) * apart(i) * apart(j) / factor for i, j in CELLS}
+    return _with_factor(fit.withColumns(means | covs), factor)
+
+
+def verdicts(docs: DataFrame, cutoff: float = CUTOFF, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """(doc_id, text_hash, the statistics, base_failed, d2, kept) of each row of docs."""
     s = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -195,8 +212,9 @@ def verdicts(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_RO
     fitted = settle(distinct.select(F.explode(groups).alias("g"), *FEATURES).select("g.*", *FEATURES), "quality-fit")
     fit = estimates(fitted, ["whole", "lang", "source"])
     values = [c for c in fit.columns if c[:2] in ("m_", "l_")]
-    whole = fit.where("whole").select(*values).first()  # one row, or none if every text fails the base rule
-    own = fit.where(~F.col("whole") & (F.col("n_rows") >= least_rows))
+    whole = fit.where("whole").first()  # one row, or none if every text fails the base rule
+    own = fit.where(~F.col("whole"))
+    own = settle(shrunk(own, whole, prior_rows), "quality-shrunk") if whole else own
     out = s.join(own, s["lang"].eqNullSafe(own["lang"]) & s["source"].eqNullSafe(own["source"]), "left").select(s["*"], *[F.coalesce(own[c], F.lit(whole[c] if whole else 0.0)).alias(c) for c in values])
     out = _distance(out)
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))).select("doc_id", "text_hash", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept", *FEATURES)
