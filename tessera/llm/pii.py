@@ -4,9 +4,9 @@ The fixed patterns (e-mail, IPv4, payment card, phone) give the seeds. Mentions
 an @ or its spelt-out form, or six digits and more with separators), seeds or not, are instances; the words around a mention,
 with whether it is of the @ kind or a number, are its lexical patterns. Spark scores the graph of patterns and instances in
 rounds: a pattern's confidence for a kind is the share of its distinct instances that are known to be of that kind, if at
-least `LEAST_KNOWN` are; an instance that isn't known yet is adopted if the patterns it occurs with make its kind likely
-enough, and is known in the next round. Rounds go on until none is adopted (beyond `MOST_ROUNDS` the run fails rather than stop
-early). Mentions of adopted instances are added to the spans of the fixed patterns, which all stay.
+least `LEAST_KNOWN` are. The patterns of one mention overlap, so the surest of them speaks for it, and mentions with the same words around
+them speak once; an instance that isn't known yet is adopted if its mentions together make its kind likely enough, and is known in the next
+round. Rounds go on until none is adopted (beyond `MOST_ROUNDS` the run fails rather than stop early). Mentions of adopted instances are added to the spans of the fixed patterns, which all stay.
 
 Cases: null and empty texts have no spans, an empty table gives no rows; repeated rows get the same spans; an added span never
 overlaps a fixed one; spans count code points, the end exclusive; scanning takes time in proportion to a text's length, also for
@@ -159,13 +159,16 @@ def adopted(found: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     size = settle(links.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), "pii-sizes")
     known = settle(edges.where("kind >= 0").select("instance", "kind").distinct(), "pii-known")
     seeds = known
+    # What surrounds the mentions that no fixed rule matches; a context is all patterns of a mention.
+    contexts = settle(found.where("kind < 0").select("instance", F.xxhash64("patterns").alias("context"), F.explode("patterns").alias("pattern")).distinct(), "pii-contexts")
     for _ in range(most_rounds):
         hits = _matched(links, known, "instance", "pattern").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= LEAST_KNOWN)
         sure = hits.join(size, "pattern").withColumn("confidence", F.col("k") / F.col("n")).where(F.col("confidence") >= PATTERN_CONFIDENCE).select("pattern", "kind", "confidence")
         # Patterns all of whose instances are known can't adopt any.
         sure = sure.where("confidence < 1")
-        open_ = links.join(known.select("instance").distinct(), "instance", "left_anti")
-        doubt = _matched(open_, sure, "pattern", "instance").groupBy("instance", "kind").agg(F.sum(F.log(1 - F.col("confidence"))).alias("l"))
+        open_ = contexts.join(known.select("instance").distinct(), "instance", "left_anti")
+        best = _matched(open_, sure, "pattern", "instance").groupBy("instance", "context", "kind").agg(F.max("confidence").alias("confidence"))
+        doubt = best.groupBy("instance", "kind").agg(F.sum(F.log(1 - F.col("confidence"))).alias("l"))
         likely = doubt.where(1 - F.exp("l") >= INSTANCE_CONFIDENCE).groupBy("instance").agg(F.min(F.struct("l", "kind")).alias("b")).select("instance", F.col("b.kind").alias("kind"))
         likely = settle(likely, "pii-new")
         if not likely.limit(1).count():

@@ -228,6 +228,28 @@ def test_mcd_against_numpy(spark):
         assert (mine[:120] > q.CUTOFF).all() and (mine[120:] <= q.CUTOFF).mean() > 0.99
 
 
+def test_small_groups_lean_on_the_whole(spark):
+    """The shrunk estimate is that of the group's rows and rows of the whole taken together, so a lone outlier can't vouch for itself."""
+    q, rng = quality_rules, np.random.default_rng(8)
+    whole = {f"m_{i}": float(rng.normal()) for i in range(q.N)}
+    a, b = rng.normal(size=(q.N, q.N)), rng.normal(size=(q.N, q.N))
+    inner, outer = a @ a.T, b @ b.T
+    whole |= {f"c_{i}_{j}": float(outer[i, j]) for i, j in q.CELLS}
+    own = {"n_rows": 30} | {f"m_{i}": float(rng.normal()) for i in range(q.N)} | {f"c_{i}_{j}": float(inner[i, j]) for i, j in q.CELLS}
+    got = q.shrunk(spark.createDataFrame([tuple(own.values())], list(own)), whole, 50).first()
+    m, o = (np.array([x[f"m_{i}"] for i in range(q.N)]) for x in (own, whole))
+    w, factor = 30 / 80, q.consistency(q.REWEIGHT)
+    cov = factor * (w * inner + (1 - w) * outer) + w * (1 - w) * np.outer(m - o, m - o) + q.RIDGE * np.eye(q.N)
+    low = np.array([[got[f"l_{i}_{j}"] if j <= i else 0.0 for j in range(q.N)] for i in range(q.N)])
+    assert np.allclose([got[f"m_{i}"] for i in range(q.N)], w * m + (1 - w) * o) and np.allclose(low @ low.T, cov)
+
+    word = lambda: "".join(rng.choice(list("aeinrst"), rng.integers(2, 8)))
+    rows = [(i, " ".join(word() for _ in range(rng.integers(60, 200))), "en", f"s{i % 20}" if i % 5 == 0 else "a") for i in range(300)]
+    rows += [(1000, " ".join(f"{word()}***" for _ in range(100)), "fr", "alone"), (1001, " ".join(word() for _ in range(100)), None, None)]
+    v = {r["doc_id"]: r["kept"] for r in local(q.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))}
+    assert [i for i, kept in v.items() if not kept] == [1000]
+
+
 def test_chi_square():
     assert quality_rules.chi_square_quantile(0.95, 4) == pytest.approx(9.4877, abs=1e-3)
     assert quality_rules.chi_square(12.5916, 6) == pytest.approx(0.95, abs=1e-4)
@@ -267,6 +289,73 @@ def test_quality_model_on_held_out_rows(spark):
     assert (a == quality_model.REPEAT).sum() == 1
 
 
+def test_features_by_a_plain_loop(monkeypatch):
+    q, m = quality_model, 1 << 32
+    one, two, three = int(q.P1), int(q.P2), int(q.P3)
+
+    def bucket(h, salt):
+        h = (h ^ salt) * three % m
+        return (h ^ (h >> 15)) * two % m >> (32 - q.BITS)
+
+    def plain(text):
+        c = [32 if ch in " \t\n\x0b\x0c\r" else ord(ch) for ch in f" {text} "]
+        out = []
+        for i in range(len(c) - 2):
+            tri = c[i] * one + c[i + 1] * two + c[i + 2] * three
+            if c[i + 1] != 32:
+                out.append(bucket(tri % m, 0x3A3A3A))
+                if i + 3 < len(c) and c[i + 2] != 32:
+                    out.append(bucket((tri * two + c[i + 3]) % m, 0x4B4B4B))
+        words = [w for w in "".join(map(chr, c)).split(" ") if w]
+        out += [bucket(sum((ord(ch) + 1) * pow(one, k + 1, m) for k, ch in enumerate(w)) % m, 0x1C1C1C) for w in words]
+        return sorted(out + [q.REPEAT] * sum(x == y for x, y in zip(words, words[1:])))  # noqa: B905
+
+    for text in [t for t in texts() if t] + ["a", " a", "ab", "cd cd\tcd", "\u00a0 \u2003x"]:
+        assert sorted(q._buckets(text).tolist()) == plain(text), text[:50]
+    # In pieces, only what crosses a cut is read in two parts, and each word stays whole.
+    whole = q._buckets("abc def ghi jkl")
+    monkeypatch.setattr(q, "PIECE", 8)
+    assert sorted(np.concatenate(list(q.features("abc def ghi jkl"))).tolist()) == sorted(whole.tolist())
+
+
+def test_steps_follow_the_numeric_gradient(monkeypatch):
+    q = quality_model
+    for name, value in (("BUCKETS", 10), ("DIM", 3), ("EPOCHS", 3)):
+        monkeypatch.setattr(q, name, value)
+    rng = np.random.default_rng(2)
+    rows = [(k % 2, np.sort(rng.choice(10, 4, replace=False)), rng.integers(1, 4, 4).astype(np.float32)) for k in range(5)]
+    got, got_bias = q.fit(rows, seed=3)
+    draw = np.random.default_rng(3)
+    vectors = draw.uniform(-1 / 3, 1 / 3, (10, 3))
+    out, bias, done = np.zeros((2, 3)), np.zeros(2), 0
+    for _ in range(3):
+        for r in draw.permutation(5):
+            label, ids, counts = rows[r]
+            w = counts / counts.sum()
+
+            def loss():
+                z = out @ (w @ vectors[ids]) + bias
+                return np.log(np.exp(z).sum()) - z[label]
+
+            def slope(of):
+                g = np.zeros_like(of)
+                for at in np.ndindex(of.shape):
+                    keep, sides = of[at], []
+                    for d in (1e-5, -1e-5):
+                        of[at] = keep + d
+                        sides.append(loss())
+                    of[at], g[at] = keep, (sides[0] - sides[1]) / 2e-5
+                return g
+
+            rate = q.RATE * (1 - done / 15)
+            done += 1
+            to_vectors, to_out, to_bias = slope(vectors), slope(out), slope(bias)
+            vectors -= rate * 4 * to_vectors  # four features
+            out -= rate * to_out
+            bias -= rate * 0.1 * to_bias
+    assert np.allclose(got, vectors @ (out[1] - out[0]), atol=1e-4) and got_bias == pytest.approx(bias[1] - bias[0], abs=1e-4)
+
+
 def test_toxicity_on_held_out_rows(spark):
     insults = ["grobnak", "grobnit", "grobnol", "vexidu"]
     docs, labels = labelled(spark, "toxic", lambda w, r: [*w[:20], r.choice(insults), *w[20:], r.choice(insults)], lambda w, r: w)
@@ -437,6 +526,16 @@ def test_patterns_find_unseen_identifiers(spark, tmp_path):
     assert not any(extra[i] for i in innocent)
 
 
+def test_a_mention_counts_once(spark):
+    """Two patterns of one mention, each sure by .8, adopt nothing; two mentions with other words around them do."""
+    known = [(0, 100 * p + i, [p]) for p in (1, 2) for i in range(12)]
+    doubt = [(-1, 900 + 10 * p + i, [p]) for p in (1, 2) for i in range(2)]
+    schema = "kind int, instance long, patterns array<long>"
+    one, two = [(-1, 1000, [1, 2])] * 5, [(-1, 2000, [1]), (-1, 2000, [2])]
+    assert local(pii.adopted(spark.createDataFrame(known + doubt + one, schema))) == []
+    assert [r["instance"] for r in local(pii.adopted(spark.createDataFrame(known + doubt + two, schema)))] == [2000]
+
+
 def test_masked(spark):
     rows = [(i, f"some words then mail me at user{i}@mail.example.org today please") for i in range(12)] + [(101, None), (102, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
