@@ -29,6 +29,15 @@ def test_medians(spark):
     assert medians(df.limit(0), "v").count() == 0
 
 
+def test_medians_leave_rows_where_they_are(spark):
+    df = spark.range(3_000_000).select(F.when(F.col("id") >= 0, "all").alias("g"), (F.col("id") * 7919 % 3_000_001).cast("double").alias("v"))
+    for by in ([], ["g"]):
+        got = medians(df, "v", by)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert got.first()["median"] == float(np.median(np.arange(3_000_000) * 7919 % 3_000_001))
+
+
 def test_label_codes_of_many_values(spark, monkeypatch):
     df = spark.createDataFrame([(f"v{i % 37:03d}",) for i in range(200)] + [(None,)], "x string")
     few = {r.x: r.code for r in clean.encode_labels(df, "x", "code").collect()}
