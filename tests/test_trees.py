@@ -137,3 +137,45 @@ def test_levers_refused(fitted):
             whatif.outcome(t, F.col("a"), F.col("a"), F.lit(0.1), F.lit(0.0), F.lit(1.0), lever=bad)
     with pytest.raises(ValueError):
         whatif.outcome(df, F.col("a"), F.col("a"), F.lit(0.1), F.lit(2.0), F.lit(1.0), strict=True)
+
+
+def repeated(spark):
+    """Few sets of features, with other labels each time; one price in ten is null, some texts are."""
+    rng = np.random.default_rng(5)
+    n = 4000
+    t = pd.DataFrame({"key": range(n), "a": rng.integers(0, 6, n) / 2, "b": rng.integers(0, 5, n), "t": [None if v == 3 else f"v{v}" for v in rng.integers(0, 4, n)]})
+    t["y"] = 3 * t.a + np.where(t.b > 2, 5, 0) + rng.normal(0, 1, n)
+    t["c"] = np.where(t.y > 8, "high", np.where(t.y > 4, "mid", "low"))
+    return spark.createDataFrame(t, "key long, a double, b int, t string, y double, c string")
+
+
+@pytest.mark.parametrize("label,kind", [("y", "regression"), ("c", "classification")])
+def test_rows_with_equal_features_are_fitted_once(spark, monkeypatch, label, kind):
+    df, how = repeated(spark), {"maxIter": 4, "maxDepth": 3}
+    sizes, fit = [], models.Pipeline.fit
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, t: sizes.append(t.count()) or fit(self, t))
+    once = models.boosted(df, label, ["a", "b"], ["t"], kind=kind, **how)
+    monkeypatch.setattr(models, "EACH", 10**9)
+    each = models.boosted(df, label, ["a", "b"], ["t"], kind=kind, **how)
+    assert sizes[0] <= 6 * 5 * 4 * (3 if kind == "classification" else 1) and sizes[1] == 4000
+    x = np.array([(a / 2, b, t) for a in range(6) for b in range(5) for t in range(4)], float)
+    for k in range(3 if kind == "classification" else 1):  # nodes whose rows are all alike may be split once more or less
+        p, q = (models.trees_of(m, k) for m in (once, each))
+        assert np.allclose(p.predict(x), q.predict(x), atol=1e-9) and [t["cover"][0] for t in p.trees] == [t["cover"][0] for t in q.trees] == [4000] * 4
+        assert np.allclose(p.shap(x)[0], q.shap(x)[0], atol=1e-9) and np.allclose(p.gains(3)[1:], q.gains(3)[1:], rtol=0.5)
+
+
+@pytest.mark.parametrize("label,kind", [("y", "regression"), ("c", "classification")])
+def test_shapley_values_of_equal_features_are_worked_out_once(spark, monkeypatch, label, kind):
+    df = repeated(spark)
+    m = models.boosted(df, label, ["a", "b"], ["t"], kind=kind, maxIter=3, maxDepth=3)
+    order = ["key", "class", "feature"]
+    joined = models.shap_values(df, m, "key", ["a", "b", "t"])
+    assert "Join" in joined._jdf.queryExecution().optimizedPlan().toString()  # Python sees the sets, not the rows
+    monkeypatch.setattr(models, "EACH", 10**9)
+    alone = models.shap_values(df, m, "key", ["a", "b", "t"])
+    p, q = (t.toPandas().sort_values(order).reset_index(drop=True) for t in (joined, alone))
+    assert len(p) == 4000 * 3 * (3 if kind == "classification" else 1) and p.columns.tolist() == [*order[:2], "feature", "value", "base", "prediction"]
+    assert p[order].equals(q[order]) and np.allclose(p[["value", "base", "prediction"]], q[["value", "base", "prediction"]], atol=1e-9)
+    sums = p.groupby(["key", "class"]).agg(v=("value", "sum"), b=("base", "first"), f=("prediction", "first"))
+    assert np.allclose(sums.v + sums.b, sums.f, atol=1e-9)
