@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import finite
 from tessera.operators.quantiles import medians
+from tessera.sources.files import roundtrip
 
 TINY = 1e-9
 
@@ -18,7 +19,11 @@ def _group(df: DataFrame, by: Sequence[str]):
 
 
 def regression(df: DataFrame, by: Sequence[str] = (), n_features: int | None = None) -> DataFrame:
-    """mae, mse, rmse, median_ae, max_error, r2, adjusted_r2, explained_variance, msle, mape, n_excluded. Raises on values that aren't finite."""
+    """mae, mse, rmse, median_ae, max_error, r2, adjusted_r2, explained_variance, msle, mape, n_excluded. Raises on values that aren't finite.
+
+    The values are written first: they are read several times, and a model may have to work them out.
+    """
+    df = roundtrip(df.select(*dict.fromkeys([*by, "y", "yhat"])))
     y, p = F.col("y").cast("double"), F.col("yhat").cast("double")
     if df.where(~(finite(y) & finite(p))).limit(1).count():
         raise ValueError("y and yhat must be finite")

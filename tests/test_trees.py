@@ -179,3 +179,30 @@ def test_shapley_values_of_equal_features_are_worked_out_once(spark, monkeypatch
     assert p[order].equals(q[order]) and np.allclose(p[["value", "base", "prediction"]], q[["value", "base", "prediction"]], atol=1e-9)
     sums = p.groupby(["key", "class"]).agg(v=("value", "sum"), b=("base", "first"), f=("prediction", "first"))
     assert np.allclose(sums.v + sums.b, sums.f, atol=1e-9)
+
+
+def test_a_panel_model_is_fitted_from_files(spark, monkeypatch):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+    p = spark.createDataFrame([("a", d, float(i % 5 + 1)) for i, d in enumerate(days)], "entity string, ts date, y double")
+    seen, fit = [], models.boosted
+    monkeypatch.setattr(models, "boosted", lambda df, *a, **k: seen.append(df) or fit(df, *a, **k))
+    models.fit_panel(p, maxIter=1, maxDepth=1)
+    assert seen[0].inputFiles() and seen[0].count() == 12
+
+
+def test_values_and_splits_are_worked_out_once(spark):
+    from tessera.operators import metrics, splits
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            calls.add(len(b))
+            yield b
+
+    df = spark.range(600).select("id", F.col("id").cast("double").alias("y"), (F.col("id") + F.pmod("id", F.lit(3))).cast("double").alias("yhat"))
+    got = metrics.regression(df.mapInPandas(counted, df.schema)).first()
+    assert calls.value == 600 and got.n == 600 and got.mae == pytest.approx(1.0) and got.median_ae == 1.0
+    s = splits.random_split(df.withColumn("c", F.pmod("id", F.lit(2))).mapInPandas(counted, "id long, y double, yhat double, c long"), "id", "c")
+    before = calls.value
+    assert s.where("role = 'test'").count() == 120 and s.count() == 600 and calls.value == before
