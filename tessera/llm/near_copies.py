@@ -3,7 +3,8 @@
 Candidates come from prefixes. All shingles stand in one order, and of a set of n shingles the first n - ceil(0.8 n) + 1
 are its prefix: two sets with similarity 0.8 share a shingle of their prefixes, so no pair is lost, whatever the order. The
 order only decides how many candidates there are; shingles that a sample of texts shows to be common come last, the
-others by their hash. Each candidate pair is then checked on the whole sets.
+others by their hash. Similar sets share more than one shingle of their prefixes: of the prefix that ends first in the order, all but those the
+other set lacks. Pairs that share fewer (texts with a common line) are no candidates. Each candidate is then checked on the whole sets.
 
 A shingle that stands in many prefixes isn't paired out: each set is checked against one head of the shingle, which is enough where
 they are all near copies. Where they aren't, the shingle belongs to a passage that texts share. The sets of all such crowds get new
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import release, settle, tidy
@@ -70,8 +71,19 @@ def _common(docs: DataFrame) -> np.ndarray:
             found = np.concatenate([shingles(t.as_py()) for t in b.column(0)] or [np.empty(0, np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["shingle"])
 
-    counts = few.mapInArrow(explode, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= SHARED_BY)
-    return np.sort(np.array([r.shingle for r in counts.orderBy(F.desc("k"), "shingle").limit(MOST_COMMON).collect()], np.int64))
+    counts = settle(few.mapInArrow(explode, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= SHARED_BY), "near-common")
+    found = _most(counts, MOST_COMMON)
+    release(counts)
+    return found
+
+
+def _most(counts: DataFrame, most: int) -> np.ndarray:
+    """The most frequent shingles of counts (shingle, k), sorted: at most so many, all of one frequency or none; they alone reach the driver, as Arrow."""
+    of_size = counts.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    least = of_size.withColumn("upto", F.sum("c").over(Window.orderBy(F.desc("k")))).where(F.col("upto") <= most).agg(F.min("k")).first()[0]  # a row for each frequency
+    if least is None:
+        return np.empty(0, np.int64)
+    return np.sort(counts.where(F.col("k") >= least).select("shingle").toArrow().column(0).to_numpy())
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
@@ -138,31 +150,42 @@ def reordered(texts: DataFrame, late: np.ndarray) -> DataFrame:
             sets = [shingles(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([prefix(s, sent.value) for s in sets], pa.list_(pa.int64()))], names=["set_id", "n", "prefix"])
 
-    again = texts.mapInArrow(run, "set_id long, n long, prefix array<long>")
-    return settle(again.select("set_id", "n", F.explode("prefix").alias("shingle")), "near-prefixes")
+    return texts.mapInArrow(run, "set_id long, n long, prefix array<long>").select("set_id", "n", F.explode("prefix").alias("shingle"))
+
+
+def least_shared(n: Column, m: Column) -> Column:
+    """How many shingles of their prefixes two similar sets of n and m shingles share at least.
+
+    They share at least p / (p + q) of n + m shingles, p / q the least similarity. Of the prefix that ends first, all shingles but those that the other set lacks
+    stand in the other prefix too.
+    """
+    up = lambda x, d: F.ceil(x / F.lit(d))
+    return up(LEAST[0] * (n + m), sum(LEAST)) - up(LEAST[0] * F.greatest(n, m), LEAST[1]) + 1
 
 
 def links(docs: DataFrame, rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Edges (a, b: set_id) that join all those sets that are joined by similar pairs; rows are those of with_sets."""
     own = rows.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posted = settle(own.select("set_id", "n", F.explode("prefix").alias("shingle")), "near-prefixes")
-    tidy(docs.sparkSession)
-    return _linked(docs, rows, posted, crowd, np.empty(0, np.int64), PASSES)
+    return _linked(docs, rows, own.select("set_id", "n", F.explode("prefix").alias("shingle")), crowd, np.empty(0, np.int64), PASSES)
 
 
 def _linked(docs: DataFrame, rows: DataFrame, posted: DataFrame, crowd: int, late: np.ndarray, passes: int) -> DataFrame:
-    """The edges from settled prefixes (set_id, n, shingle) of one order, which it deletes; late: shingles that this order has last already."""
-    sizes = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    met = settle(posted.join(sizes, "shingle"), "near-met")  # what stands in one prefix only links nothing
-    release(posted)
+    """The edges from prefixes (set_id, n, shingle) of one order; late: shingles that this order has last already."""
+    met = posted.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("k > 1")  # what stands in one prefix only links nothing
+    crowded = F.count_if(F.col("k") > crowd).over(Window.partitionBy("set_id"))
+    met = settle(met.withColumn("m", crowded), "near-met")
     tidy(docs.sparkSession)
     few, many = met.where(F.col("k") <= crowd), met.where(F.col("k") > crowd)
     near = lambda n, m: LEAST[1] * F.least(n, m) >= LEAST[0] * F.greatest(n, m)
-
-    a, b = (few.select("shingle", F.col("set_id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    pairs = a.join(b, "shingle").where("a < b").where(near(F.col("n_a"), F.col("n_b"))).select("a", "b")
-    heads = many.groupBy("shingle").agg(F.min(F.struct(F.col("set_id").alias("a"), F.col("n").alias("n_a"))).alias("h")).select("shingle", "h.*")
-    stars = many.join(heads, "shingle").where("set_id <> a").where(near(F.col("n_a"), F.col("n"))).select("a", F.col("set_id").alias("b"))
+    # Of the shingles that a pair must share, its crowds' hold so many at most; pairs that need others too are found by those.
+    lacking = least_shared(F.col("n_a"), F.col("n_b")) - F.least("m_a", "m_b")
+
+    a, b = (few.select("shingle", F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("m").alias(f"m_{x}")) for x in "ab")
+    shared = a.join(b, "shingle").where("a < b").where(near(F.col("n_a"), F.col("n_b"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("n_a", "n_b", "m_a", "m_b")])
+    pairs = shared.where(F.col("c") >= lacking).select("a", "b")
+    heads = many.groupBy("shingle").agg(F.min(F.struct(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("m").alias("m_a"))).alias("h")).select("shingle", "h.*")
+    others = many.select("shingle", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"))
+    stars = others.join(heads, "shingle").where("b <> a").where(near(F.col("n_a"), F.col("n_b"))).where(lacking <= 0).select("a", "b")
     edges = _similar(docs, rows, pairs.union(stars))
     if not many.limit(1).count():
         release(met)
@@ -175,8 +198,7 @@ def _linked(docs: DataFrame, rows: DataFrame, posted: DataFrame, crowd: int, lat
     if passes:
         # Crowds that fall into several components: their shingles are common to texts that aren't alike. All of their sets get new prefixes, with
         # the largest such crowds' shingles last. Similar sets share a shingle of these too, as of the prefixes of any one order.
-        crowds = mixed.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "shingle").limit(MOST_LATE)
-        found = np.array(crowds.select("shingle").toPandas()["shingle"], np.int64)  # a bounded number
+        found = _most(mixed.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")), MOST_LATE)
         texts = _texts(docs, rows, mixed.select("set_id").distinct())
         late = np.union1d(late, found)
         release(met, placed, mixed)
@@ -185,9 +207,9 @@ def _linked(docs: DataFrame, rows: DataFrame, posted: DataFrame, crowd: int, lat
         return edges.union(more)
 
     # What isn't in a crowd's largest component is checked against all sets of the crowd's other components.
-    c = mixed.where("part <> largest").select("shingle", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("p_a"))
-    d = mixed.select("shingle", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("p_b"))
-    rest = c.join(d, "shingle").where("p_a <> p_b").where(near(F.col("n_a"), F.col("n_b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    c = mixed.where("part <> largest").select("shingle", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("m").alias("m_a"), F.col("part").alias("p_a"))
+    d = mixed.select("shingle", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"), F.col("part").alias("p_b"))
+    rest = c.join(d, "shingle").where("p_a <> p_b").where(near(F.col("n_a"), F.col("n_b"))).where(lacking <= 0).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _similar(docs, rows, rest)
     release(met, placed, mixed)
     return edges.union(more)

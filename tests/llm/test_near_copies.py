@@ -100,3 +100,39 @@ def test_prefixes_of_another_order(spark):
         assert r.n == len(sets[r.set_id])
     for i, own in sets.items():
         assert got[i] == set(sorted(own, key=lambda s: (s in late, s))[: len(own) - -(-4 * len(own) // 5) + 1 if own else 0])
+
+
+def test_pairs_that_share_too_little_are_no_candidates(spark, monkeypatch):
+    """Texts that share a line of a tenth of their shingles, in crowds too small for heads: the line stands in their prefixes, but no pair is checked."""
+    import numpy as np
+
+    rng, pairs = random.Random(4), []
+    similar = near_copies._similar
+    monkeypatch.setattr(near_copies, "_common", lambda docs: np.empty(0, np.int64))
+    monkeypatch.setattr(near_copies, "_similar", lambda docs, rows, p: pairs.append(p.distinct().count()) or similar(docs, rows, p))
+    lines = [some_words(rng, 14) for _ in range(10)]
+    texts = [" ".join([*some_words(rng, 120), *line]) for line in lines for _ in range(12)]
+    texts += [t.replace(t.split()[60], "changed", 1) for t in texts[:10]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = {r.doc_id: r.label for r in near_copies.classes(docs).collect()}
+    assert len(set(labels.values())) == 120 and all(labels[i] == labels[120 + i] for i in range(10))
+    assert sum(pairs) <= 20
+
+
+def test_least_shared(spark):
+    """Any two sets of similarity 0.8 or more share so many shingles of their prefixes, whatever is common."""
+    import numpy as np
+
+    rng, found = random.Random(5), []
+    for _ in range(400):
+        both, one, other = (rng.randrange(1, 60), rng.randrange(8), rng.randrange(8))
+        if 5 * both < 4 * (both + one + other):
+            continue
+        every = np.array(rng.sample(range(1000), both + one + other), np.int64)
+        a, b = every[: both + one], np.concatenate([every[:both], every[both + one :]])
+        common = np.sort(np.array(rng.sample(range(1000), 300), np.int64))
+        found.append((len(a), len(b), len(np.intersect1d(near_copies.prefix(a, common), near_copies.prefix(b, common)))))
+    assert len(found) > 50
+    t = spark.createDataFrame(found, "n long, m long, c long")
+    assert not t.where(t["c"] < near_copies.least_shared(t["n"], t["m"])).count()
+    assert t.where(near_copies.least_shared(t["n"], t["m"]) > 1).count()
