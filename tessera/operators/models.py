@@ -356,10 +356,14 @@ def lever_search(df: DataFrame, model: PipelineModel, names: Sequence[str], leve
     asked = PipelineModel(inputs).transform(asked).select("__row", vector_to_array("__features").alias("__x"), "__lo", "__hi", "__goal")
 
     def run(batches):
+        steps = remembered_steps(trees.value, at)
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, len(names))
-            lo, hi, goal = (np.array([np.nan if v is None else v for v in b.column(k).to_pylist()], float) for k in (2, 3, 4))
-            best, reached = nearest_step(*trees.value.steps(x, at), x[:, at], lo, hi, goal, classes)
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(names))
+            lo, hi, goal = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))  # null: NaN
+            thresholds, values = steps(x)
+            parts = [slice(i, i + 1024) for i in range(0, b.num_rows, 1024)]  # small enough for a processor's cache
+            found = [nearest_step(thresholds, values[p], x[p, at], lo[p], hi[p], goal[p], classes) for p in parts]
+            best, reached = (np.concatenate([f[k] for f in found] or [np.empty(0)]) for k in range(2))
             both = [pa.array(v, pa.float64(), mask=np.isnan(v)) for v in (best, reached)]
             yield pa.RecordBatch.from_arrays([b.column(0), *both], names=["row", "best", "reached"])
 
@@ -367,6 +371,32 @@ def lever_search(df: DataFrame, model: PipelineModel, names: Sequence[str], leve
     return found.select("row.*", "best", "reached")
 
 
+#: How many sets of features a task remembers the steps of (8 bytes for each and threshold).
+REMEMBERED = 20_000
+
+
+def remembered_steps(trees: Trees, feature: int, most: int = REMEMBERED):
+    """A function that gives Trees.steps of rows; rows that are equal but for the feature are worked out once, while they are remembered."""
+    thresholds = kept = None
+    known: dict[bytes, int] = {}
+
+    def of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal thresholds, kept
+        keys = [v.tobytes() for v in np.delete(x, feature, axis=1)]
+        fresh = {k: i for i, k in enumerate(keys) if k not in known}
+        if known and len(known) + len(fresh) > most:
+            known.clear()
+            kept = None
+            fresh = {k: i for i, k in enumerate(keys)}
+        if fresh or kept is None:
+            thresholds, more = trees.steps(x[list(fresh.values())], feature)
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+            kept = more if kept is None else np.concatenate([kept, more])
+        return thresholds, kept[[known[k] for k in keys]]
+
+    return of
+
+
 def nearest_step(thresholds: np.ndarray, values: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray, goal: np.ndarray, margins: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(best, reached) of each row from what Trees.steps gives; margins of classes are turned into probabilities first."""
     values = 1 / (1 + np.exp(-2 * values)) if margins else values

@@ -206,3 +206,19 @@ def test_values_and_splits_are_worked_out_once(spark):
     s = splits.random_split(df.withColumn("c", F.pmod("id", F.lit(2))).mapInPandas(counted, "id long, y double, yhat double, c long"), "id", "c")
     before = calls.value
     assert s.where("role = 'test'").count() == 120 and s.count() == 600 and calls.value == before
+
+
+def test_steps_are_worked_out_once(fitted, monkeypatch):
+    """Rows that are equal but for the lever share their steps, over batches too, also where more sets come than are remembered."""
+    trees = models.trees_of(fitted[1])
+    rng = np.random.default_rng(3)
+    asked, steps = [], models.Trees.steps
+    monkeypatch.setattr(models.Trees, "steps", lambda self, x, f: asked.append(len(x)) or steps(self, x, f))
+    for most, sets in ((100, 12), (5, None)):
+        asked.clear()
+        of = models.remembered_steps(trees, 0, most)
+        for _ in range(4):
+            x = np.column_stack([rng.uniform(0, 10, 60), rng.integers(0, 3, 60) * 4.0, rng.integers(0, 4, 60) * 3.0])
+            want, got = steps(trees, x, 0), of(x)
+            assert np.array_equal(want[0], got[0]) and np.array_equal(want[1], got[1])
+        assert sets is None or sum(asked) <= sets
