@@ -45,3 +45,15 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_model_roundtrip_scores_sets_of_features(spark):
+    """Both models score each set of features once, all rows count, and no rows are joined by key."""
+    from tessera.plans import modelling
+
+    d = "/root/testdata/sf0.001"
+    got = modelling.model_roundtrip(spark, d)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "xxhash64" not in plan  # lines with their parts
+    r = got.first()
+    assert r.n == modelling._rows(spark, d).count() and r.most == 0
