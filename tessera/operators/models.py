@@ -331,6 +331,15 @@ def shap_importance(values: DataFrame) -> DataFrame:
     return values.groupBy("feature").agg(F.avg(F.abs("value")).alias("importance")).orderBy(F.desc("importance"), "feature")
 
 
+def importance(df: DataFrame, model: PipelineModel, key: str, names: Sequence[str]) -> DataFrame:
+    """shap_importance of shap_values. Where rows repeat (see EACH), each set of features counts as often as it has rows, and no row is joined to its values."""
+    if not repeats(df, names)[1]:
+        return shap_importance(shap_values(df, model, key, names))
+    values = shap_values(roundtrip(df.groupBy(*names).agg(F.count(F.lit(1)).alias("__rows"))), model, "__rows", names)
+    mean = F.sum(F.abs("value") * F.col("__rows")) / F.sum("__rows")
+    return values.groupBy("feature").agg(mean.alias("importance")).orderBy(F.desc("importance"), "feature")
+
+
 def lever_search(df: DataFrame, model: PipelineModel, names: Sequence[str], lever: str, lo: Column, hi: Column, goal: Column) -> DataFrame:
     """df with best, the value of the lever within lo and hi whose prediction comes nearest to the goal, and reached, that prediction.
 

@@ -67,7 +67,7 @@ def shap_values(spark: Spark, d: str) -> DataFrame:
 
 @query()
 def shap_importance(spark: Spark, d: str) -> DataFrame:
-    return models.shap_importance(shap_values(spark, d))
+    return models.importance(_rows(spark, d), _model(spark, d), "key", [*FEATURES, *TEXTS])
 
 
 @query()
@@ -259,7 +259,7 @@ def validation_run(spark: Spark, d: str) -> DataFrame:
     broken = profile.contract(a, "l_quantity").agg(F.count(F.lit(1)).alias("n_broken"))
     gate = drift.gate(drift.report(a, b, _DRIFTING)).select("score", "stopped", "any_drifted")
     most = drift.full_report(a, b, _DRIFTING).agg(*[F.max(c).alias(c) for c in ("psi", "kl", "js")])
-    top = models.shap_importance(shap_values(spark, d)).limit(1).select(F.col("feature").alias("top_feature"), F.col("importance").alias("top_importance"))
+    top = shap_importance(spark, d).limit(1).select(F.col("feature").alias("top_feature"), F.col("importance").alias("top_importance"))
     out = illegal.withColumn("k", F.lit(1))
     for part in (broken, gate, most, top):  # one row each
         out = out.join(part.withColumn("k", F.lit(1)), "k")

@@ -222,3 +222,14 @@ def test_steps_are_worked_out_once(fitted, monkeypatch):
             want, got = steps(trees, x, 0), of(x)
             assert np.array_equal(want[0], got[0]) and np.array_equal(want[1], got[1])
         assert sets is None or sum(asked) <= sets
+
+
+def test_importance_of_repeated_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i % 4), float(i % 3), "xy"[i % 2], float((i % 4) * 3 + i % 3)) for i in range(240)], "key long, a double, b double, c string, y double")
+    m = models.boosted(df, "y", ["a", "b"], ["c"], maxIter=3, maxDepth=3)
+    want = models.shap_importance(models.shap_values(df, m, "key", ["a", "b", "c"])).collect()
+    taken, values = [], models.shap_values
+    monkeypatch.setattr(models, "shap_values", lambda t, *a: taken.append(t.count()) or values(t, *a))
+    got = models.importance(df, m, "key", ["a", "b", "c"]).collect()
+    assert [r.feature for r in got] == [r.feature for r in want] and taken == [12]
+    assert [r.importance for r in got] == pytest.approx([r.importance for r in want], rel=1e-12)
