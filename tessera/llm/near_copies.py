@@ -8,11 +8,15 @@ other set lacks. Pairs that share fewer (texts with a common line) are no candid
 
 A shingle that stands in many prefixes isn't paired out: each set is checked against one head of the shingle, which is enough where
 they are all near copies. Where they aren't, the shingle belongs to a passage that texts share. The sets of all such crowds get new
-prefixes from an order that has these shingles last, by exact counts, and so up to three times: of a shared passage a fifth of the shingles or fewer
-turn up in prefixes each time. Only sets that still meet in a crowd then are compared within it, and only across its components. As
+prefixes from an order that has these shingles last, by exact counts: of a shared passage a fifth of the shingles or fewer
+turn up in prefixes. Sets that still meet in a crowd then are parted into boxes of some shingles each and meet by whole boxes, of which
+similar sets share one too, and so up to four times, with the keys of crowds last. Only those that still meet in a crowd of boxes are compared within it, across its components, by a few more heads first. As
 components alone matter, nothing is lost, and large groups of near copies, or of texts with a common line, cost work in proportion to
 their size.
 
+The first candidates are op10's: SimHash fingerprints that its ring finds within two bits, checked on the sets as all others. What they join isn't looked at
+again; prefixes and boxes find what two bits miss.
+
 Cases: a text of fewer than five words is one shingle; null and empty texts have no shingle and are copies of each other; repeated
 rows share a set; a null doc_id takes part; other columns are neither read nor changed.
 """
@@ -20,6 +24,7 @@ rows share a set; a null doc_id takes part; other columns are neither read nor c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm import simhash
 from tessera.llm.common import release, settle, tidy
 from tessera.llm.components import connected_components
 
@@ -37,8 +43,10 @@ LEAST = (4, 5)
 CROWD = 16
 #: Texts looked at for common shingles, how many of them must share one, and how many shingles are sent to the tasks.
 SAMPLE, SHARED_BY, MOST_COMMON = 20_000, 4, 200_000
-#: How often sets of mixed crowds get new prefixes, and how many crowds' shingles each time puts last (8 MB).
-PASSES, MOST_LATE = 3, 1_000_000
+#: How often sets of mixed crowds get new prefixes and boxes, and how many crowds' shingles each time puts last (8 MB).
+PASSES, BOX_PASSES, MOST_LATE = 1, 4, 1_000_000
+#: How many more heads of a mixed crowd of boxes are tried before its components are checked pair by pair.
+HEADS = 2
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -87,7 +95,7 @@ def _most(counts: DataFrame, most: int) -> np.ndarray:
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, set_id, n, prefix) of each row."""
+    """(doc_id, text_hash, fp, set_id, n, prefix) of each row; fp: its SimHash fingerprint."""
     common = docs.sparkSession.sparkContext.broadcast(_common(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +103,10 @@ def with_sets(docs: DataFrame) -> DataFrame:
             sets = [shingles(t.as_py()) for t in b.column(1)]
             ids = pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64())
             prefixes = pa.array([prefix(s, common.value) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), ids, pa.array([len(s) for s in sets], pa.int64()), prefixes], names=["doc_id", "text_hash", "set_id", "n", "prefix"])
+            prints = pa.array(np.array([simhash.fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), prints, ids, pa.array([len(s) for s in sets], pa.int64()), prefixes], names=["doc_id", "text_hash", "fp", "set_id", "n", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, set_id long, n long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, fp long, set_id long, n long, prefix array<long>")
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,56 +172,163 @@ def least_shared(n: Column, m: Column) -> Column:
     return up(LEAST[0] * (n + m), sum(LEAST)) - up(LEAST[0] * F.greatest(n, m), LEAST[1]) + 1
 
 
+def boxes(own: np.ndarray, late: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(length, keys) of the prefixes of a set's boxes, one for each class of sizes in which it can meet a similar set; late is sorted.
+
+    A class holds the sets of 2**k to 2**(k + 1) - 1 shingles and those smaller ones that may be similar to one of them. Its ranges of hashes, the same for all of
+    the class, part a set into boxes. Similar sets of n and m shingles differ in (n + m) // 9 shingles at most, and so in no more boxes. In an order of all
+    boxes by contents, the first that both have comes after no more than so many others: it stands in both prefixes. Boxes with most shingles that aren't late
+    come first, so what a key stands for is seldom a single shingle, or part of a passage known to be shared; boxes whose keys are late themselves come last.
+    """
+    n, out = len(own), []
+    largest = n * LEAST[1] // LEAST[0]
+    if largest == n:  # only equal sets are similar
+        return out
+    own = np.sort(own.view(np.uint64))
+    known = np.isin(own.view(np.int64), late, assume_unique=True)
+    for c in (n.bit_length() - 1, n.bit_length()):
+        top = (2 << c) - 1
+        if largest < 1 << c:
+            break
+        count = 2 * (2 * top // sum(LEAST) + 1) + 4
+        place = ((own >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        keys = np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((c + 1) * 0xC2B2AE3D27D4EB4F % 2**64)
+        keys[place[first]] += np.add.reduceat(own, first)
+        new, size = np.bincount(place, ~known, count), np.bincount(place, minlength=count)
+        length = (n + min(largest, top)) // sum(LEAST) + 1
+        keys = keys.view(np.int64)
+        out.append((length, keys[np.lexsort((keys, -size, -new, np.isin(keys, late)))[:length]]))
+    return out
+
+
+def boxed(texts: DataFrame, late: np.ndarray) -> DataFrame:
+    """(set_id, n, length, shingle) of the prefixes of the boxes of these sets; shingle is a box's key."""
+    sent = texts.sparkSession.sparkContext.broadcast(late)  # (PASSES + BOX_PASSES) * MOST_LATE at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, len(own), length, keys) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for own in [shingles(t.as_py())] for length, keys in boxes(own, sent.value)]
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.list_(pa.int64()))], names=["set_id", "n", "length", "keys"])
+
+    return texts.mapInArrow(run, "set_id long, n long, length long, keys array<long>").select("set_id", "n", "length", F.explode("keys").alias("shingle"))
+
+
+def ring_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b: set_id) of sets whose texts' SimHash fingerprints are alike: op10's ring of segments. A fingerprint's least set stands for it."""
+    prints = settle(rows.where("n > 0").select("fp", "set_id").distinct(), "near-prints")
+    least = prints.groupBy("fp").agg(F.min("set_id").alias("s"))
+    same = prints.join(least, "fp").where("set_id <> s").select(F.col("s").alias("a"), F.col("set_id").alias("b"))
+    one, other = (least.select(F.col("fp").alias(f), F.col("s").alias(s)) for f, s in (("a", "x"), ("b", "y")))
+    return same.union(simhash.links(prints).join(one, "a").join(other, "b").where("x <> y").select("x", "y"))
+
+
 def links(docs: DataFrame, rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Edges (a, b: set_id) that join all those sets that are joined by similar pairs; rows are those of with_sets."""
+    known = [_similar(docs, rows, ring_pairs(rows))]
+    parts = _parts(known)
     own = rows.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    return _linked(docs, rows, own.select("set_id", "n", F.explode("prefix").alias("shingle")), crowd, np.empty(0, np.int64), PASSES)
+    posted, late, texts = own.select("set_id", "n", F.explode("prefix").alias("shingle")), np.empty(0, np.int64), None
+    for step in range(PASSES + BOX_PASSES + 1):
+        mixed, parts = _met(docs, rows, posted, known, parts, crowd, step > PASSES)
+        if texts is not None:
+            release(texts)
+        if mixed is None:
+            break
+        if step == PASSES + BOX_PASSES:
+            _finish(docs, rows, mixed, known)
+            break
+        # Crowds that fall into several components: their shingles are common to texts that aren't alike. All of their sets get new prefixes, with
+        # the largest such crowds' shingles last. Similar sets share a shingle of these too, as of the prefixes of any one order. Then they get boxes.
+        late = np.union1d(late, _most(mixed.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")), MOST_LATE))
+        texts = _texts(docs, rows, mixed.select("set_id").distinct())
+        release(mixed)
+        posted = boxed(texts, late) if step >= PASSES else reordered(texts, late)
+    return reduce(DataFrame.union, known)
 
 
-def _linked(docs: DataFrame, rows: DataFrame, posted: DataFrame, crowd: int, late: np.ndarray, passes: int) -> DataFrame:
-    """The edges from prefixes (set_id, n, shingle) of one order; late: shingles that this order has last already."""
+def _near(n: Column, m: Column) -> Column:
+    return LEAST[1] * F.least(n, m) >= LEAST[0] * F.greatest(n, m)
+
+
+def _lacking(of_boxes: bool) -> Column:
+    """Of the keys that a pair must share, its crowds' hold m at most; pairs that need others too are found by those."""
+    n, m = F.col("n_a"), F.col("n_b")
+    needed = F.least("length_a", "length_b") - F.floor((n + m) / F.lit(sum(LEAST))) if of_boxes else least_shared(n, m)
+    return needed - F.least("m_a", "m_b")
+
+
+def _parts(known: list[DataFrame]) -> DataFrame:
+    """(set_id, part) of each set that has an edge; part: its component."""
+    return connected_components(reduce(DataFrame.union, known)).select(F.col("node").alias("set_id"), F.col("root").alias("part"))
+
+
+def _placed(keys: DataFrame, parts: DataFrame) -> DataFrame:
+    """keys (shingle, set_id, ...) of those shingles whose sets stand in several components; part: the component."""
+    all_of = Window.partitionBy("shingle")
+    placed = keys.join(parts, "set_id", "left").withColumn("part", F.coalesce("part", "set_id"))
+    return placed.withColumn("several", F.min("part").over(all_of) < F.max("part").over(all_of)).where("several").drop("several")
+
+
+def _side(keys: DataFrame, x: str) -> DataFrame:
+    return keys.select("shingle", F.col("set_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in keys.columns if c in ("n", "m", "length", "part")])
+
+
+def _met(docs: DataFrame, rows: DataFrame, posted: DataFrame, known: list[DataFrame], parts: DataFrame, crowd: int, of_boxes: bool) -> tuple[DataFrame | None, DataFrame]:
+    """Adds to known the edges of one order, from prefixes (set_id, n, shingle); the keys of crowds that still fall into several components, if any, and the components."""
     met = posted.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("k > 1")  # what stands in one prefix only links nothing
     crowded = F.count_if(F.col("k") > crowd).over(Window.partitionBy("set_id"))
     met = settle(met.withColumn("m", crowded), "near-met")
     tidy(docs.sparkSession)
-    few, many = met.where(F.col("k") <= crowd), met.where(F.col("k") > crowd)
-    near = lambda n, m: LEAST[1] * F.least(n, m) >= LEAST[0] * F.greatest(n, m)
-    # Of the shingles that a pair must share, its crowds' hold so many at most; pairs that need others too are found by those.
-    lacking = least_shared(F.col("n_a"), F.col("n_b")) - F.least("m_a", "m_b")
+    open_ = settle(_placed(met, parts), "near-open")
+    release(met)
+    few, many = open_.where(F.col("k") <= crowd), open_.where(F.col("k") > crowd)
+    near, lacking = _near(F.col("n_a"), F.col("n_b")), _lacking(of_boxes)
 
-    a, b = (few.select("shingle", F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("m").alias(f"m_{x}")) for x in "ab")
-    shared = a.join(b, "shingle").where("a < b").where(near(F.col("n_a"), F.col("n_b"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("n_a", "n_b", "m_a", "m_b")])
+    both = _side(few, "a").join(_side(few, "b"), "shingle").where("a < b").where("part_a <> part_b").where(near)
+    shared = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in both.columns if x.startswith(("n_", "m_", "length_"))])
     pairs = shared.where(F.col("c") >= lacking).select("a", "b")
-    heads = many.groupBy("shingle").agg(F.min(F.struct(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("m").alias("m_a"))).alias("h")).select("shingle", "h.*")
-    others = many.select("shingle", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"))
-    stars = others.join(heads, "shingle").where("b <> a").where(near(F.col("n_a"), F.col("n_b"))).where(lacking <= 0).select("a", "b")
-    edges = _similar(docs, rows, pairs.union(stars))
+    sides = _side(many, "a")
+    heads = sides.groupBy("shingle").agg(F.min(F.struct(*[x for x in sides.columns if x != "shingle"])).alias("h")).select("shingle", "h.*")
+    stars = _side(many, "b").join(heads, "shingle").where("part_a <> part_b").where(near).where(lacking <= 0).select("a", "b")
+    found = _similar(docs, rows, pairs.union(stars))
+    if found.limit(1).count():
+        known.append(found)
+        parts = _parts(known)
     if not many.limit(1).count():
-        release(met)
-        return edges
-
-    parts = connected_components(edges).select(F.col("node").alias("set_id"), F.col("root").alias("part"))
-    placed = settle(many.join(parts, "set_id", "left").withColumn("part", F.coalesce("part", "set_id")), "near-crowds")
-    most = placed.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.max_by("part", F.struct("c", "part")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = settle(placed.join(most, "shingle"), "near-mixed")
-    if passes:
-        # Crowds that fall into several components: their shingles are common to texts that aren't alike. All of their sets get new prefixes, with
-        # the largest such crowds' shingles last. Similar sets share a shingle of these too, as of the prefixes of any one order.
-        found = _most(mixed.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")), MOST_LATE)
-        texts = _texts(docs, rows, mixed.select("set_id").distinct())
-        late = np.union1d(late, found)
-        release(met, placed, mixed)
-        more = _linked(docs, rows, reordered(texts, late), crowd, late, passes - 1)
-        release(texts)
-        return edges.union(more)
-
-    # What isn't in a crowd's largest component is checked against all sets of the crowd's other components.
-    c = mixed.where("part <> largest").select("shingle", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("m").alias("m_a"), F.col("part").alias("p_a"))
-    d = mixed.select("shingle", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"), F.col("part").alias("p_b"))
-    rest = c.join(d, "shingle").where("p_a <> p_b").where(near(F.col("n_a"), F.col("n_b"))).where(lacking <= 0).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _similar(docs, rows, rest)
-    release(met, placed, mixed)
-    return edges.union(more)
+        release(open_)
+        return None, parts
+    mixed = settle(_placed(many.drop("part"), parts), "near-mixed")
+    release(open_)
+    if not mixed.limit(1).count():
+        release(mixed)
+        return None, parts
+    return mixed, parts
+
+
+def _finish(docs: DataFrame, rows: DataFrame, mixed: DataFrame, known: list[DataFrame]) -> None:
+    """Adds to known the edges between the components of mixed crowds of boxes."""
+    near, lacking = _near(F.col("n_a"), F.col("n_b")), _lacking(True)
+    for turn in range(HEADS + 1):
+        most = mixed.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.max_by("part", F.struct("c", "part")).alias("largest"))
+        dealt = mixed.join(most, "shingle")
+        rest, there = _side(dealt.where("part <> largest"), "a"), dealt.where("part = largest") if turn < HEADS else dealt
+        there = _side(there, "b")
+        if turn < HEADS:  # one more head of the largest component each turn: enough for groups of copies that the first head isn't similar to
+            there = there.groupBy("shingle").agg(F.min_by(F.struct(*[x for x in there.columns if x != "shingle"]), F.xxhash64("b", F.lit(turn))).alias("h")).select("shingle", "h.*")
+        # At last what isn't in a crowd's largest component is checked against all sets of the crowd's other components.
+        pairs = rest.join(there, "shingle").where("part_a <> part_b").where(near).where(lacking <= 0).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = _similar(docs, rows, pairs)
+        if not found.limit(1).count():
+            continue
+        known.append(found)
+        if turn < HEADS:
+            mixed, before = settle(_placed(mixed.drop("part"), _parts(known)), "near-mixed"), mixed
+            release(before)
+            if not mixed.limit(1).count():
+                break
+    release(mixed)
 
 
 def classes(docs: DataFrame, crowd: int = CROWD) -> DataFrame:

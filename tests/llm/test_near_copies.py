@@ -136,3 +136,54 @@ def test_least_shared(spark):
     t = spark.createDataFrame(found, "n long, m long, c long")
     assert not t.where(t["c"] < near_copies.least_shared(t["n"], t["m"])).count()
     assert t.where(near_copies.least_shared(t["n"], t["m"]) > 1).count()
+
+
+def test_similar_sets_share_a_box():
+    """Any two sets of similarity 0.8 or more have as many boxes of their prefixes in common as the lengths say, in some class of sizes, whatever is late."""
+    import numpy as np
+
+    rng, found = random.Random(6), 0
+    for _ in range(1500):
+        both, one, other = (rng.randrange(1, rng.choice((8, 60, 700))), rng.randrange(12), rng.randrange(12))
+        if one + other == 0 or 5 * both < 4 * (both + one + other):
+            continue
+        every = np.array([rng.randrange(-(2**63), 2**63) for _ in range(both + one + other)], np.int64)
+        a, b = every[: both + one], np.concatenate([every[:both], every[both + one :]])
+        late = every[[rng.random() < 0.3 for _ in every]]
+        late = np.sort(np.concatenate([late, *[k[:3] for _, k in near_copies.boxes(a, late)[:1]]]))
+        x, y = near_copies.boxes(a, late), near_copies.boxes(b, late)
+        assert all(len(keys) == length == len(set(keys.tolist())) for length, keys in x + y)
+        assert any(len(np.intersect1d(k, m)) >= max(1, min(p, q) - (len(a) + len(b)) // 9) for p, k in x for q, m in y)
+        found += 1
+    assert found > 300
+    assert all(near_copies.boxes(every[:n], late) == [] for n in (0, 1, 2, 3))
+
+
+def test_a_shared_passage_costs_no_pairs_of_all(spark, monkeypatch):
+    """Texts of which three fifths are one passage: pairs grow with the texts, not with their square."""
+    import numpy as np
+
+    rng, pairs = random.Random(7), []
+    similar = near_copies._similar
+    monkeypatch.setattr(near_copies, "_common", lambda docs: np.empty(0, np.int64))
+    monkeypatch.setattr(near_copies, "_similar", lambda docs, rows, p: pairs.append(p.distinct().count()) or similar(docs, rows, p))
+    passage = some_words(rng, 76)
+    texts = [" ".join([*some_words(rng, 44), *passage]) for _ in range(300)]
+    texts += [t.replace(t.split()[5], "changed", 1) for t in texts[:10]]
+    labels = {r.doc_id: r.label for r in near_copies.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(labels.values())) == 300 and all(labels[i] == labels[300 + i] for i in range(10))
+    assert sum(pairs) < 30 * 300
+
+
+def test_the_ring_comes_first(spark, monkeypatch):
+    """Sets whose fingerprints op10's ring finds within two bits are the first candidates; what they join isn't checked again."""
+    rng, pairs = random.Random(8), []
+    similar = near_copies._similar
+    monkeypatch.setattr(near_copies, "_similar", lambda docs, rows, p: pairs.append({tuple(sorted((r.a, r.b))) for r in p.collect()}) or similar(docs, rows, p))
+    texts = [some_words(rng, 1500) for _ in range(10)]
+    texts = [" ".join(w) for w in texts] + [" ".join([*w[:700], "changed", *w[701:]]) for w in texts]
+    near = [near_copies.simhash.fingerprint(texts[i]) ^ near_copies.simhash.fingerprint(texts[10 + i]) for i in range(10)]
+    within = [i for i in range(10) if near[i].bit_count() <= 2]
+    labels = {r.doc_id: r.label for r in near_copies.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(labels[i] == labels[10 + i] for i in range(10)) and len(set(labels.values())) == 10
+    assert len(pairs[0]) == len(within) > 0 and not any(pairs[0] & p for p in pairs[1:])
