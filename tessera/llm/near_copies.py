@@ -64,7 +64,7 @@ def prefix(own: np.ndarray, common: np.ndarray) -> np.ndarray:
     if not len(own):
         return own
     own = np.sort(own)
-    late = np.isin(own, common, assume_unique=True)
+    late = among(own, common)
     n = len(own)
     return np.concatenate([own[~late], own[late]])[: n - -(-n * LEAST[0] // LEAST[1]) + 1]
 
@@ -172,6 +172,13 @@ def least_shared(n: Column, m: Column) -> Column:
     return up(LEAST[0] * (n + m), sum(LEAST)) - up(LEAST[0] * F.greatest(n, m), LEAST[1]) + 1
 
 
+def among(values: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Which of values stand in late (sorted), without sorting late again for each set."""
+    if not len(late):
+        return np.zeros(len(values), bool)
+    return late[np.minimum(np.searchsorted(late, values), len(late) - 1)] == values
+
+
 def boxes(own: np.ndarray, late: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(length, keys) of the prefixes of a set's boxes, one for each class of sizes in which it can meet a similar set; late is sorted.
 
@@ -185,7 +192,7 @@ def boxes(own: np.ndarray, late: np.ndarray) -> list[tuple[int, np.ndarray]]:
     if largest == n:  # only equal sets are similar
         return out
     own = np.sort(own.view(np.uint64))
-    known = np.isin(own.view(np.int64), late, assume_unique=True)
+    known = among(own.view(np.int64), late)
     for c in (n.bit_length() - 1, n.bit_length()):
         top = (2 << c) - 1
         if largest < 1 << c:
@@ -198,7 +205,7 @@ def boxes(own: np.ndarray, late: np.ndarray) -> list[tuple[int, np.ndarray]]:
         new, size = np.bincount(place, ~known, count), np.bincount(place, minlength=count)
         length = (n + min(largest, top)) // sum(LEAST) + 1
         keys = keys.view(np.int64)
-        out.append((length, keys[np.lexsort((keys, -size, -new, np.isin(keys, late)))[:length]]))
+        out.append((length, keys[np.lexsort((keys, -size, -new, among(keys, late)))[:length]]))
     return out
 
 
