@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.scalars import fill_missing, finite_or_null, kind_of, sentinel_to_null, strip_all
-from tessera.operators.profile import column_profile
+from tessera.operators.profile import column_profile, value_counts
 from tessera.operators.quantiles import medians
 from tessera.sources.files import roundtrip
 
@@ -71,10 +71,9 @@ def mode_fills(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """The most frequent text of each column (the smallest of equals, "" where there is none)."""
     if not columns:
         return {}
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])).alias("x")).select("x.*").where("value IS NOT NULL")
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("b")).collect()
-    return {c: "" for c in columns} | {r.column: r.b.value for r in best}
+    counts = value_counts(df, columns).where("value IS NOT NULL")
+    best = counts.groupBy("position").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("b")).collect()
+    return {c: "" for c in columns} | {columns[r.position]: r.b.value for r in best}
 
 
 def fill(df: DataFrame, numeric: dict[str, float], text: dict[str, str]) -> DataFrame:

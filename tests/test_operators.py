@@ -268,3 +268,30 @@ def test_seasonal_forecast(spark):
 def test_masking(spark):
     t = spark.createDataFrame([("write to a.b@c.org, 10.0.0.1, 123-45-6789, password=hunter2",)], "t string").select(S.mask_text(F.col("t"))).first()[0]
     assert "@" not in t and "10.0.0.1" not in t and "6789" not in t and "hunter2" not in t
+
+
+def test_values_are_dealt_out_before_they_are_counted(spark):
+    """No task of the input holds the different values of a whole file's split: nothing is aggregated before the shuffle, but for each batch."""
+    import math
+
+    from tessera.operators import clean, profile
+
+    rows = [(i, "often" if i % 3 else None, math.nan if i % 7 else (0.0 if i % 2 else -0.0), i % 10) for i in range(500)] + [(1, "often", 0.0, 1)] * 40
+    t = spark.createDataFrame(rows, "id long, word string, x double, digit int")
+    counts = profile.value_counts(t, t.columns)
+    before = counts._jdf.queryExecution().executedPlan().toString().rsplit("Exchange hashpartitioning(position", 1)
+    assert len(before) == 2 and "Aggregate" not in before[1]
+    expected = {}
+    for r in rows:
+        for i, v in enumerate(r):
+            text = None if v is None else str(v).replace("nan", "NaN")
+            expected[i, text] = expected.get((i, text), 0) + 1
+    assert {(r.position, r.value): r.n for r in counts.collect()} == expected
+    p = {r.column: r for r in profile.column_profile(t).collect()}
+    assert (p["word"].n_null, p["word"].n_unique, p["word"].top_n, p["digit"].n_unique, p["id"].top_n) == (167, 2, 373, 10, 41)
+    assert profile.duplicate_rows(t).first()[0] == 39
+    assert profile.duplicate_rows(t.limit(0)).first()[0] == 0 and profile.column_profile(t.limit(0)).count() == 0
+    same = spark.range(1).selectExpr("0D AS x").union(spark.range(1).selectExpr("-0D AS x")).union(spark.range(2).selectExpr("double('NaN') AS x"))
+    assert profile.duplicate_rows(same).first()[0] == 2
+    assert profile.duplicate_rows(spark.sql("SELECT array(id % 2) AS a FROM range(6)")).first()[0] == 4
+    assert clean.mode_fills(spark.sql("SELECT * FROM VALUES ('b', null), ('a', null), ('b', null), ('a', null) AS t(u, v)").selectExpr("u", "string(v) AS v"), ["u", "v"]) == {"u": "a", "v": ""}
