@@ -4,7 +4,8 @@ Candidates come from prefixes. All shingles stand in one order, and of a set of
 are its prefix: two sets with similarity 0.8 share a shingle of their prefixes, so no pair is lost, whatever the order. The
 order only decides how many candidates there are; shingles that a sample of texts shows to be common come last, the
 others by their hash. Similar sets share more than one shingle of their prefixes: of the prefix that ends first in the order, all but those the
-other set lacks. Pairs that share fewer (texts with a common line) are no candidates. Each candidate is then checked on the whole sets.
+other set lacks. Pairs that share fewer (texts with a common line) are no candidates. Nor are those whose sketches, the parities of the sets' shingles in
+512 cells, differ in more cells than similar sets have shingles apart. Each candidate is then checked on the whole sets.
 
 A shingle that stands in many prefixes isn't paired out: each set is checked against one head of the shingle, which is enough where
 they are all near copies. Where they aren't, the shingle belongs to a passage that texts share. The sets of all such crowds get new
@@ -69,6 +70,16 @@ def prefix(own: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([own[~late], own[late]])[: n - -(-n * LEAST[0] // LEAST[1]) + 1]
 
 
+#: Longs of a sketch, 64 cells each.
+CELLS = 8
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """For each of 64 * CELLS cells of hashes, as bits: whether an odd number of shingles lies in it. A shingle that one of two sets lacks changes one cell."""
+    odd = np.bincount(own.view(np.uint64) & np.uint64(64 * CELLS - 1), minlength=64 * CELLS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _common(docs: DataFrame) -> np.ndarray:
     n = docs.count()
     part = max(1, n // SAMPLE)
@@ -95,7 +106,7 @@ def _most(counts: DataFrame, most: int) -> np.ndarray:
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, fp, set_id, n, prefix) of each row; fp: its SimHash fingerprint."""
+    """(doc_id, text_hash, fp, set_id, n, prefix, sketch) of each row; fp: its SimHash fingerprint."""
     common = docs.sparkSession.sparkContext.broadcast(_common(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,9 +115,10 @@ def with_sets(docs: DataFrame) -> DataFrame:
             ids = pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64())
             prefixes = pa.array([prefix(s, common.value) for s in sets], pa.list_(pa.int64()))
             prints = pa.array(np.array([simhash.fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), prints, ids, pa.array([len(s) for s in sets], pa.int64()), prefixes], names=["doc_id", "text_hash", "fp", "set_id", "n", "prefix"])
+            sketches = pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), prints, ids, pa.array([len(s) for s in sets], pa.int64()), prefixes, sketches], names=["doc_id", "text_hash", "fp", "set_id", "n", "prefix", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, fp long, set_id long, n long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, fp long, set_id long, n long, prefix array<long>, sketch array<long>")
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +152,10 @@ def _texts(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _similar(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b: set_id) whose sets are similar enough, by the texts: they take less room than their shingles."""
-    pairs = settle(pairs.distinct(), "near-pairs")
+    """Those of pairs (a, b: set_id) whose sets are similar enough, first by their sketches, then by the texts: they take less room than their shingles."""
+    sketches = _sketches(rows)
+    pairs = pairs.distinct().join(_side(sketches, "a"), "a").join(_side(sketches, "b"), "b").where(_alike())
+    pairs = settle(pairs.select("a", "b"), "near-pairs")
     texts = _texts(docs, rows, pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
     both = pairs.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("y")), "b")
     edges = settle(both.select("a", "b", "x", "y").mapInArrow(_checked, "a long, b long"), "near-edges")
@@ -231,20 +245,19 @@ def ring_pairs(rows: DataFrame) -> DataFrame:
     return same.union(simhash.links(prints).join(one, "a").join(other, "b").where("x <> y").select("x", "y"))
 
 
-def links(docs: DataFrame, rows: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Edges (a, b: set_id) that join all those sets that are joined by similar pairs; rows are those of with_sets."""
-    known = [_similar(docs, rows, ring_pairs(rows))]
-    parts = _parts(known)
+def components(docs: DataFrame, rows: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(set_id, part) of all those sets that are joined by similar pairs: part is their component; rows are those of with_sets."""
+    parts = _joined(None, _similar(docs, rows, ring_pairs(rows)))
     own = rows.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     posted, late, texts = own.select("set_id", "n", F.explode("prefix").alias("shingle")), np.empty(0, np.int64), None
     for step in range(PASSES + BOX_PASSES + 1):
-        mixed, parts = _met(docs, rows, posted, known, parts, crowd, step > PASSES)
+        mixed, parts = _met(docs, rows, posted, parts, crowd, step > PASSES)
         if texts is not None:
             release(texts)
         if mixed is None:
             break
         if step == PASSES + BOX_PASSES:
-            _finish(docs, rows, mixed, known)
+            parts = _finish(docs, rows, mixed, parts)
             break
         # Crowds that fall into several components: their shingles are common to texts that aren't alike. All of their sets get new prefixes, with
         # the largest such crowds' shingles last. Similar sets share a shingle of these too, as of the prefixes of any one order. Then they get boxes.
@@ -252,7 +265,7 @@ def links(docs: DataFrame, rows: DataFrame, crowd: int = CROWD) -> DataFrame:
         texts = _texts(docs, rows, mixed.select("set_id").distinct())
         release(mixed)
         posted = boxed(texts, late) if step >= PASSES else reordered(texts, late)
-    return reduce(DataFrame.union, known)
+    return parts
 
 
 def _near(n: Column, m: Column) -> Column:
@@ -266,9 +279,28 @@ def _lacking(of_boxes: bool) -> Column:
     return needed - F.least("m_a", "m_b")
 
 
-def _parts(known: list[DataFrame]) -> DataFrame:
-    """(set_id, part) of each set that has an edge; part: its component."""
-    return connected_components(reduce(DataFrame.union, known)).select(F.col("node").alias("set_id"), F.col("root").alias("part"))
+def _sketches(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("set_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+
+
+def _alike() -> Column:
+    """Whether the sketches of a and b leave room for similar sets: those of n and m shingles differ in (n + m) // 9 at most, and no fewer cells do."""
+    cells = [F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(CELLS)]
+    return _near(F.col("n_a"), F.col("n_b")) & (sum(LEAST) * reduce(lambda x, y: x + y, cells) <= F.col("n_a") + F.col("n_b"))
+
+
+def _joined(parts: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """parts (set_id, part: its component) as new edges between sets join them: only the components that edges touch are looked at again."""
+    if parts is None:
+        return settle(connected_components(edges).select(F.col("node").alias("set_id"), F.col("root").alias("part")), "near-parts")
+    for x in ("a", "b"):
+        edges = edges.join(parts.select(F.col("set_id").alias(x), "part"), x, "left").withColumn(x, F.coalesce("part", x)).drop("part")
+    roots = settle(connected_components(edges), "near-roots")
+    moved = parts.join(roots, F.col("part") == F.col("node"), "left").select("set_id", F.coalesce("root", "part").alias("part"))
+    new = roots.join(parts, F.col("node") == F.col("set_id"), "left_anti").select("node", "root")
+    now = settle(moved.union(new), "near-parts")
+    release(roots, parts)
+    return now
 
 
 def _placed(keys: DataFrame, parts: DataFrame) -> DataFrame:
@@ -279,11 +311,11 @@ def _placed(keys: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _side(keys: DataFrame, x: str) -> DataFrame:
-    return keys.select("shingle", F.col("set_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in keys.columns if c in ("n", "m", "length", "part")])
+    return keys.select(*[c for c in keys.columns if c == "shingle"], F.col("set_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in keys.columns if c in ("n", "m", "length", "part", "sketch")])
 
 
-def _met(docs: DataFrame, rows: DataFrame, posted: DataFrame, known: list[DataFrame], parts: DataFrame, crowd: int, of_boxes: bool) -> tuple[DataFrame | None, DataFrame]:
-    """Adds to known the edges of one order, from prefixes (set_id, n, shingle); the keys of crowds that still fall into several components, if any, and the components."""
+def _met(docs: DataFrame, rows: DataFrame, posted: DataFrame, parts: DataFrame, crowd: int, of_boxes: bool) -> tuple[DataFrame | None, DataFrame]:
+    """Joins the components of one order's similar pairs, from prefixes (set_id, n, shingle): the keys of crowds that still fall into several components, if any, and the components."""
     met = posted.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("k > 1")  # what stands in one prefix only links nothing
     crowded = F.count_if(F.col("k") > crowd).over(Window.partitionBy("set_id"))
     met = settle(met.withColumn("m", crowded), "near-met")
@@ -301,8 +333,8 @@ def _met(docs: DataFrame, rows: DataFrame, posted: DataFrame, known: list[DataFr
     stars = _side(many, "b").join(heads, "shingle").where("part_a <> part_b").where(near).where(lacking <= 0).select("a", "b")
     found = _similar(docs, rows, pairs.union(stars))
     if found.limit(1).count():
-        known.append(found)
-        parts = _parts(known)
+        parts = _joined(parts, found)
+    release(found)
     if not many.limit(1).count():
         release(open_)
         return None, parts
@@ -314,9 +346,11 @@ def _met(docs: DataFrame, rows: DataFrame, posted: DataFrame, known: list[DataFr
     return mixed, parts
 
 
-def _finish(docs: DataFrame, rows: DataFrame, mixed: DataFrame, known: list[DataFrame]) -> None:
-    """Adds to known the edges between the components of mixed crowds of boxes."""
-    near, lacking = _near(F.col("n_a"), F.col("n_b")), _lacking(True)
+def _finish(docs: DataFrame, rows: DataFrame, mixed: DataFrame, parts: DataFrame) -> DataFrame:
+    """The components, with those of mixed crowds of boxes joined by the similar pairs between them."""
+    lacking = _lacking(True)
+    mixed, before = settle(mixed.join(_sketches(rows).drop("n"), "set_id"), "near-mixed"), mixed
+    release(before)
     for turn in range(HEADS + 1):
         most = mixed.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.max_by("part", F.struct("c", "part")).alias("largest"))
         dealt = mixed.join(most, "shingle")
@@ -325,21 +359,22 @@ def _finish(docs: DataFrame, rows: DataFrame, mixed: DataFrame, known: list[Data
         if turn < HEADS:  # one more head of the largest component each turn: enough for groups of copies that the first head isn't similar to
             there = there.groupBy("shingle").agg(F.min_by(F.struct(*[x for x in there.columns if x != "shingle"]), F.xxhash64("b", F.lit(turn))).alias("h")).select("shingle", "h.*")
         # At last what isn't in a crowd's largest component is checked against all sets of the crowd's other components.
-        pairs = rest.join(there, "shingle").where("part_a <> part_b").where(near).where(lacking <= 0).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = rest.join(there, "shingle").where("part_a <> part_b").where(_alike()).where(lacking <= 0).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = _similar(docs, rows, pairs)
-        if not found.limit(1).count():
-            continue
-        known.append(found)
-        if turn < HEADS:
-            mixed, before = settle(_placed(mixed.drop("part"), _parts(known)), "near-mixed"), mixed
-            release(before)
-            if not mixed.limit(1).count():
-                break
+        if found.limit(1).count():
+            parts = _joined(parts, found)
+            if turn < HEADS:
+                mixed, before = settle(_placed(mixed.drop("part"), parts), "near-mixed"), mixed
+                release(before)
+        release(found)
+        if not mixed.limit(1).count():
+            break
     release(mixed)
+    return parts
 
 
 def classes(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Each row's (doc_id, text_hash, label): label is the same for all rows of a group of near copies."""
     rows = settle(with_sets(docs), "near-rows")
-    parts = connected_components(links(docs, rows, crowd)).select(F.col("node").alias("set_id"), F.col("root").alias("label"))
+    parts = components(docs, rows, crowd).withColumnRenamed("part", "label")
     return rows.join(parts, "set_id", "left").select("doc_id", "text_hash", F.coalesce("label", "set_id").alias("label"))

@@ -187,3 +187,44 @@ def test_the_ring_comes_first(spark, monkeypatch):
     labels = {r.doc_id: r.label for r in near_copies.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert all(labels[i] == labels[10 + i] for i in range(10)) and len(set(labels.values())) == 10
     assert len(pairs[0]) == len(within) > 0 and not any(pairs[0] & p for p in pairs[1:])
+
+
+def test_sketches_tell_unlike_sets(spark):
+    """The sketches of similar sets never part them; those of sets that share some two thirds nearly always do."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(9), []
+    for i in range(600):
+        both = rng.randrange(1, 300)
+        one, other = ((rng.randrange(both // 8 + 1), rng.randrange(both // 8 + 1)) if i % 2 else (both // 4 + 20, both // 4 + 20))
+        every = np.array([rng.randrange(-(2**63), 2**63) for _ in range(both + one + other)], np.int64)
+        a, b = every[: both + one], np.concatenate([every[:both], every[both + one :]])
+        similar = 5 * both >= 4 * (both + one + other)
+        rows.append((len(a), len(b), near_copies.sketch(a).tolist(), near_copies.sketch(b).tolist(), similar))
+    t = spark.createDataFrame(rows, "n_a long, n_b long, sketch_a array<long>, sketch_b array<long>, similar boolean")
+    n = {(r.similar, r.alike): r["count"] for r in t.withColumn("alike", near_copies._alike()).groupBy("similar", "alike").agg(F.count(F.lit(1)).alias("count")).collect()}
+    assert n[True, True] > 200 and (True, False) not in n and n[False, False] > 280
+
+
+def test_texts_mostly_of_one_passage_arent_read_pair_by_pair(spark, monkeypatch):
+    """Texts that are to seven tenths one passage, and no near copies, meet in crowds of boxes to the end: their sketches part them, no text of a pair is read."""
+    import numpy as np
+
+    rng, pairs = random.Random(10), []
+    checked = near_copies.settle
+    monkeypatch.setattr(near_copies, "_common", lambda docs: np.empty(0, np.int64))
+
+    def settle(df, what="table"):
+        out = checked(df, what)
+        if what == "near-pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "settle", settle)
+    passage = some_words(rng, 100)
+    texts = [" ".join([*some_words(rng, 20), *passage]) for _ in range(60)]
+    texts += [texts[0].replace(texts[0].split()[5], "changed", 1)]
+    labels = {r.doc_id: r.label for r in near_copies.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(labels.values())) == 60 and labels[0] == labels[60]
+    assert sum(pairs) < 60
