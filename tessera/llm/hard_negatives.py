@@ -1,8 +1,8 @@
 """Hard negatives: for each anchor and positive, the nearest rows of other labels that score close to the positive, but not above it.
 
-Rows are packed into blocks where they lie. Anchors are packed too and dealt to every slot of blocks, so a block of anchors meets each
-block of rows in one equi-join, and a pair of blocks is scored by one product of matrices; a block sends on, for each anchor,
-only rows that can count. Scores come in whole numbers: products of doubles as long as these are exact, Python's numbers beyond.
+Rows are packed into blocks where they lie, and blocks are dealt into groups of bounded size. Anchors are packed too and sent to every group, so a block of anchors meets each
+block of rows in one equi-join (sorted and merged: the anchors' side is as large as groups times anchors, and never broadcast), and a pair of blocks is scored by one product of
+matrices; of a group's rows only those that can count are sent on, for each anchor. Scores come in whole numbers: products of doubles as long as these are exact, Python's numbers beyond.
 
 What is sent on is packed into keys (anchor, descending score, positives first, id), and repartitionAndSortWithinPartitions deals
 and sorts it by them. A pass over the sorted keys keeps the positives of an anchor as they come; a second search is then made with
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.rdd import RDD
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -33,6 +34,12 @@ from tessera.llm.common import documents, settle
 SCALE = 256
 #: Rows, and anchors, of a block.
 BLOCK = 1024
+#: Bytes of the vectors of a group of blocks; there are more groups, and less in each, if tasks would lack work.
+GROUP = 16 << 20
+#: More than an anchor can have positives.
+POSITIONS = 1 << 32
+#: Groups for each partition of a shuffle, so that they are dealt evenly.
+SPREAD = 4
 #: Positives of an anchor, and negatives of a positive.
 POSITIVES, NEGATIVES = 5, 5
 #: A negative scores at least NEAR[0] / NEAR[1] of its positive.
@@ -62,16 +69,14 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, BLOCK):
             rows = b.slice(at, BLOCK)
-            ids = np.array(rows.column(0).to_pylist(), np.int64)
+            ids, labels = (rows.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             order = np.argsort(ids)
-            vectors = rows.column(2).to_pylist()
-            x = np.zeros((len(ids), max(map(len, vectors))))
-            for k, v in enumerate(vectors):
-                x[k, : len(v)] = v
+            sizes = pc.list_value_length(rows.column(2)).to_numpy(zero_copy_only=False)
+            x = np.zeros((len(ids), int(sizes.max())))
+            x[np.arange(x.shape[1]) < sizes[:, None]] = rows.column(2).flatten().to_numpy(zero_copy_only=False)
             x = np.floor(x * SCALE)[order]
             small = bool(np.abs(x).max(initial=0) < 1 << 24)
-            labels = np.array(rows.column(1).to_pylist(), np.int64)[order]
-            out = {"slot": part << 32 | seq, "n": len(ids), "width": x.shape[1] if small else -x.shape[1], "ids": ids[order].tobytes(), "labels": labels.tobytes(), "vectors": x.astype("<f4" if small else "<f8").tobytes(), "tops": [rows.column(3)[k].as_py() for k in order.tolist()]}
+            out = {"slot": part << 32 | seq, "n": len(ids), "width": x.shape[1] if small else -x.shape[1], "ids": ids[order].tobytes(), "labels": labels[order].tobytes(), "vectors": x.astype("<f4" if small else "<f8").tobytes(), "tops": rows.column(3).take(pa.array(order)).to_pylist()}
             seq += 1
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
@@ -101,12 +106,16 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def first_of(s: np.ndarray, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of each row's first k wanted entries of s, by value descending, then by column."""
     r, c = np.nonzero(wanted)
-    v = s[r, c]
-    v = np.unique(v, return_inverse=True)[1] if v.dtype == object else v
-    order = np.lexsort((c, -v, r))
-    r, c = r[order], c[order]
-    rank = np.arange(len(r)) - np.searchsorted(r, r)
-    return r[rank < k], c[rank < k]
+    kept = best(r, s[r, c], c, k)
+    return r[kept], c[kept]
+
+
+def best(group: np.ndarray, score: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
+    """Places of each group's first k entries, by score descending, then by row; in that order."""
+    v = np.unique(score, return_inverse=True)[1] if score.dtype == object else score
+    order = np.lexsort((row, -v, group))
+    group = group[order]
+    return order[np.arange(len(group)) - np.searchsorted(group, group) < k]
 
 
 def key(anchor: int, score: int, kind: int, row: int) -> bytes:
@@ -125,11 +134,18 @@ def unkey(k: bytes) -> tuple[int, int, int, int]:
     return anchor - SIGN, -(t if size >= 0x8000 else t - (1 << 8 * (0x7FFF - size))), kind, row - SIGN
 
 
-def _met(anchors: DataFrame, blocks: DataFrame, slots: int) -> RDD:
-    """Each block of anchors (a) beside each block of rows (b)."""
-    a = anchors.select(F.struct("n", "width", "ids", "labels", "vectors", "tops").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("at"))
-    b = blocks.select(F.struct("n", "width", "ids", "labels", "vectors").alias("b"), F.pmod(F.xxhash64("slot"), F.lit(slots)).alias("at"))
-    return a.join(b, "at").select("a", "b").rdd
+def groups(blocks: DataFrame, parts: int) -> int:
+    """How many groups blocks are dealt into: of GROUP bytes on the mean at most, and SPREAD for each part if there are so many blocks."""
+    n, size = blocks.agg(F.count(F.lit(1)), F.sum(F.length("vectors"))).first()
+    return max(1, min(n, SPREAD * parts), -(-(size or 0) // GROUP))
+
+
+def _met(anchors: DataFrame, blocks: DataFrame, n_groups: int, parts: int) -> DataFrame:
+    """Each block of anchors (a) beside each block of rows (b), those of a group one after another. The work grows with the products, not with bytes, so the number of parts is fixed."""
+    a = anchors.select(F.struct("slot", "n", "width", "ids", "labels", "vectors", "tops").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))).alias("at"))
+    b = blocks.select(F.struct("n", "width", "ids", "labels", "vectors").alias("b"), F.pmod(F.xxhash64("slot"), F.lit(n_groups)).alias("at"))
+    # Spark takes a for as small as it is before explode, so a broadcast is ruled out.
+    return a.repartition(parts, "at").join(b.repartition(parts, "at").hint("merge"), "at").select("at", "a", "b")
 
 
 def _sorted(keys: RDD, parts: int) -> RDD:
@@ -137,14 +153,54 @@ def _sorted(keys: RDD, parts: int) -> RDD:
     return keys.map(lambda k: (k, None)).repartitionAndSortWithinPartitions(parts, lambda k: zlib.crc32(k[:8])).keys()
 
 
+def _runs(pairs: Iterator[Row], found) -> Iterator[tuple[Row, np.ndarray, list[np.ndarray]]]:
+    """(block, ids, entries) of each run of pairs with one block of anchors in one group. found(block, rows, entries so far) gives a run's entries anew with each block of rows."""
+    at, block, entries = None, None, None
+    for pair in pairs:
+        if at != (pair.at, pair.a.slot):
+            if block is not None:
+                yield block, _unpack(block)[0], entries
+            at, block, entries = (pair.at, pair.a.slot), pair.a, None
+        entries = found(block, pair.b, entries)
+    if block is not None:
+        yield block, _unpack(block)[0], entries
+
+
+def _joined(entries: list[np.ndarray] | None, more: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The first k (group, score, row) of each group among both."""
+    if entries is not None:
+        more = [np.concatenate(both) for both in zip(entries, more, strict=True)]
+    kept = best(*more, k)
+    return [x[kept] for x in more]
+
+
+def _least(entries: list[np.ndarray] | None, n: int, k: int) -> np.ndarray | None:
+    """The k-th score of each of n groups among the entries so far, -LIMIT if there are fewer."""
+    if entries is None or entries[1].dtype == object:
+        return None
+    group, out = entries[0], np.full(n, -LIMIT)
+    last = np.flatnonzero(np.diff(group, append=-1))  # of each group that has entries
+    last = last[np.bincount(group, minlength=n)[group[last]] >= k]
+    out[group[last]] = entries[1][last]
+    return out
+
+
 def _send_positives(k: int):
-    def send(pair: Row) -> Iterator[bytes]:
-        (ids, labels, x), (own, own_labels, y) = _unpack(pair.a), _unpack(pair.b)
+    def found(a: Row, b: Row, entries: list[np.ndarray] | None) -> list[np.ndarray]:
+        (ids, labels, x), (own, own_labels, y) = _unpack(a), _unpack(b)
         s, wanted = scores(x, y), (labels[:, None] == own_labels) & (ids[:, None] != own)
-        if s.dtype != object and s.shape[1] > k:  # what is below the k-th value of its row needs no sorting
-            wanted &= s >= np.partition(np.where(wanted, s, -LIMIT), -k, axis=1)[:, -k, None]
-        for i, j in zip(*(x.tolist() for x in first_of(s, wanted, k)), strict=True):
-            yield key(int(ids[i]), int(s[i, j]), 0, int(own[j]))
+        if s.dtype != object:  # what is below the k-th value of its row, or of the blocks before, needs no sorting
+            least = _least(entries, len(ids), k)
+            if least is None and s.shape[1] > k:
+                least = np.partition(np.where(wanted, s, -LIMIT), -k, axis=1)[:, -k]
+            wanted &= s >= (-LIMIT if least is None else least[:, None])
+        i, j = first_of(s, wanted, k)
+        return _joined(entries, [i, s[i, j], own[j]], k)
+
+    def send(pairs: Iterator[Row]) -> Iterator[bytes]:
+        for _, ids, entries in _runs(pairs, found):
+            for i, score, row in zip(*(x.tolist() for x in entries), strict=True):
+                yield key(int(ids[i]), int(score), 0, row)
 
     return send
 
@@ -161,21 +217,39 @@ def _take(k: int):
     return take
 
 
-def _send_negatives(k: int, near: tuple[int, int]):
+def _windows(block: Row, near: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, window, least, most score) of each window of a block of anchors, by anchor; objects if they are beyond long numbers."""
     low, high = near
+    tops = [(i, w, int(t)) for i, row in enumerate(block.tops) for w, t in enumerate(row)]
+    kind = object if any(abs(t) >= 1 << 55 for *_, t in tops) else np.int64
+    anchor, window = (np.array([t[k] for t in tops], np.int64) for k in (0, 1))
+    return anchor, window, np.array([-(-low * t // high) for *_, t in tops], kind), np.array([t for *_, t in tops], kind)
+
 
-    def send(pair: Row) -> Iterator[bytes]:
-        (ids, labels, x), (own, own_labels, y) = _unpack(pair.a), _unpack(pair.b)
-        s, other, found = scores(x, y), labels[:, None] != own_labels, set()
-        kind = object if s.dtype == object or any(abs(int(t)) >= 1 << 55 for row in pair.a.tops for t in row) else np.int64
-        s = s.astype(kind)
-        for w in range(max(map(len, pair.a.tops), default=0)):
-            rows = np.array([i for i, t in enumerate(pair.a.tops) if len(t) > w])
-            tops = np.array([int(pair.a.tops[i][w]) for i in rows.tolist()], kind)[:, None]
-            r, c = first_of(s[rows], (other[rows] & (s[rows] <= tops) & (high * s[rows] >= low * tops)).astype(bool), k)
-            found.update(zip(rows[r].tolist(), c.tolist(), strict=True))
-        for i, j in found:
-            yield key(int(ids[i]), int(s[i, j]), 1, int(own[j]))
+def _send_negatives(k: int, near: tuple[int, int]):
+    last: list = [None, None]  # windows are read once for a run
+
+    def found(a: Row, b: Row, entries: list[np.ndarray] | None) -> list[np.ndarray]:
+        if last[0] is not a.tops:
+            last[:] = a.tops, _windows(a, near)
+        (_, labels, x), (own, own_labels, y), (anchor, window, least, most) = _unpack(a), _unpack(b), last[1]
+        s = scores(x, y)
+        first = np.flatnonzero(np.diff(anchor, prepend=-1))  # of each anchor, all of which have windows
+        inside = (labels[:, None] != own_labels) & (s >= np.minimum.reduceat(least, first)[:, None]) & (s <= np.maximum.reduceat(most, first)[:, None])
+        r, c = np.nonzero(inside.astype(bool))
+        v, more = s[r, c], []
+        for w in range(int(window.max()) + 1):
+            own_w = window == w
+            floor, ceiling, has = np.zeros(len(labels), least.dtype), np.zeros(len(labels), most.dtype), np.zeros(len(labels), bool)
+            floor[anchor[own_w]], ceiling[anchor[own_w]], has[anchor[own_w]] = least[own_w], most[own_w], True
+            at = np.flatnonzero((has[r] & (v >= floor[r]) & (v <= ceiling[r])).astype(bool))
+            more.append((r[at] * POSITIONS + w, v[at], own[c[at]]))
+        return _joined(entries, [np.concatenate(m) for m in zip(*more, strict=True)], k)
+
+    def send(pairs: Iterator[Row]) -> Iterator[bytes]:
+        for _, ids, (group, score, row) in _runs(pairs, found):
+            for i, value, other in set(zip((group // POSITIONS).tolist(), score.tolist(), row.tolist(), strict=True)):  # a row may be in several windows
+                yield key(int(ids[i]), int(value), 1, other)
 
     return send
 
@@ -208,15 +282,16 @@ def hard_negatives(rows: DataFrame, anchors: Column, positives: int = POSITIVES,
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = settle(blocks_of(rows), "negatives-blocks")
-    slots = max(1, blocks.count())
+    n_groups = groups(blocks, parts)
     asked = settle(rows.where(anchors), "negatives-anchors")
-    met = _met(blocks_of(asked), blocks, slots)
-    found = spark.createDataFrame(_sorted(met.flatMap(_send_positives(positives)), parts).mapPartitions(_take(positives)), "id long, positive long, score string", verifySchema=False)
+    full = -(-asked.count() // BLOCK) or 1  # whole blocks, also where anchors lie thinly
+    met = _met(settle(blocks_of(asked.coalesce(full)), "negatives-asked"), blocks, n_groups, parts)
+    found = spark.createDataFrame(_sorted(met.rdd.mapPartitions(_send_positives(positives)), parts).mapPartitions(_take(positives)), "id long, positive long, score string", verifySchema=False)
     found = settle(found, "negatives-positives")
     tops = found.groupBy("id").agg(F.collect_list("score").alias("tops"))
-    met = _met(settle(blocks_of(asked.join(tops, "id")), "negatives-windows"), blocks, slots)
+    met = _met(settle(blocks_of(asked.join(tops, "id").coalesce(full)), "negatives-windows"), blocks, n_groups, parts)
     opened = found.rdd.map(lambda p: key(p.id, int(p.score), 0, p.positive))
-    keys = met.flatMap(_send_negatives(negatives, near)).union(opened)
+    keys = met.rdd.mapPartitions(_send_negatives(negatives, near)).union(opened)
     return spark.createDataFrame(_sorted(keys, parts).mapPartitions(_open_windows(negatives, near)), OUT, verifySchema=False)
 
 

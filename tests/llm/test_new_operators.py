@@ -184,6 +184,20 @@ def test_negatives_of_odd_rows(spark):
     assert negatives_of(spark, []) == set()
 
 
+def test_blocks_of_anchors_go_to_groups_and_are_never_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, i % 3, [1.0, float(i % 7)]) for i in range(240)], "id long, label long, vector array<double>").repartition(60)  # a block for each
+    blocks = hard_negatives.settle(hard_negatives.blocks_of(rows), "test-blocks")
+    anchors = hard_negatives.settle(hard_negatives.blocks_of(rows.where("id % 10 = 0").repartition(6)), "test-anchors")
+    n = hard_negatives.groups(blocks, 2)
+    assert n == 2 * hard_negatives.SPREAD and (blocks.count(), anchors.count()) == (60, 6)
+    met = hard_negatives._met(anchors, blocks, n, 2)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert met.count() == met.select("a.slot", "b.ids").distinct().count() == 6 * blocks.count() and met.select("at").distinct().count() <= n
+    monkeypatch.setattr(hard_negatives, "GROUP", 64)
+    assert hard_negatives.groups(blocks, 2) == 30  # 240 rows of 8 bytes
+
+
 def test_keys_sort():
     keys = [(a, s, k, i) for a, s, k, i in product((-5, 0, 7), (-(1 << 80), -1, 0, 3, 1 << 80), (0, 1), (-2, 9))]
     assert all(hard_negatives.unkey(hard_negatives.key(*x)) == x for x in keys)
