@@ -489,28 +489,40 @@ def check_tails(tails: DataFrame, entities: DataFrame) -> None:
         raise ValueError("can't forecast " + ", ".join(f"{r.entity} ({'unknown to the model' if not r.known else f'{r.n} rows, {needed} needed'})" for r in wrong))
 
 
+#: Entities that a group of recursive forecasts takes together, on the mean.
+TOGETHER = 500
+
+
 def recursive(tails: DataFrame, known: dict, horizon: int, step_days: int) -> DataFrame:
-    """forecast_panel's rows. known: (base, trees) for each value of the column fold of tails, or for None where it has none; their number and size are bounded."""
+    """forecast_panel's rows. known: (base, trees) for each value of the column fold of tails, or for None where it has none; their number and size are bounded.
+
+    Some hundred entities are forecast together, each step by one pass over the trees. Each needs as many rows as the lags and means do.
+    """
     of_fold = "fold" in tails.columns
     trees = tails.sparkSession.sparkContext.broadcast(known)
     keys = ["fold", "entity"] if of_fold else ["entity"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        last = rows.iloc[-1]
-        base, own = trees.value[int(last.fold) if of_fold else None]
-        scale, n, total, squares = float(last.scale), int(last.past_n), float(last.past_sum), float(last.past_squares)
-        y, day, out = list(rows.y_scaled), pd.Timestamp(last.ts), []
+        rows = rows.sort_values(["entity", "ts"])
+        ends = np.flatnonzero((rows.entity != rows.entity.shift(-1)).to_numpy())
+        last = rows.iloc[ends]
+        base, own = trees.value[int(last.fold.iloc[0]) if of_fold else None]
+        scale, n, total, squares = (last[c].to_numpy(float) for c in ("scale", "past_n", "past_sum", "past_squares"))
+        y = rows.y_scaled.to_numpy(float)[ends[:, None] + np.arange(1 - max(panels.LAGS + panels.WINDOWS), 1)]
+        day, out = pd.DatetimeIndex(pd.to_datetime(last.ts)), []
         for step in range(1, horizon + 1):
             day = day + pd.Timedelta(days=step_days)
-            past = [total / n, max(squares / n - (total / n) ** 2, 0.0) ** 0.5, float(n)]
-            x = [*[y[-k] for k in panels.LAGS], *[float(np.mean(y[-w:])) for w in panels.WINDOWS], day.year, day.month, day.day, day.weekday() + 1, day.dayofyear, *past]
-            y.append(base + float(own.predict(np.array([x], float))[0]))
-            n, total, squares = n + 1, total + y[-1], squares + y[-1] ** 2
-            out.append((*[last[k] for k in keys], day.date(), step, y[-1] * scale))
-        return pd.DataFrame(out, columns=[*keys, "ts", "step", "yhat"])
-
-    return tails.groupBy(*keys).applyInPandas(run, ("fold int, " if of_fold else "") + "entity string, ts date, step int, yhat double")
+            past = [total / n, np.sqrt(np.maximum(squares / n - (total / n) ** 2, 0.0)), n]
+            x = [*[y[:, -k] for k in panels.LAGS], *[y[:, -w:].mean(axis=1) for w in panels.WINDOWS], day.year, day.month, day.day, day.weekday + 1, day.dayofyear, *past]
+            ahead = base + own.predict(np.stack([np.asarray(v, float) for v in x], axis=1))
+            y = np.concatenate([y[:, 1:], ahead[:, None]], axis=1)
+            n, total, squares = n + 1, total + ahead, squares + ahead**2
+            out.append(pd.DataFrame({**{k: last[k].to_numpy() for k in keys}, "ts": day.date, "step": step, "yhat": ahead * scale}))
+        return pd.concat(out)
+
+    parts = -(-tails.select(*keys).distinct().count() // TOGETHER) or 1
+    dealt = tails.withColumn("__part", F.pmod(F.xxhash64("entity"), F.lit(parts)))
+    return dealt.groupBy(*keys[:-1], "__part").applyInPandas(run, ("fold int, " if of_fold else "") + "entity string, ts date, step int, yhat double")
 
 
 def trend_design(days: np.ndarray, origin: float, span: float) -> np.ndarray:

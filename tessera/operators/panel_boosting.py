@@ -1,11 +1,11 @@
-"""The panel forecaster with regularised boosting: one fit for all entities, or for all folds of a backtest at once."""
+"""The panel forecaster with regularised boosting, or with Spark's trees on blocks: one fit for all entities, or for all folds of a backtest at once."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import boosting, models, panel, splits
+from tessera.operators import block_trees, boosting, models, panel, splits
 from tessera.sources.files import roundtrip
 
 #: What a series' name stands before its fold with; folds come first, so that names may hold it.
@@ -13,14 +13,14 @@ MARK = "|"
 
 
 class PanelModel:
-    """A boosting.Model on the supervised frame of scaled values, and the entities that it has seen."""
+    """A boosting.Model or block_trees.Boosted on the supervised frame of scaled values, and the entities that it has seen."""
 
-    def __init__(self, model: boosting.Model, entities: DataFrame):
+    def __init__(self, model: boosting.Model | block_trees.Boosted, entities: DataFrame):
         self.model, self.entities = model, entities
 
     def forecast(self, history: DataFrame, horizon: int, step_days: int = 1) -> DataFrame:
         """(entity, ts, step, yhat) from a panel; raises for entities that the model doesn't know, or that have too few rows."""
-        tails = models.recent(history)
+        tails = roundtrip(models.recent(history))
         models.check_tails(tails, self.entities)
         return models.recursive(tails, {None: (self.model.base[0], self.model.trees())}, horizon, step_days)
 
@@ -32,6 +32,13 @@ def fit(history: DataFrame, **options) -> PanelModel:
     return PanelModel(model, roundtrip(history.select("entity").distinct()))
 
 
+def fit_on_blocks(history: DataFrame, **options) -> PanelModel:
+    """The trees of models.fit_panel, grown on blocks of bins, for panels of very many rows. options are those of block_trees.fit."""
+    panel.guard(history)
+    model = block_trees.fit(roundtrip(models.panel_frame(history).select("y_scaled", *models.FRAME)), "y_scaled", models.FRAME, **options)
+    return PanelModel(model, roundtrip(history.select("entity").distinct()))
+
+
 def backtest(history: DataFrame, initial: int, horizon: int, step: int, sliding: bool = False, step_days: int = 1, **options) -> DataFrame:
     """(fold, entity, ts, y, yhat, error) of the panel model fitted anew for each walk-forward fold and forecast from its end.
 

@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import block_trees, boosting, clean, drift, metrics, models, panel as panels, pipelines, profile, registry as reg, rules, splits
+from tessera.operators import block_trees, boosting, clean, drift, metrics, models, panel as panels, panel_boosting, pipelines, profile, registry as reg, rules, splits
 from tessera.plans.catalog import panel, query, registry, table
 from tessera.sources import files
 
@@ -89,7 +89,7 @@ def panel_forecast_suppliers(spark: Spark, d: str) -> DataFrame:
     """Forecasts for each supplier with more than four weeks of lines: as many entities as there are, none of them a category."""
     p = panels.build(table(spark, d, "lineitem"), "l_suppkey", "l_shipdate", "l_quantity")
     p = files.roundtrip(p.join(p.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where("n > 28").select("entity"), "entity"), "parquet")
-    f = models.forecast_panel(models.fit_panel(p), p, 7)
+    f = panel_boosting.fit_on_blocks(p).forecast(p, 7)
     return f.groupBy(F.col("entity").cast("long").alias("entity")).agg(F.count(F.lit(1)).alias("n_steps"), F.every(F.col("yhat").isNotNull() & ~F.isnan("yhat")).alias("finite"))
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import block_trees, models, whatif
+from tessera.operators import block_trees, models, panel_boosting, whatif
 
 
 def some_rows(n=600, seed=0):
@@ -277,3 +277,17 @@ def test_queries_of_unlike_rows_grow_on_blocks(spark, monkeypatch):
     assert modelling.gbt_classification(spark, "/root/testdata/sf0.001").count() == 1
     got = modelling.gbt_multiclass(spark, "/root/testdata/sf0.001").toPandas()
     assert len(got) > 1000 and np.allclose(got.p_0 + got.p_1 + got.p_2, 1) and got.dtypes.astype(str)[["y", "yhat"]].tolist() == ["float64"] * 2
+
+
+def test_a_panel_on_blocks_is_forecast_many_entities_at_once(spark, monkeypatch):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(60)]
+    rows = [(f"e{k:02}", d, float((k + 1) * (10 + d.weekday() + (d.day * (k + 3)) % 4))) for k in range(40) for d in days[: 60 - k % 3]]
+    p = spark.createDataFrame(rows, "entity string, ts date, y double")
+    m = panel_boosting.fit_on_blocks(p, trees=4, depth=3)
+    together = m.forecast(p, 3).toPandas().sort_values(["entity", "step"]).reset_index(drop=True)
+    monkeypatch.setattr(models, "TOGETHER", 1)
+    alone = m.forecast(p, 3).toPandas().sort_values(["entity", "step"]).reset_index(drop=True)
+    assert len(together) == 120 and together[["entity", "ts", "step"]].equals(alone[["entity", "ts", "step"]]) and np.allclose(together.yhat, alone.yhat)
+    assert together.groupby("entity").ts.min()["e01"] == days[58] + dt.timedelta(days=1)
+    plan = m.forecast(p, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__part" in plan
